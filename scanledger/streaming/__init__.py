@@ -1,0 +1 @@
+"""Threshold alerts on the job log, as streams and as batch queries."""
