@@ -25,6 +25,15 @@ def cost_usd(nbytes: Column, price_per_tb: float) -> Column:
     return F.round(nbytes / F.lit(TIB) * F.lit(float(price_per_tb)), 2)
 
 
+def money_sum(amounts: Column) -> Column:
+    """Aggregate: a sum of amounts in cents, free of float noise.
+
+    Equal sums compare equal, so rankings do not depend on the order in which
+    partitions were added up.
+    """
+    return F.round(F.sum(amounts), 2)
+
+
 def slot_hours(slot_ms: Column) -> Column:
     return slot_ms / F.lit(1000.0) / F.lit(3600.0)
 

@@ -42,8 +42,9 @@ def currency_text(value: Column) -> Column:
 
 def share_text(value: Column, total: Column) -> Column:
     """Share in percent with one digit, at most 100; '0.0%' when undefined."""
-    share = F.least(F.try_divide(value, total) * 100.0, F.lit(100.0))
-    shown = F.format_string("%.1f%%", F.round(share, 1))
+    share = F.try_divide(value, total) * 100.0
+    capped = F.when(share > 100, F.lit(100.0)).otherwise(share)
+    shown = F.format_string("%.1f%%", F.round(capped, 1))
     missing = share.isNull() | F.isnan(share)
     return F.when(missing, F.lit("0.0%")).otherwise(shown)
 

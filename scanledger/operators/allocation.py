@@ -72,7 +72,7 @@ def dataset_sums() -> list[Column]:
         F.sum("query_count").alias("query_count"),
         F.sum("bytes_processed").alias("bytes_processed"),
         F.sum("bytes_billed").alias("bytes_billed"),
-        F.sum("table_cost_usd").alias("dataset_cost_usd"),
+        cost.money_sum(F.col("table_cost_usd")).alias("dataset_cost_usd"),
         F.count_if("is_rebuild_operation").alias("rebuild_operations"),
     ]
 

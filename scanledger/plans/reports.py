@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions import display, identity, text, time
-from scanledger.functions.cost import gigabytes, ratio_or_zero, terabytes
+from scanledger.functions.cost import gigabytes, money_sum, ratio_or_zero, terabytes
 from scanledger.params import DEFAULT_REPORT_PERIOD, Params
 
 TOP_SPENDERS = 8
@@ -19,11 +19,14 @@ def in_period(mart: DataFrame, params: Params, days: int = DEFAULT_REPORT_PERIOD
     return mart.where(F.to_timestamp("date") >= params.days_ago(days))
 
 
-
 def _total(name: str) -> Column:
     return F.coalesce(F.sum(name), F.lit(0))
 
 
+def _money(name: str) -> Column:
+    return F.coalesce(money_sum(F.col(name)), F.lit(0.0))
+
+
 def _spender() -> Column:
     return identity.spender(F.col("service_account"), F.col("user_email"))
 
@@ -35,7 +38,7 @@ def _is_account() -> Column:
 def summary_metrics(mart: DataFrame) -> DataFrame:
     """One row: total cost, terabytes read, queries."""
     return mart.agg(
-        _total("estimated_cost_usd").alias("total_cost_usd"),
+        _money("estimated_cost_usd").alias("total_cost_usd"),
         _total("total_bytes_processed").alias("total_bytes_processed"),
         _total("query_count").alias("total_queries"),
     ).select(
@@ -47,14 +50,14 @@ def summary_metrics(mart: DataFrame) -> DataFrame:
 
 def cost_trend(mart: DataFrame) -> DataFrame:
     """Cost per day, oldest first."""
-    return mart.groupBy("date").agg(_total("estimated_cost_usd").alias("cost_usd")).orderBy("date")
+    return mart.groupBy("date").agg(_money("estimated_cost_usd").alias("cost_usd")).orderBy("date")
 
 
 def top_spenders(mart: DataFrame, k: int = TOP_SPENDERS) -> DataFrame:
     """The k dearest spenders, their cost in the column of their kind."""
     per_spender = mart.groupBy(_spender().alias("spender")).agg(
         F.bool_or(_is_account()).alias("is_service_account"),
-        _total("estimated_cost_usd").alias("cost_usd"),
+        _money("estimated_cost_usd").alias("cost_usd"),
     )
     account, cost = F.col("is_service_account"), F.col("cost_usd")
     return (
@@ -139,7 +142,7 @@ def query_history(mart: DataFrame) -> DataFrame:
         .agg(
             F.sum("e.queries").alias("query_count"),
             F.sum("e.bytes").alias("total_bytes_processed"),
-            F.sum("e.cost").alias("total_cost"),
+            _money("e.cost").alias("total_cost"),
             F.sum("e.hits").alias("cache_hit_count"),
             F.sum("e.errors").alias("error_count"),
             F.coalesce(F.max("e.queried"), F.timestamp_seconds(F.lit(0))).alias("last_queried"),
@@ -165,14 +168,14 @@ def history_order(history: DataFrame) -> DataFrame:
 
 def dataset_ranking(mart: DataFrame, k: int = TOP_DATASETS) -> DataFrame:
     """The k dearest datasets and their share of all cost (at most 100 percent)."""
-    total = mart.agg(_total("estimated_cost_usd").alias("total"))
+    total = mart.agg(_money("estimated_cost_usd").alias("total"))
     share = F.least(ratio_or_zero(F.col("cost_usd"), total.scalar()), F.lit(100.0))
     return (
         mart.select(F.explode("dataset_costs").alias("d"))
         .groupBy(F.col("d.dataset").alias("dataset"))
         .agg(
             _total("d.bytes_processed").alias("bytes_processed"),
-            _total("d.dataset_cost_usd").alias("cost_usd"),
+            _money("d.dataset_cost_usd").alias("cost_usd"),
         )
         .orderBy(F.desc("cost_usd"), F.asc("dataset"))
         .limit(k)
@@ -193,9 +196,9 @@ def table_cost_totals(mart: DataFrame) -> DataFrame:
         tables.groupBy(F.col("t.table_name").alias("table_name"))
         .agg(
             newest.alias("newest"),
-            _total("t.table_cost_usd").alias("total_cost"),
-            _total("t.rebuild_cost_usd").alias("rebuild_cost"),
-            _total("t.incremental_cost_usd").alias("incremental_cost"),
+            _money("t.table_cost_usd").alias("total_cost"),
+            _money("t.rebuild_cost_usd").alias("rebuild_cost"),
+            _money("t.incremental_cost_usd").alias("incremental_cost"),
             _total("t.bytes_processed").alias("bytes_processed"),
             _total("t.rebuild_count").alias("rebuild_count"),
         )
@@ -236,7 +239,7 @@ def user_dataset_report(mart: DataFrame, k: int = TOP_ROWS) -> DataFrame:
         .groupBy("user", F.col("d.dataset").alias("dataset"))
         .agg(
             F.bool_or("account").alias("is_service_account"),
-            _total("d.dataset_cost_usd").alias("cost_usd"),
+            _money("d.dataset_cost_usd").alias("cost_usd"),
             _total("d.bytes_processed").alias("bytes_processed"),
         )
         .orderBy(F.desc("cost_usd"), F.asc("user"), F.asc("dataset"))
@@ -254,7 +257,7 @@ def hourly_pattern(mart: DataFrame) -> DataFrame:
     return (
         mart.select(F.explode("hourly_breakdown").alias("h"))
         .groupBy(F.col("h.hour_of_day").alias("hour"))
-        .agg(_total("h.hourly_queries").alias("queries"), _total("h.hourly_cost").alias("cost_usd"))
+        .agg(_total("h.hourly_queries").alias("queries"), _money("h.hourly_cost").alias("cost_usd"))
         .withColumn("label", time.hour_label(F.col("hour")))
         .orderBy("hour")
     )
@@ -265,7 +268,7 @@ def weekday_pattern(mart: DataFrame) -> DataFrame:
     return (
         mart.select(F.explode("daily_breakdown").alias("w"))
         .groupBy(F.col("w.day_of_week").alias("weekday"))
-        .agg(_total("w.daily_queries").alias("queries"), _total("w.daily_cost").alias("cost_usd"))
+        .agg(_total("w.daily_queries").alias("queries"), _money("w.daily_cost").alias("cost_usd"))
         .withColumn("label", time.weekday_label(F.col("weekday")))
         .orderBy("weekday")
     )
@@ -297,7 +300,7 @@ def reports(
 
 def displayed_datasets(ranking: DataFrame, mart: DataFrame) -> DataFrame:
     """The dataset ranking as text."""
-    total = mart.agg(_total("estimated_cost_usd").alias("total"))
+    total = mart.agg(_money("estimated_cost_usd").alias("total"))
     return ranking.select(
         "dataset",
         display.bytes_text(F.col("bytes_processed")).alias("data"),

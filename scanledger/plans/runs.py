@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanledger.functions.cost import money_sum
 from scanledger.params import Params
 from scanledger.plans import summaries
 from scanledger.plans.main_table import main_cost_table
@@ -25,7 +26,7 @@ def run_totals(mart: DataFrame, project_rows: DataFrame) -> DataFrame:
     """Records, cost, bytes and queries per project; zeros for one without records."""
     totals = mart.groupBy(F.col("project_id").alias("id")).agg(
         F.count("*").alias("records"),
-        F.sum("estimated_cost_usd").alias("total_cost"),
+        money_sum(F.col("estimated_cost_usd")).alias("total_cost"),
         F.sum("total_bytes_processed").alias("total_bytes_processed"),
         F.sum("query_count").alias("total_queries"),
     )
@@ -88,10 +89,7 @@ def run_monitoring(
     try:
         mart = user_day_mart(project_source.of_enabled_projects(jobs, project_rows), params)
         write_snapshot(mart, path, run_ts)
-        try:
-            stored = read_snapshots(spark, path).where(F.col("snapshot_ts") == run_ts)
-        except Exception:  # nothing was written: no project has records
-            stored = mart.limit(0)
+        stored = read_snapshots(spark, path).where(F.col("snapshot_ts") == run_ts)
         rows = _run_rows(
             run_totals(stored, watched),
             params,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions.arrays import or_empty
-from scanledger.functions.cost import half_up, percentage
+from scanledger.functions.cost import half_up, money_sum, percentage
 from scanledger.operators.ranking import ranked_array, top_k
 
 TOP_ENTRIES = 10
@@ -24,7 +24,7 @@ def daily_summary(main: DataFrame) -> DataFrame:
         F.sum("error_count").alias("total_errors"),
         F.sum("total_bytes_processed").alias("total_bytes_processed"),
         F.sum("total_bytes_billed").alias("total_bytes_billed"),
-        F.sum("estimated_cost_usd").alias("total_estimated_cost_usd"),
+        money_sum(F.col("estimated_cost_usd")).alias("total_estimated_cost_usd"),
         F.sum("slot_hours").alias("total_slot_hours"),
         half_up(F.avg("cache_hit_percentage"), 2).alias("avg_cache_hit_percentage"),
     )
@@ -53,7 +53,7 @@ def dataset_top_users(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
         dataset_usage(main)
         .groupBy(*keys, F.coalesce("service_account", "user_email").alias("user"))
         .agg(
-            F.sum("dataset_cost_usd").alias("user_cost_usd"),
+            money_sum(F.col("dataset_cost_usd")).alias("user_cost_usd"),
             F.sum("bytes_processed").alias("user_bytes_processed"),
         )
     )
@@ -73,7 +73,7 @@ def dataset_summary(main: DataFrame, k: int = TOP_ENTRIES, exact: bool = True) -
         users.alias("unique_users"),
         F.sum("bytes_processed").alias("total_bytes_processed"),
         F.sum("bytes_billed").alias("total_bytes_billed"),
-        F.sum("dataset_cost_usd").alias("total_cost_usd"),
+        money_sum(F.col("dataset_cost_usd")).alias("total_cost_usd"),
     )
     top = dataset_top_users(main, k).groupBy(*keys).agg(
         ranked_array(["user", "user_cost_usd", "user_bytes_processed"]).alias("top_users")
@@ -91,7 +91,7 @@ def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
         dataset_usage(main.where(F.col("service_account").isNotNull()))
         .groupBy(*keys, "dataset_name")
         .agg(
-            F.sum("dataset_cost_usd").alias("dataset_cost_usd"),
+            money_sum(F.col("dataset_cost_usd")).alias("dataset_cost_usd"),
             F.sum("bytes_processed").alias("dataset_bytes_processed"),
         )
     )
@@ -109,7 +109,7 @@ def account_summary(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
             F.sum("query_count").alias("total_queries"),
             F.sum("total_bytes_processed").alias("total_bytes_processed"),
             F.sum("total_bytes_billed").alias("total_bytes_billed"),
-            F.sum("estimated_cost_usd").alias("total_cost_usd"),
+            money_sum(F.col("estimated_cost_usd")).alias("total_cost_usd"),
         )
     )
     top = account_top_datasets(main, k).groupBy(*keys).agg(
@@ -156,11 +156,11 @@ def user_dataset_attribution(main: DataFrame) -> DataFrame:
     ).agg(
         F.sum("rows").alias("query_count"),
         F.sum("bytes").alias("bytes_processed"),
-        F.sum("cost").alias("cost_usd"),
+        money_sum(F.col("cost")).alias("cost_usd"),
     )
-    of_user = attributed.groupBy("date", "user").agg(F.sum("cost_usd").alias("user_total"))
+    of_user = attributed.groupBy("date", "user").agg(money_sum(F.col("cost_usd")).alias("user_total"))
     of_dataset = attributed.groupBy("date", "dataset_name").agg(
-        F.sum("cost_usd").alias("dataset_total")
+        money_sum(F.col("cost_usd")).alias("dataset_total")
     )
     return (
         attributed.join(of_user, ["date", "user"], "left")
