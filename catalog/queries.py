@@ -15,7 +15,7 @@ from scanledger.plans import main_table, mart as mart_plan, reports, runs, summa
 from scanledger.session import adopt, work_path
 from scanledger.sinks import snapshots as snapshot_sink, tables as table_sink
 from scanledger.sources import job_log, projects as project_source, snapshots as snapshot_source
-from scanledger.sources.star_log import job_rows, read_star_log
+from scanledger.sources.star_log import EVENTS, job_rows, read_orders, read_star_log
 from scanledger.streaming import alerts
 
 # The events span 2024-01-01 to 2024-01-30: thirty days back from here is all of them.
@@ -733,11 +733,10 @@ def alert_any(spark, sf_dir):
 
 def streamed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log with its events arriving as a stream."""
-    schema = read(spark, sf_dir, "events").schema
     events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     )
-    return job_rows(events, read(spark, sf_dir, "orders"))
+    return job_rows(events, read_orders(spark, sf_dir))
 
 
 @query

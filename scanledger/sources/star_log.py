@@ -1,19 +1,78 @@
 """A job log derived from the star-schema tables.
 
 One job per event, with the event's order for its volume and destination and
-the order's line items for the tables it reads.  Events past the last order
-still yield a job.  The mapping is a plain projection over two joins on the
-order key, so it spreads over the cluster like any other scan, and a query that
-does not look at the references never reads the line items.
+the order's line items for the tables it reads.  The mapping is a plain
+projection over two joins on the order key, so it spreads over the cluster like
+any other scan, and a query that does not look at the references never reads
+the line items.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scanledger.functions.cost import billed_bytes
-from scanledger.functions.text import tagged
+# Columns used of each table; given, so that no job has to look for them.
+EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
+ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE"
+LINEITEM = "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT"
+
+JOB_COLUMNS = [
+    "event_id",
+    "concat('proj-', user_id % 3) AS project_id",
+    """CASE WHEN user_id % 50 = 49 THEN NULL
+            WHEN user_id % 5 = 0 THEN concat('runner-', user_id, '@proj.iam.gserviceaccount.com')
+            WHEN user_id % 5 = 1 THEN concat('service-', user_id, '@agents.example.com')
+            ELSE concat('user-', user_id, '@example.com') END AS user_email""",
+    "concat('job_', event_id) AS job_id",
+    "creation_time",
+    "timestampadd(SECOND, CAST(floor(value) AS INT), creation_time) AS end_time",
+    r"""concat(
+          CASE WHEN event_id % 5 = 0 THEN concat(
+            '-- Query for project: proj-', user_id % 3, '\n',
+            '-- Team: team-', user_id % 4, '\n',
+            '-- Owner: owner-', user_id % 6, '\n',
+            '-- Query ID: q-', event_id % 100, '\n',
+            '-- Query Type: ', if(event_id % 2 = 0, 'report', 'etl'), '\n') ELSE '' END,
+          CASE WHEN event_id % 9 = 0 THEN 'SELECT 1' ELSE concat(
+            'SELECT * FROM `data-', event_id % 2, '.ds_', event_id % 4, '.t_', event_id % 20,
+            '` WHERE x > 1') END) AS query""",
+    """CASE WHEN event_type = 'view' THEN 'CREATE_TABLE_AS_SELECT'
+            WHEN event_type = 'purchase' THEN 'MERGE'
+            WHEN event_type = 'signup' AND event_id % 4 = 1 THEN 'SCRIPT'
+            WHEN event_type = 'signup' AND event_id % 4 = 2 THEN NULL
+            ELSE 'SELECT' END AS statement_type""",
+    "if(event_type = 'signup' AND event_id % 4 = 0, 'LOAD', 'QUERY') AS job_type",
+    "bytes AS total_bytes_processed",
+    "CASE WHEN cached THEN 0 ELSE ((bytes + 1048575) div 1048576) * 1048576 END AS total_bytes_billed",
+    "CAST(floor(value * 1000) AS BIGINT) AS total_slot_ms",
+    """CASE WHEN event_type = 'error' THEN
+         named_struct('reason', 'backendError', 'message', CAST(NULL AS STRING)) END AS error_result""",
+    "cached AS cache_hit",
+    """CASE WHEN event_type IN ('view', 'purchase') THEN named_struct(
+         'project_id', 'data-0',
+         'dataset_id', concat('ds_', o_custkey % 4),
+         'table_id', concat('t_', o_custkey % 20)) END AS destination_table""",
+    "CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>) AS labels",
+    "if(event_id % 2 = 0, 'INTERACTIVE', 'BATCH') AS priority",
+]
+
+
+def job_rows(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Jobs without their references; ``events`` may be a stream."""
+    joined = events.join(orders, events["event_id"] == orders["o_orderkey"], "left")
+    derived = joined.selectExpr(
+        "event_id",
+        "user_id",
+        "event_type",
+        "value",
+        "o_custkey",
+        "CAST(ts AS TIMESTAMP) AS creation_time",
+        """CASE WHEN event_id % 11 = 0 THEN 0
+                WHEN event_id % 13 = 0 THEN 500000
+                ELSE CAST(floor(o_totalprice) AS BIGINT) * 1000000 END AS bytes""",
+        "CASE WHEN event_id % 17 <> 0 THEN event_id % 4 = 1 END AS cached",
+    )
+    return derived.selectExpr(*JOB_COLUMNS)
 
 
 def references(lineitem: DataFrame) -> DataFrame:
@@ -23,113 +82,36 @@ def references(lineitem: DataFrame) -> DataFrame:
     bounds the array by the number of tables however long an order is.  The
     names follow from small numbers, so they are spelled out after grouping.
     """
-    keys = ["event_id", "source", "item", "gap"]
-    named = F.struct(
-        F.concat(F.lit("data-"), F.col("source")).alias("project_id"),
-        F.when(F.col("gap") != 7, F.concat(F.lit("ds_"), F.col("item") % 4)).alias("dataset_id"),
-        F.when(F.col("gap") != 6, F.concat(F.lit("t_"), F.col("item"))).alias("table_id"),
-        "ref_count",
-    )
-    return (
-        lineitem.select(
-            F.col("l_orderkey").alias("event_id"),
-            (F.col("l_suppkey") % 2).cast("int").alias("source"),
-            (F.col("l_partkey") % 20).cast("int").alias("item"),
-            F.when(F.col("l_linenumber").isin(6, 7), F.col("l_linenumber")).otherwise(0).alias("gap"),
-        )
-        .groupBy(*keys)
-        .agg(F.count("*").alias("ref_count"))
-        .groupBy("event_id")
-        .agg(F.collect_list(named).alias("referenced_tables"))
+    counted = lineitem.selectExpr(
+        "l_orderkey AS event_id",
+        "CAST(l_suppkey % 2 AS INT) AS source",
+        "CAST(l_partkey % 20 AS INT) AS item",
+        "if(l_linenumber IN (6, 7), l_linenumber, 0) AS gap",
+    ).groupBy("event_id", "source", "item", "gap").count()
+    named = counted.selectExpr(
+        "event_id",
+        """named_struct(
+             'project_id', concat('data-', source),
+             'dataset_id', if(gap = 7, NULL, concat('ds_', item % 4)),
+             'table_id', if(gap = 6, NULL, concat('t_', item)),
+             'ref_count', count) AS ref""",
     )
+    return named.groupBy("event_id").agg({"ref": "collect_list"}).toDF("event_id", "referenced_tables")
 
 
-def job_rows(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Jobs without their references; ``events`` may be a stream."""
-    user, event = F.col("user_id"), F.col("event_id")
-    kind = F.col("event_type")
-    number = user.cast("string")
-    cached = F.when(event % 17 != 0, event % 4 == 1)
-    processed = (
-        F.when(event % 11 == 0, F.lit(0))
-        .when(event % 13 == 0, F.lit(500_000))
-        .otherwise(F.floor("o_totalprice").cast("long") * F.lit(1_000_000))
-    )
-    text = F.when(event % 9 == 0, F.lit("SELECT 1")).otherwise(
-        F.concat(
-            F.lit("SELECT * FROM `data-"), event % 2,
-            F.lit(".ds_"), event % 4,
-            F.lit(".t_"), event % 20,
-            F.lit("` WHERE x > 1"),
-        )
-    )
-    with_tags = tagged(
-        text,
-        project=F.concat(F.lit("proj-"), user % 3),
-        team=F.concat(F.lit("team-"), user % 4),
-        owner=F.concat(F.lit("owner-"), user % 6),
-        query_id=F.concat(F.lit("q-"), event % 100),
-        query_type=F.when(event % 2 == 0, F.lit("report")).otherwise(F.lit("etl")),
-    )
-    joined = events.join(orders, F.col("event_id") == F.col("o_orderkey"), "left")
-    return (
-        joined.withColumn("creation_time", F.col("ts").cast("timestamp"))
-        .withColumn("total_bytes_processed", processed)
-        .withColumn("cache_hit", cached)
-        .select(
-            event,
-            F.concat(F.lit("proj-"), user % 3).alias("project_id"),
-            F.when(user % 50 == 49, F.lit(None).cast("string"))
-            .when(user % 5 == 0, F.concat(F.lit("runner-"), number, F.lit("@proj.iam.gserviceaccount.com")))
-            .when(user % 5 == 1, F.concat(F.lit("service-"), number, F.lit("@agents.example.com")))
-            .otherwise(F.concat(F.lit("user-"), number, F.lit("@example.com")))
-            .alias("user_email"),
-            F.concat(F.lit("job_"), event).alias("job_id"),
-            "creation_time",
-            F.timestamp_add("SECOND", F.floor("value").cast("int"), F.col("creation_time")).alias("end_time"),
-            F.when(event % 5 == 0, with_tags).otherwise(text).alias("query"),
-            F.when(kind == "view", F.lit("CREATE_TABLE_AS_SELECT"))
-            .when(kind == "purchase", F.lit("MERGE"))
-            .when((kind == "signup") & (event % 4 == 1), F.lit("SCRIPT"))
-            .when((kind == "signup") & (event % 4 == 2), F.lit(None).cast("string"))
-            .otherwise(F.lit("SELECT"))
-            .alias("statement_type"),
-            F.when((kind == "signup") & (event % 4 == 0), F.lit("LOAD"))
-            .otherwise(F.lit("QUERY"))
-            .alias("job_type"),
-            "total_bytes_processed",
-            F.when(F.col("cache_hit"), F.lit(0))
-            .otherwise(billed_bytes(F.col("total_bytes_processed")))
-            .alias("total_bytes_billed"),
-            F.floor(F.col("value") * 1000).cast("long").alias("total_slot_ms"),
-            F.when(
-                kind == "error",
-                F.struct(
-                    F.lit("backendError").alias("reason"),
-                    F.lit(None).cast("string").alias("message"),
-                ),
-            ).alias("error_result"),
-            "cache_hit",
-            F.when(
-                kind.isin("view", "purchase"),
-                F.struct(
-                    F.lit("data-0").alias("project_id"),
-                    F.concat(F.lit("ds_"), F.col("o_custkey") % 4).alias("dataset_id"),
-                    F.concat(F.lit("t_"), F.col("o_custkey") % 20).alias("table_id"),
-                ),
-            ).alias("destination_table"),
-            F.array().cast("array<struct<key:string,value:string>>").alias("labels"),
-            F.when(event % 2 == 0, F.lit("INTERACTIVE")).otherwise(F.lit("BATCH")).alias("priority"),
-        )
-    )
+def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+
+
+def read_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
 
 
 def read_star_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived job log over one test-data folder."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lineitem = spark.read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
     # The references grow with the log and arrive grouped by job already, so they
     # are merged where they are; sending them to every task is never wanted.
     refs = references(lineitem).hint("merge")
-    return job_rows(events, orders).join(refs, "event_id", "left").drop("event_id")
+    jobs = job_rows(read_events(spark, sf_dir), read_orders(spark, sf_dir))
+    return jobs.join(refs, "event_id", "left").drop("event_id")
