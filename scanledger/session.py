@@ -26,7 +26,7 @@ CLUSTER_SETTINGS = {
 # task in memory before falling back to an external sort.
 ARRAY_SETTINGS = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
 }
 
 
