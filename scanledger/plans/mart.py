@@ -6,18 +6,24 @@ Three reads of the log feed it, each of the columns it needs:
 * refs    -> table and dataset costs
 * texts   -> latest queries
 
-Each part ends up hash-partitioned on the user-day, so the joins that put them
-together move no data.  Rows are aggregated before they are shuffled, or
-limited to the top k, so a single user with a third of all jobs sends little.
+Table costs are aggregated once: datasets and tables need the same columns of
+them, so the second use reuses the first one's shuffle.  Each part ends up
+hash-partitioned on the user-day, so the joins that put them together move no
+data.  Rows are aggregated before they are shuffled, or limited to the top k, so
+a single user with a third of all jobs sends little.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions.cost import cost_usd
-from scanledger.operators.allocation import dataset_of_table, dataset_sums, table_costs
+from scanledger.operators.allocation import (
+    dataset_costs_from_tables,
+    dataset_of_table,
+    table_costs,
+)
 from scanledger.operators.jobs import KEY, job_stats, present, query_details
 from scanledger.operators.ranking import dearest_first, ranked_array, top_k
 from scanledger.operators.rollups import added_up, hourly, scalar_columns
@@ -55,21 +61,30 @@ def day_profile(stats: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def allocation_arrays(tables: DataFrame, params: Params) -> DataFrame:
-    """``dataset_costs`` and ``table_costs`` per user-day, in one pass.
+def dataset_array(tables: DataFrame) -> DataFrame:
+    """``dataset_costs`` per user-day.
 
-    Ranking, dataset sums and the final arrays all group within the user-day,
-    so one shuffle on it serves the three.
+    The array holds every dataset the account read that day, as asked for; what
+    is collected are finished sums, one per dataset.
     """
-    dearest = Window.partitionBy(*KEY).orderBy(
-        F.desc_nulls_last("table_cost_usd"), F.asc_nulls_first("table_name")
+    entry = F.struct(
+        "dataset", "bytes_processed", "bytes_billed", "dataset_cost_usd", "rebuild_operations"
+    )
+    collected = dataset_costs_from_tables(tables).groupBy(*KEY).agg(
+        F.collect_list(entry).alias("datasets")
     )
-    dataset = dataset_of_table()
+    return collected.select(
+        *KEY, dearest_first(F.col("datasets"), "dataset_cost_usd", "dataset").alias("dataset_costs")
+    )
+
+
+def table_array(tables: DataFrame, params: Params) -> DataFrame:
+    """``table_costs`` per user-day: its dearest tables."""
     rebuild, price = F.col("is_rebuild_operation"), F.col("table_cost_usd")
-    entry = F.struct(
+    fields = [
         "table_name",
         "table_id",
-        dataset.alias("dataset_name"),
+        dataset_of_table().alias("dataset_name"),
         "bytes_processed",
         "bytes_billed",
         "table_cost_usd",
@@ -77,29 +92,10 @@ def allocation_arrays(tables: DataFrame, params: Params) -> DataFrame:
         F.when(rebuild, price).otherwise(F.lit(0.0)).alias("rebuild_cost_usd"),
         F.when(~rebuild, price).otherwise(F.lit(0.0)).alias("incremental_cost_usd"),
         F.when(rebuild, 1).otherwise(0).cast("long").alias("rebuild_count"),
-    )
-    ranked = tables.withColumn("rank", F.row_number().over(dearest)).withColumn(
-        "top", F.when(F.col("rank") <= params.table_limit, F.struct("rank", entry.alias("entry")))
-    )
-    per_dataset = ranked.groupBy(*KEY, dataset).agg(
-        *dataset_sums(), F.collect_list("top").alias("top")
-    )
-    per_user = per_dataset.groupBy(*KEY).agg(
-        F.collect_list(
-            F.struct(
-                "dataset",
-                "bytes_processed",
-                "bytes_billed",
-                "dataset_cost_usd",
-                "rebuild_operations",
-            )
-        ).alias("datasets"),
-        F.flatten(F.collect_list("top")).alias("top"),
-    )
-    return per_user.select(
-        *KEY,
-        dearest_first(F.col("datasets"), "dataset_cost_usd", "dataset").alias("dataset_costs"),
-        F.transform(F.sort_array("top"), lambda item: item.entry).alias("table_costs"),
+    ]
+    order = [F.desc_nulls_last("table_cost_usd"), F.asc_nulls_first("table_name")]
+    return top_k(tables, KEY, order, params.table_limit).groupBy(*KEY).agg(
+        ranked_array(fields).alias("table_costs")
     )
 
 
@@ -133,9 +129,11 @@ def recent_queries(stats: DataFrame, params: Params) -> DataFrame:
 
 def mart_of(stats: DataFrame, params: Params) -> DataFrame:
     """The mart from job rows (see ``job_stats``)."""
+    tables = table_costs(stats, params)
     return present(
         day_profile(stats, params)
-        .join(allocation_arrays(table_costs(stats, params), params), KEY, "left")
+        .join(dataset_array(tables), KEY, "left")
+        .join(table_array(tables, params), KEY, "left")
         .join(recent_queries(stats, params), KEY, "left")
     ).select(MART.fieldNames())
 

@@ -53,10 +53,11 @@ def shared_folder(spark: SparkSession) -> str:
     Where the setting is missing the session must be a local one (tests, trial
     runs), and a temporary folder on this machine serves.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="scanledger-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -27,7 +27,7 @@ def rows():
                 creation_time=datetime(2024, 1, 10 + (0 if hot else n % 3)) + timedelta(seconds=n * 37 % 86_000),
                 total_bytes_processed=n * 7_777_777_777,
                 total_bytes_billed=n * 5_555_555_555,
-                referenced_tables=[TABLES[(n * k) % 150] for k in range(1, 2 + n % 7)],
+                referenced_tables=[TABLES[(n // 2 * k) % 150] for k in range(1, 2 + n % 7)],
             )
         )
     return made

@@ -34,8 +34,8 @@ def as_set(df):
 def test_streams_keep_what_batch_finds(spark, tmp_path):
     source, path = str(tmp_path / "log"), str(tmp_path / "alerts")
     made = rows()
-    for part in range(4):
-        spark.createDataFrame(made[part::4], JOBS).coalesce(1).write.mode("append").parquet(source)
+    for part in range(0, 60, 15):  # files arrive in the order of their jobs
+        spark.createDataFrame(made[part : part + 15], JOBS).coalesce(1).write.mode("append").parquet(source)
     jobs = normalise(spark.createDataFrame(made, JOBS))
     expected = as_set(alerts.any_alert(alerts.daily_cost_alerts(jobs), alerts.failure_alerts(jobs)))
     stream = alerts.job_stream(spark, source, maxFilesPerTrigger=1)
