@@ -8,10 +8,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanledger.functions import cost, display, identity, text, time
+from scanledger.functions import arrays, cost, display, identity, text, time
 from scanledger.operators import allocation, estimates, jobs as job_ops, quality, rollups, shaping, tags
 from scanledger.params import DEFAULT_DAILY_COST_THRESHOLD, Params
 from scanledger.plans import main_table, mart as mart_plan, reports, runs, summaries
+from scanledger.schema import MAIN_TABLE
 from scanledger.session import adopt, work_path
 from scanledger.sinks import snapshots as snapshot_sink, tables as table_sink
 from scanledger.sources import job_log, projects as project_source, snapshots as snapshot_source
@@ -61,7 +62,7 @@ def stored_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main table written once and read back, as its summaries use it."""
     path = work_path(spark, "main")
     table_sink.write_folder(main(spark, sf_dir), path, table_sink.MAIN_CLUSTER)
-    return spark.read.parquet(path)
+    return spark.read.schema(MAIN_TABLE).parquet(path)
 
 
 def whole(name: str, alias: str | None = None) -> Column:
@@ -115,10 +116,7 @@ def usage_extract(spark, sf_dir):
             F.col("destination_table.project_id"), F.col("destination_table.dataset_id"),
             F.col("destination_table.table_id"),
         ).alias("destination"),
-        F.aggregate(
-            F.coalesce("referenced_tables", F.array().cast("array<struct<project_id:string,dataset_id:string,table_id:string,ref_count:bigint>>")),
-            F.lit(0).cast("long"), lambda n, r: n + r.ref_count,
-        ).alias("reference_count"),
+        arrays.reference_total("referenced_tables").alias("reference_count"),
         F.size("labels").cast("long").alias("label_count"),
     )
 
@@ -158,9 +156,7 @@ def job_stats_flat(spark, sf_dir):
         F.col("day_of_week").cast("long").alias("day_of_week"),
         "execution_time_seconds",
         F.size("referenced_datasets").cast("long").alias("dataset_count"),
-        F.aggregate(
-            "referenced_tables_detail", F.lit(0).cast("long"), lambda n, r: n + r.ref_count
-        ).alias("table_references"),
+        arrays.reference_total("referenced_tables_detail").alias("table_references"),
         "is_table_rebuild",
     )
 

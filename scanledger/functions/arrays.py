@@ -1,52 +1,49 @@
-"""The arrays of tables a job refers to."""
+"""The arrays of tables a job refers to, given by column name."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scanledger.functions.text import qualified
+REFERENCES = "array<struct<project_id:string,dataset_id:string,table_id:string,ref_count:bigint>>"
 
 
 def or_empty(values: Column, element_type: str) -> Column:
     return F.coalesce(values, F.array().cast(f"array<{element_type}>"))
 
 
-def _refs(refs: Column) -> Column:
-    return or_empty(
-        refs, "struct<project_id:string,dataset_id:string,table_id:string,ref_count:bigint>"
-    )
+def _refs(name: str) -> str:
+    return f"coalesce({name}, CAST(array() AS {REFERENCES}))"
 
 
-def distinct_datasets(refs: Column) -> Column:
+def distinct_datasets(refs: str) -> Column:
     """Distinct project.dataset names; elements lacking either part are skipped."""
-    named = F.filter(_refs(refs), lambda r: r.project_id.isNotNull() & r.dataset_id.isNotNull())
-    return F.array_distinct(F.transform(named, lambda r: qualified(r.project_id, r.dataset_id)))
+    return F.expr(
+        f"""array_distinct(transform(
+              filter({_refs(refs)}, r -> r.project_id IS NOT NULL AND r.dataset_id IS NOT NULL),
+              r -> concat(r.project_id, '.', r.dataset_id)))"""
+    )
 
 
-def full_tables(refs: Column) -> Column:
+def full_tables(refs: str) -> Column:
     """Elements with project, dataset and table all present, repeats kept."""
-    return F.filter(
-        _refs(refs),
-        lambda r: r.project_id.isNotNull() & r.dataset_id.isNotNull() & r.table_id.isNotNull(),
+    return F.expr(
+        f"""filter({_refs(refs)}, r ->
+              r.project_id IS NOT NULL AND r.dataset_id IS NOT NULL AND r.table_id IS NOT NULL)"""
     )
 
 
-def reference_total(refs: Column) -> Column:
+def reference_total(refs: str) -> Column:
     """How many references the elements stand for."""
-    return F.aggregate(_refs(refs), F.lit(0).cast("long"), lambda n, r: n + r.ref_count)
+    return F.expr(f"aggregate({_refs(refs)}, 0L, (n, r) -> n + r.ref_count)")
 
 
-def writes_own_source(destination: Column, refs: Column) -> Column:
+def writes_own_source(destination: str, refs: str) -> Column:
     """True when a job's destination is among the tables it reads.
 
     Dataset and table are compared, the project is not.
     """
-    return F.coalesce(
-        F.exists(
-            _refs(refs),
-            lambda r: (r.table_id == destination.table_id)
-            & (r.dataset_id == destination.dataset_id),
-        ),
-        F.lit(False),
+    return F.expr(
+        f"""coalesce(exists({_refs(refs)}, r ->
+              r.table_id = {destination}.table_id AND r.dataset_id = {destination}.dataset_id), false)"""
     )

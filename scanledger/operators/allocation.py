@@ -16,14 +16,13 @@ from scanledger.params import Params
 
 def table_costs(stats: DataFrame, params: Params) -> DataFrame:
     """Per user-day and table; every reference of a job gets an equal share."""
-    detail = F.col("referenced_tables_detail")
     shares = stats.select(
         *KEY,
         "total_bytes_processed",
         "total_bytes_billed",
         "destination_table",
-        arrays.reference_total(detail).alias("references"),
-        F.explode(detail).alias("ref"),
+        arrays.reference_total("referenced_tables_detail").alias("references"),
+        F.explode("referenced_tables_detail").alias("ref"),
     )
     target, ref = F.col("destination_table"), F.col("ref")
     own_source = (target.dataset_id == ref.dataset_id) & (target.table_id == ref.table_id)

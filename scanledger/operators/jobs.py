@@ -76,7 +76,7 @@ def job_stats(
     kept = billable(jobs, params, day_partition)
     if skip_small:
         kept = without_small_jobs(kept, params)
-    created, refs = F.col("creation_time"), F.col("referenced_tables")
+    created = F.col("creation_time")
     return kept.withColumns(
         {
             "day": time.day(created),
@@ -84,9 +84,9 @@ def job_stats(
             "hour_of_day": F.hour(created),
             "day_of_week": F.dayofweek(created),
             "execution_time_seconds": time.elapsed_seconds(created, F.col("end_time")),
-            "referenced_datasets": arrays.distinct_datasets(refs),
-            "referenced_tables_detail": arrays.full_tables(refs),
-            "is_table_rebuild": arrays.writes_own_source(F.col("destination_table"), refs),
+            "referenced_datasets": arrays.distinct_datasets("referenced_tables"),
+            "referenced_tables_detail": arrays.full_tables("referenced_tables"),
+            "is_table_rebuild": arrays.writes_own_source("destination_table", "referenced_tables"),
         }
     )
 

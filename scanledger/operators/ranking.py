@@ -25,15 +25,10 @@ def ranked_array(fields: Sequence[Column | str]) -> Column:
     return F.transform(ordered, lambda item: item.entry)
 
 
-def dearest_first(entries: Column, cost_field: str, name_field: str) -> Column:
-    """Sort an array of structs by cost, highest first, NULL last, then by name."""
-    keyed = F.transform(
-        entries,
-        lambda e: F.struct(
-            e[cost_field].isNull().alias("unpriced"),
-            (-e[cost_field]).alias("cost"),
-            e[name_field].alias("name"),
-            e.alias("entry"),
-        ),
+def dearest_first(entries: str, cost_field: str, name_field: str) -> Column:
+    """Sort an array column of structs by cost, highest first, NULL last, then by name."""
+    return F.expr(
+        f"""transform(sort_array(transform({entries}, e -> struct(
+              e.{cost_field} IS NULL AS unpriced, -e.{cost_field} AS cost,
+              e.{name_field} AS name, e AS entry))), item -> item.entry)"""
     )
-    return F.transform(F.sort_array(keyed), lambda item: item.entry)

@@ -61,7 +61,7 @@ def main_cost_table(
         F.collect_list(F.when(F.col("dataset").isNotNull(), entry)).alias("datasets"),
     )
     matched = F.col("project_id").isNotNull() & F.col("user_email").isNotNull()
-    ordered = dearest_first(F.col("datasets"), "dataset_cost_usd", "dataset")
+    ordered = dearest_first("datasets", "dataset_cost_usd", "dataset")
     return present(
         per_user.select(
             *KEY,

@@ -74,7 +74,7 @@ def dataset_array(tables: DataFrame) -> DataFrame:
         F.collect_list(entry).alias("datasets")
     )
     return collected.select(
-        *KEY, dearest_first(F.col("datasets"), "dataset_cost_usd", "dataset").alias("dataset_costs")
+        *KEY, dearest_first("datasets", "dataset_cost_usd", "dataset").alias("dataset_costs")
     )
 
 
