@@ -17,7 +17,7 @@ BANDS, ROWS = 32, 5
 BITS = 512
 WORDS = 5  # words in a shingle
 PERCENT = 80
-BLOCK = 512
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
@@ -156,16 +156,74 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 * low >= percent * high) & (bits <= most_bits(percent))
 
 
+def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of different parts of a bucket, as many as join what is linked.
+
+    Every pair of blocks of a bucket is one group of at most twice BLOCK members
+    with their sets. Sketches are compared first and whole sets where they
+    allow it; a pair is left to the first band it shares. Groups give links
+    that join parts, never their pairs.
+    """
+    sets = _sets(docs, mixed.select(F.col("rep").alias("id")).distinct(), words).withColumnRenamed("doc_id", "rep")
+    full = stored(reps.join(sets, "rep").dropDuplicates(["rep"]), "full")
+    count = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), count).cast("int")
+    other = F.explode(F.sequence(F.lit(0), count - 1))
+    placed = mixed.withColumn("own", own).withColumn("other", other)
+    placed = placed.select("key", "rep", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    limit = most_bits(percent)
+
+    def linked(group: pa.Table) -> pa.Table:
+        ids, part, own, size = (np.asarray(group[c]) for c in ("rep", "part", "own", "n_shingles"))
+        i, j, key = (group[c][0].as_py() for c in ("i", "j", "key"))
+        keys = np.asarray(group["keys"].combine_chunks().flatten()).reshape(len(ids), BANDS)
+        bits = np.stack([np.asarray(group[s]) for s in SKETCH], axis=1).view(np.uint64)
+        band = int((keys[0] == key).argmax())
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        differ = np.bitwise_count(bits[left][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        low, high = (f(size[left][:, None], size[right][None, :]) for f in (np.minimum, np.maximum))
+        likely = (differ <= limit) & (100 * low >= percent * high) & (part[left][:, None] != part[right][None, :])
+        likely &= ids[left][:, None] != ids[right][None, :]
+        u, v = np.nonzero(likely)
+        u, v = left[u], right[v]
+        if i == j:
+            u, v = u[ids[u] < ids[v]], v[ids[u] < ids[v]]
+        first = ~(keys[u][:, :band] == keys[v][:, :band]).any(axis=1)
+        u, v = u[first], v[first]
+        root = {p: p for p in part.tolist()}
+
+        def find(p: int) -> int:
+            while root[p] != p:
+                root[p] = root[root[p]]
+                p = root[p]
+            return p
+
+        out = []
+        values: dict[int, np.ndarray] = {}
+        for x, y in zip(u.tolist(), v.tolist(), strict=True):
+            one, two = find(int(part[x])), find(int(part[y]))
+            if one == two:
+                continue
+            for k in (x, y):
+                if k not in values:
+                    values[k] = np.asarray(group["shingles"][k].values)
+            same = len(np.intersect1d(values[x], values[y], assume_unique=True))
+            if 100 * same >= percent * (len(values[x]) + len(values[y]) - same):
+                root[max(one, two)] = min(one, two)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return placed.join(full, "rep").groupBy("key", "i", "j").applyInArrow(linked, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept.
 
     Documents with equal sets are one class and go on as its smallest id. In
     every bucket of a band all members are first tried against its smallest
     member: as many pairs as rows. Where that leaves a bucket of three or more
-    in several components, members of different components are tried against
-    each other, large buckets in blocks, with the sketches compared inside the
-    join, so only likely pairs come out. All links are confirmed on the whole
-    sets. A pair of similarity 0.8 shares no band with probability 3e-6.
+    in several components, members of different components are compared in
+    blocks that give out only links. All links are confirmed on the whole sets. A pair of similarity 0.8 shares no band with probability 3e-6.
 
     Null and empty texts and texts of white space have no shingles and link
     with nothing; rows without doc_id have no component and are kept. Rows with
@@ -190,15 +248,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     tagged = members.filter("members > 2").join(parts, F.col("rep") == F.col("id"), "left")
     tagged = stored(tagged.select("key", "rep", "members", F.coalesce("component", "rep").alias("part")), "tagged")
     mixed = tagged.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
-    left = stored(tagged.join(mixed, "key").join(sketches, "rep").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")), "mixed")
-    right = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    apart = (F.col("a.rep") < F.col("b.rep")) & (F.col("a.part") != F.col("b.part"))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & apart & _alike("a", "b", percent)
-    across = left.alias("a").join(right.alias("b"), on).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    across = stored(across.join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = verified(docs, across, words, percent)
+    mixed = stored(tagged.join(mixed, "key"), "mixed")
+    if not mixed.isEmpty():
+        more = stored(_across(docs, mixed, reps, words, percent), "more")
         parts = stored(components(links.union(more), "a", "b"), "parts")
 
     found = classes.join(parts, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("part"))
