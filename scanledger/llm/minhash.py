@@ -159,17 +159,29 @@ def _alike(a: str, b: str, percent: int) -> Column:
 def _across(docs: DataFrame, mixed: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (a, b) between members of different parts of a bucket, as many as join what is linked.
 
-    Every pair of blocks of a bucket is one group of at most twice BLOCK members
-    with their sets. Sketches are compared first and whole sets where they
+    The largest part of a bucket and the rest are cut into blocks (places below
+    and from 0 on). Every pair of blocks of the rest, or of one and the other,
+    is a group of at most twice BLOCK members with their sets. Sketches are compared first and whole sets where they
     allow it; a pair is left to the first band it shares. Groups give links
     that join parts, never their pairs.
     """
     sets = _sets(docs, mixed.select(F.col("rep").alias("id")).distinct(), words).withColumnRenamed("doc_id", "rep")
     full = stored(reps.join(sets, "rep").dropDuplicates(["rep"]), "full")
-    count = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), count).cast("int")
-    other = F.explode(F.sequence(F.lit(0), count - 1))
-    placed = mixed.withColumn("own", own).withColumn("other", other)
+    # Members of a bucket's largest part need the others only, so they are copied as rarely as those are few.
+    sizes = mixed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("largest"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    placed = mixed.join(largest, "key").select(
+        "key",
+        "rep",
+        "part",
+        (F.col("part") == F.col("largest.part")).alias("main"),
+        blocks(F.col("largest.n")).alias("main_blocks"),
+        blocks(F.col("all") - F.col("largest.n")).alias("rest_blocks"),
+    )
+    own = F.when(F.col("main"), -1 - F.pmod(F.xxhash64("rep"), "main_blocks")).otherwise(F.pmod(F.xxhash64("rep"), "rest_blocks"))
+    other = F.sequence(F.when(F.col("main"), 0).otherwise(-F.col("main_blocks")), F.col("rest_blocks") - 1)
+    placed = placed.withColumn("own", own.cast("int")).withColumn("other", F.explode(other))
     placed = placed.select("key", "rep", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     limit = most_bits(percent)
 
