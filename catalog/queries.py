@@ -407,7 +407,7 @@ def _history_view(history: DataFrame) -> DataFrame:
 
 @query
 def query_history(spark, sf_dir):
-    return _history_view(reports.query_history(in_report(spark, sf_dir)))
+    return _history_view(reports.query_history_of_jobs(stats(spark, sf_dir), PARAMS, PERIOD))
 
 
 @query
@@ -434,14 +434,15 @@ def dataset_ranking(spark, sf_dir):
 
 @query
 def table_cost_totals(spark, sf_dir):
-    return reports.table_cost_totals(mart(spark, sf_dir)).withColumn(
+    return reports.table_cost_totals_of_jobs(stats(spark, sf_dir), PARAMS).withColumn(
         "bytes_processed", whole("bytes_processed")
     )
 
 
 @query
 def table_rebuild_report(spark, sf_dir):
-    return reports.table_rebuild_report(mart(spark, sf_dir)).select(
+    totals = reports.table_cost_totals_of_jobs(stats(spark, sf_dir), PARAMS)
+    return reports.table_rebuild_report(totals).select(
         "table_name", "dataset_name", "table_id", "total_cost", "rebuild_cost", "incremental_cost",
         whole("bytes_processed"), "rebuild_count",
         cost.half_up(F.col("rebuild_percent"), 4).alias("rebuild_percent"), "severity",

@@ -15,7 +15,7 @@ a single user with a third of all jobs sends little.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions.cost import cost_usd
@@ -78,10 +78,10 @@ def dataset_array(tables: DataFrame) -> DataFrame:
     )
 
 
-def table_array(tables: DataFrame, params: Params) -> DataFrame:
-    """``table_costs`` per user-day: its dearest tables."""
+def table_fields() -> list[Column | str]:
+    """What is kept of a table's cost in a user-day."""
     rebuild, price = F.col("is_rebuild_operation"), F.col("table_cost_usd")
-    fields = [
+    return [
         "table_name",
         "table_id",
         dataset_of_table().alias("dataset_name"),
@@ -93,9 +93,13 @@ def table_array(tables: DataFrame, params: Params) -> DataFrame:
         F.when(~rebuild, price).otherwise(F.lit(0.0)).alias("incremental_cost_usd"),
         F.when(rebuild, 1).otherwise(0).cast("long").alias("rebuild_count"),
     ]
+
+
+def table_array(tables: DataFrame, params: Params) -> DataFrame:
+    """``table_costs`` per user-day: its dearest tables."""
     order = [F.desc_nulls_last("table_cost_usd"), F.asc_nulls_first("table_name")]
     return top_k(tables, KEY, order, params.table_limit).groupBy(*KEY).agg(
-        ranked_array(fields).alias("table_costs")
+        ranked_array(table_fields()).alias("table_costs")
     )
 
 

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from scanledger.functions import display, identity, text, time
 from scanledger.functions.cost import gigabytes, money_sum, ratio_or_zero, terabytes
+from scanledger.operators.allocation import table_costs
+from scanledger.operators.jobs import KEY, present, query_details
+from scanledger.operators.rollups import user_days
 from scanledger.params import DEFAULT_REPORT_PERIOD, Params
+from scanledger.plans.mart import table_fields
 
 TOP_SPENDERS = 8
 TOP_DATASETS = 10
@@ -129,12 +133,51 @@ def _history_entries() -> Column:
 
 
 def query_history(mart: DataFrame) -> DataFrame:
-    """Use per dataset and spender.
+    """Use per dataset and spender as far as a stored mart tells.
 
     The dataset is read off the query texts.  Rows stored without texts fall
     back to their dataset costs, and rows without those to their own totals.
+    A mart keeps the newest queries of a user-day and the start of their texts,
+    so this covers those only; ``query_history_of_jobs`` covers all.
     """
-    entries = mart.select(_spender().alias("user"), F.explode(_history_entries()).alias("e"))
+    return _history(mart.select(_spender().alias("user"), F.explode(_history_entries()).alias("e")))
+
+
+def query_history_of_jobs(stats: DataFrame, params: Params, days: int = DEFAULT_REPORT_PERIOD) -> DataFrame:
+    """Use per dataset and spender in the period, over every query and its whole text.
+
+    Queries without a user add to the day totals of no user, as in the mart.
+    """
+    whole_texts = params.with_settings(text_limit=2**31 - 1)
+    named = stats.where(F.col("user_email").isNotNull())
+    details = in_period(present(query_details(named, whole_texts)), params, days)
+    unnamed = in_period(present(user_days(stats.where(F.col("user_email").isNull()), params)), params, days)
+
+    def entry(sql, from_text, queries, cost, hits, errors, queried):
+        return F.struct(
+            F.lit(None).cast("string").alias("dataset"),
+            sql.cast("string").alias("sql"),
+            F.lit(from_text).alias("from_text"),
+            queries.cast("long").alias("queries"),
+            F.coalesce(F.col("total_bytes_processed").cast("double"), F.lit(0.0)).alias("bytes"),
+            F.coalesce(cost, F.lit(0.0)).alias("cost"),
+            F.coalesce(hits.cast("long"), F.lit(0)).alias("hits"),
+            F.coalesce(errors.cast("long"), F.lit(0)).alias("errors"),
+            F.try_to_timestamp(queried).alias("queried"),
+        ).alias("e")
+
+    col = F.col
+    of_queries = entry(
+        col("query_text"), True, F.lit(1), col("query_cost_usd"), col("cache_hit"), col("has_error"), col("timestamp")
+    )
+    of_days = entry(
+        F.lit(None), False, col("query_count"), col("estimated_cost_usd"), col("cache_hit_count"), col("error_count"), col("date")
+    )
+    user = _spender().alias("user")
+    return _history(details.select(user, of_queries).unionByName(unnamed.select(user, of_days)))
+
+
+def _history(entries: DataFrame) -> DataFrame:
     named = F.coalesce(F.nullif(F.col("e.dataset"), F.lit("")), F.lit(identity.UNKNOWN))
     dataset = F.when(F.col("e.from_text"), text.dataset_in_text(F.col("e.sql"))).otherwise(named)
     return (
@@ -183,11 +226,23 @@ def dataset_ranking(mart: DataFrame, k: int = TOP_DATASETS) -> DataFrame:
     )
 
 
+_TABLE_ROW = ["date", "estimated_cost_usd", "project_id", "user_email"]
+
+
 def table_cost_totals(mart: DataFrame) -> DataFrame:
+    """Cost per table as far as a stored mart tells: it keeps the dearest tables of a user-day only."""
+    return _table_totals(mart.select(*_TABLE_ROW, F.explode("table_costs").alias("t")))
+
+
+def table_cost_totals_of_jobs(stats: DataFrame, params: Params) -> DataFrame:
+    """Cost per table over every table that every job read."""
+    costs = table_costs(stats, params).join(user_days(stats, params).select(*KEY, "estimated_cost_usd"), KEY)
+    rows = present(costs.select(*KEY, "estimated_cost_usd", F.struct(*table_fields()).alias("t")))
+    return _table_totals(rows.select(*_TABLE_ROW, "t"))
+
+
+def _table_totals(tables: DataFrame) -> DataFrame:
     """Cost per table, rebuilt and incremental, with the newest row's attributes."""
-    tables = mart.select(
-        "date", "estimated_cost_usd", "project_id", "user_email", F.explode("table_costs").alias("t")
-    )
     newest = F.max_by(
         F.struct("t.dataset_name", "t.table_id", "t.is_rebuild_operation"),
         F.struct("date", "estimated_cost_usd", "project_id", "user_email"),
@@ -216,12 +271,11 @@ def table_cost_totals(mart: DataFrame) -> DataFrame:
     )
 
 
-def table_rebuild_report(mart: DataFrame, k: int = TOP_ROWS) -> DataFrame:
-    """The k dearest tables with the share and severity of their rebuilds."""
+def table_rebuild_report(totals: DataFrame, k: int = TOP_ROWS) -> DataFrame:
+    """The k dearest of ``table_cost_totals`` with the share and severity of their rebuilds."""
     percent = ratio_or_zero(F.col("rebuild_cost"), F.col("total_cost"))
     return (
-        table_cost_totals(mart)
-        .orderBy(F.desc("total_cost"), F.asc("table_name"))
+        totals.orderBy(F.desc("total_cost"), F.asc("table_name"))
         .limit(k)
         .withColumn("rebuild_percent", percent)
         .withColumn("severity", display.rebuild_severity(F.col("rebuild_percent")))
@@ -291,7 +345,7 @@ def reports(
         "cache_split": cache_split(recent),
         "query_history": history_order(query_history(recent)),
         "dataset_ranking": dataset_ranking(recent),
-        "table_rebuild_report": table_rebuild_report(mart),
+        "table_rebuild_report": table_rebuild_report(table_cost_totals(mart)),
         "user_dataset_report": user_dataset_report(mart),
         "hourly_pattern": hourly_pattern(mart),
         "weekday_pattern": weekday_pattern(mart),

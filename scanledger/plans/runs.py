@@ -19,7 +19,7 @@ from scanledger.sinks import tables
 from scanledger.sinks.snapshots import stamp, write_run_summary, write_snapshot
 from scanledger.sources import projects as project_source
 from scanledger.sources.job_log import named_table, of_project
-from scanledger.sources.snapshots import read_snapshots
+from scanledger.sources.snapshots import read_run_summaries, read_snapshots
 
 
 def run_totals(mart: DataFrame, project_rows: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def run_monitoring(
         rows = failed_runs(watched, params, run_ts, str(error))
     summary_path = f"{output}/summaries"
     write_run_summary(rows, summary_path)
-    return spark.read.schema(RUN_SUMMARY).json(summary_path).where(F.col("run_ts") == run_ts)
+    return read_run_summaries(spark, summary_path).where(F.col("run_ts") == run_ts)
 
 
 def monitor_project(

@@ -22,11 +22,9 @@ CLUSTER_SETTINGS = {
 }
 
 # The marts build arrays from rows that arrive sorted by their group: reuse that
-# order instead of hashing again, and keep more than the default 128 groups of a
-# task in memory before falling back to an external sort.
+# order instead of hashing again.
 ARRAY_SETTINGS = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "32768",
 }
 
 

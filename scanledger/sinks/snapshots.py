@@ -38,9 +38,9 @@ def write_snapshot(mart: DataFrame, path: str, snapshot_ts: str, fmt: str = "jso
 
 
 def write_run_summary(summary: DataFrame, path: str) -> str:
-    """Store run rows by day; a later run of the same day replaces the earlier one."""
+    """Store run rows by day and project; a later run of a day replaces the rows of its own projects only."""
     writer = summary.withColumn("run_date", F.substring("run_ts", 1, 10)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_date").json(path)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "project").json(path)
     return path
 
 

@@ -36,10 +36,12 @@ def projects(config: DataFrame) -> DataFrame:
 
 
 def settings(config: DataFrame) -> DataFrame:
-    """Exactly one row of settings, defaults filled in."""
+    """Exactly one row of settings; what is missing or not above zero is the default."""
     return config.agg(
         *[
-            F.coalesce(F.first(f"settings.{name}", ignorenulls=True), F.lit(default)).alias(name)
+            F.coalesce(
+                F.first(F.when(F.col(f"settings.{name}") > 0, F.col(f"settings.{name}")), ignorenulls=True), F.lit(default)
+            ).alias(name)
             for name, default in _DEFAULTS.items()
         ]
     )
@@ -49,7 +51,7 @@ def load_params(spark: SparkSession, path: str, **arguments) -> Params:
     """Parameters of a run: argument, else config file, else default."""
     row = settings(read_config(spark, path)).first()
     configured = Params().with_settings(
-        history_days=int(row["historyDays"]), price_per_tb=row["costPerTerabyte"]
+        history_days=max(1, int(row["historyDays"])), price_per_tb=row["costPerTerabyte"]
     )
     return configured.with_settings(**arguments)
 

@@ -36,7 +36,7 @@ def latest_per_project(snapshots: DataFrame) -> DataFrame:
 
 
 def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SUMMARY).json(path)
+    return spark.read.schema(RUN_SUMMARY).json(path).select(RUN_SUMMARY.fieldNames())
 
 
 def latest_run(summaries: DataFrame) -> DataFrame:

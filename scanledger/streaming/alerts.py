@@ -86,17 +86,37 @@ def any_alert(*alerts: DataFrame) -> DataFrame:
     return combined
 
 
+_WRITTEN = [
+    T.StructField("written_at", T.TimestampType()),
+    T.StructField("run", T.StringType()),
+    T.StructField("batch", T.LongType()),
+]
+
+
+def compact_alerts(spark: SparkSession, path: str, compacted: str) -> None:
+    """Write the newest state of every alert of a store as one folder per policy of a new store.
+
+    The old store stays as it is; switch readers and writers over, then remove it.
+    """
+    written = {"written_at": F.current_timestamp(), "run": F.lit("compacted"), "batch": F.lit(0)}
+    rows = current_alerts(spark, path).withColumns(written)
+    rows.write.mode("error").partitionBy("policy", "run", "batch").parquet(compacted)
+
+
 def keep_alerts(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep a stream of alerts below ``path``, one row per policy and window.
 
-    Windows are written as they change, a folder per micro-batch and policy
-    stream; a batch that is repeated after a failure replaces its own folder.
-    ``current_alerts`` reads the newest state.
+    Windows are written as they change, a folder per policy, query and
+    micro-batch; a batch that is repeated after a failure replaces its own
+    folder. A query begun with a new checkpoint has an id of its own and leaves
+    the folders of earlier ones. ``current_alerts`` reads the newest state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch", F.lit(batch_id))
-        writer = rows.write.mode("overwrite").partitionBy("policy", "batch")
+        query_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        written = {"written_at": F.current_timestamp(), "run": F.lit(query_id or checkpoint), "batch": F.lit(batch_id)}
+        rows = batch.withColumns(written)
+        writer = rows.write.mode("overwrite").partitionBy("policy", "run", "batch")
         writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return (
@@ -110,8 +130,8 @@ def keep_alerts(alerts: DataFrame, path: str, checkpoint: str, **trigger) -> Str
 
 def current_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of every alert kept by ``keep_alerts``."""
-    kept = spark.read.schema(T.StructType([*ALERT.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    newest = F.max_by(F.struct("window_end", "value", "threshold"), "batch")
+    kept = spark.read.schema(T.StructType([*ALERT.fields, *_WRITTEN])).parquet(path)
+    newest = F.max_by(F.struct("window_end", "value", "threshold"), F.struct("written_at", "batch"))
     return (
         kept.groupBy("policy", "window_start")
         .agg(newest.alias("newest"))

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+from scanledger.operators.jobs import job_stats
 from scanledger.plans import reports, summaries
 from scanledger.plans.main_table import main_cost_table
 from scanledger.plans.mart import user_day_mart
@@ -62,3 +63,20 @@ def test_log_kept_as_a_table(spark, log, params):
     log(job("a", referenced_tables=[A])).write.mode("overwrite").saveAsTable("logs.jobs")
     assert named_table(spark, "logs", "jobs").count() == 1
     assert user_day_mart(read_job_table(spark, "logs", "jobs"), params).first().table_costs[0].table_id == "orders"
+
+
+def test_totals_know_no_cap(log, params):
+    """150 tables and queries of one user-day, the dataset behind the first 1,000 characters."""
+    many = [
+        job(
+            f"j{i:03d}",
+            query="x " * 700 + "FROM `d.s.t`",
+            referenced_tables=[{"project_id": "d", "dataset_id": "s", "table_id": f"t{i}"}],
+        )
+        for i in range(150)
+    ]
+    stats = job_stats(log(*many), params)
+    totals = reports.table_cost_totals_of_jobs(stats, params).collect()
+    assert len(totals) == 150 and sum(t.total_cost for t in totals) == 750.0
+    history = reports.query_history_of_jobs(stats, params, 30).collect()
+    assert [(r.dataset, r.query_count) for r in history] == [("d.s", 150)]

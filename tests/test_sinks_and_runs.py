@@ -95,6 +95,13 @@ def test_single_project_run_and_latest_summary(spark, jobs, project_rows, params
     assert [(r.project, r.run_ts) for r in latest.collect()] == [("p2", "2024-01-31_06-00-00")]
 
 
+def test_runs_of_two_projects_on_a_day_leave_each_other(spark, jobs, project_rows, params, tmp_path):
+    for hour, project in ((5, "p1"), (6, "p2")):
+        runs.monitor_project(spark, jobs, project_rows, project, params, str(tmp_path), datetime(2024, 1, 31, hour))
+    rows = snapshots.read_run_summaries(spark, str(tmp_path / "summaries")).collect()
+    assert sorted((r.project, r.run_ts) for r in rows) == [("p1", "2024-01-31_05-00-00"), ("p2", "2024-01-31_06-00-00")]
+
+
 def test_table_set(spark, jobs, params):
     built = runs.build_all(spark, jobs, params, "costs")
     assert built["main"].count() == 3
@@ -133,7 +140,7 @@ def test_config(spark, tmp_path):
                                 "settings": {"historyDays": 7, "refreshInterval": -1}}))
     config = projects.read_config(spark, str(file))
     assert [r.id for r in projects.enabled(projects.projects(config)).collect()] == ["p1"]
-    assert tuple(projects.settings(config).first()) == (7.0, 5.0, -1.0)
+    assert tuple(projects.settings(config).first()) == (7.0, 5.0, 24.0)  # not above zero: the default
     params = projects.load_params(spark, str(file), price_per_tb=6.25)
     assert (params.history_days, params.price_per_tb) == (7, 6.25)
     failed = {(r["index"], r.rule) for r in quality.config_checks(config).collect()}

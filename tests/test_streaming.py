@@ -48,6 +48,22 @@ def test_streams_keep_what_batch_finds(spark, tmp_path):
     assert {p for p, *_ in expected} == {"daily-cost-above-100", "failed-jobs"}
 
 
+def test_a_new_checkpoint_keeps_old_alerts(spark, tmp_path):
+    path, made = str(tmp_path / "alerts"), rows()
+    stored = set()
+    for turn, part in enumerate((made[:30], made[30:])):
+        source = str(tmp_path / f"log{turn}")
+        spark.createDataFrame(part, JOBS).coalesce(1).write.parquet(source)
+        fired = alerts.failure_alerts(alerts.job_stream(spark, source))
+        alerts.keep_alerts(fired, path, str(tmp_path / f"state{turn}")).awaitTermination()
+        now = {(r.policy, r.window_start) for r in alerts.current_alerts(spark, path).collect()}
+        assert stored <= now
+        stored = now
+    before = as_set(alerts.current_alerts(spark, path))
+    alerts.compact_alerts(spark, path, str(tmp_path / "compacted"))
+    assert as_set(alerts.current_alerts(spark, str(tmp_path / "compacted"))) == before
+
+
 def test_threshold_is_exclusive_and_scripts_do_not_count(spark):
     def value(threshold, **extra):
         jobs = normalise(spark.createDataFrame([job("a"), job("b", **extra)], JOBS))
