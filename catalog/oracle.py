@@ -114,17 +114,17 @@ tc AS (
          r.project_id AS table_project, r.dataset_id AS table_dataset, r.table_id,
          CAST(count(*) AS BIGINT) AS query_count,
          bool_or(coalesce(dest_dataset = r.dataset_id AND dest_table = r.table_id, false)) AS is_rebuild_operation,
-         sum(total_bytes_processed / parts) AS bytes_processed,
-         sum(total_bytes_billed / parts) AS bytes_billed,
-         round(sum(total_bytes_billed / parts) / power(1024, 4) * 5, 2) AS table_cost_usd
+         (sum(total_bytes_processed // parts)::DOUBLE + sum(((total_bytes_processed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) AS bytes_processed,
+         (sum(total_bytes_billed // parts)::DOUBLE + sum(((total_bytes_billed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) AS bytes_billed,
+         round((sum(total_bytes_billed // parts)::DOUBLE + sum(((total_bytes_billed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) / power(1024, 4) * 5, 2) AS table_cost_usd
   FROM js j JOIN full_refs r USING (event_id) GROUP BY ALL
 )"""
 
 DATASETS = """
 dc AS (
   SELECT date, project_id, user_email, service_account, table_project || '.' || table_dataset AS dataset,
-         CAST(sum(query_count) AS BIGINT) AS query_count, sum(bytes_processed) AS bytes_processed,
-         sum(bytes_billed) AS bytes_billed, round(sum(table_cost_usd), 2) AS dataset_cost_usd,
+         CAST(sum(query_count) AS BIGINT) AS query_count, sum(bytes_processed::DECIMAL(38,3))::DOUBLE AS bytes_processed,
+         sum(bytes_billed::DECIMAL(38,3))::DOUBLE AS bytes_billed, round(sum(table_cost_usd), 2) AS dataset_cost_usd,
          CAST(sum(CASE WHEN is_rebuild_operation THEN 1 ELSE 0 END) AS BIGINT) AS rebuild_operations
   FROM tc GROUP BY ALL
 )"""
@@ -132,8 +132,8 @@ dc AS (
 DIRECT = """
 direct AS (
   SELECT date, project_id, user_email, service_account, dataset, CAST(count(*) AS BIGINT) AS query_count,
-         sum(total_bytes_processed / parts) AS bytes_processed, sum(total_bytes_billed / parts) AS bytes_billed,
-         round(sum(total_bytes_billed / parts) / power(1024, 4) * 5, 2) AS dataset_cost_usd
+         (sum(total_bytes_processed // parts)::DOUBLE + sum(((total_bytes_processed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) AS bytes_processed, (sum(total_bytes_billed // parts)::DOUBLE + sum(((total_bytes_billed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) AS bytes_billed,
+         round((sum(total_bytes_billed // parts)::DOUBLE + sum(((total_bytes_billed % parts) * 2000 + parts) // (2 * parts)) / 1000.0::DOUBLE) / power(1024, 4) * 5, 2) AS dataset_cost_usd
   FROM big JOIN dataset_refs USING (event_id) GROUP BY ALL
 )"""
 
@@ -262,7 +262,7 @@ table_totals AS (
          round(sum(table_cost_usd), 2) AS total_cost,
          round(sum(CASE WHEN is_rebuild_operation THEN table_cost_usd ELSE 0 END), 2) AS rebuild_cost,
          round(sum(CASE WHEN is_rebuild_operation THEN 0 ELSE table_cost_usd END), 2) AS incremental_cost,
-         CAST(round(sum(bytes_processed)) AS BIGINT) AS bytes_processed,
+         CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS bytes_processed,
          CAST(sum(CASE WHEN is_rebuild_operation THEN 1 ELSE 0 END) AS BIGINT) AS rebuild_count,
          arg_max(is_rebuild_operation, row(date, estimated_cost_usd, t.project_id, t.user_email)) AS is_rebuild_operation
   FROM mart_tables t JOIN base b USING (date, project_id, user_email)
@@ -273,10 +273,10 @@ table_totals AS (
 def _history(entries: str) -> str:
     return f"""
 SELECT dataset, user, split_part(user, '@', 1) AS user_display, CAST(sum(queries) AS BIGINT) AS query_count,
-       CAST(round(sum(bytes)) AS BIGINT) AS total_bytes_processed, round(sum(cost), 2) AS total_cost,
+       CAST(round(sum(bytes::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS total_bytes_processed, round(sum(cost), 2) AS total_cost,
        CAST(sum(hits) AS BIGINT) AS cache_hit_count, CAST(sum(errors) AS BIGINT) AS error_count,
        strftime(max(queried), '%Y-%m-%d %H:%M:%S') AS last_queried,
-       round(round(sum(bytes) / power(1024, 3), 2) + 1e-9, 2) AS gigabytes_processed,
+       round(round(sum(bytes::DECIMAL(38,3))::DOUBLE / power(1024, 3), 2) + 1e-9, 2) AS gigabytes_processed,
        round({ratio('sum(hits)', 'sum(queries)')} + 1e-9, 2) AS cache_hit_percentage
 FROM ({entries}) GROUP BY dataset, user"""
 
@@ -324,7 +324,7 @@ HISTORY_OLD = " UNION ALL ".join(
 
 RANKING = """
 ranking AS (
-  SELECT dataset, round(sum(dataset_cost_usd), 2) AS cost_usd, sum(bytes_processed) AS bytes_processed
+  SELECT dataset, round(sum(dataset_cost_usd), 2) AS cost_usd, sum(bytes_processed::DECIMAL(38,3))::DOUBLE AS bytes_processed
   FROM mart_datasets GROUP BY dataset ORDER BY cost_usd DESC, dataset LIMIT 10
 ),
 total AS (SELECT round(sum(estimated_cost_usd), 2) AS total FROM base)"""
@@ -357,7 +357,7 @@ usage AS (
 
 ATTRIBUTION = """
 SELECT u.date, u.project_id, u.user, is_service_account, u.dataset_name, CAST(count(*) AS BIGINT) AS query_count,
-       CAST(round(sum(bytes_processed)) AS BIGINT) AS bytes_processed, round(sum(dataset_cost_usd), 2) AS cost_usd,
+       CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS bytes_processed, round(sum(dataset_cost_usd), 2) AS cost_usd,
        round(round(sum(dataset_cost_usd), 2) / nullif(
          (SELECT round(sum(x.dataset_cost_usd), 2) FROM usage x WHERE x.date = u.date AND x.user = u.user), 0) * 100 + 1e-9, 2) AS pct_of_user_cost,
        round(round(sum(dataset_cost_usd), 2) / nullif(
@@ -494,8 +494,8 @@ ORACLE: dict[str, str] = {
     "dataset_summary": sql(
         """SELECT date, project_id, dataset_name,
         CAST(count(DISTINCT user_email || coalesce(service_account, '')) AS BIGINT) AS unique_users,
-        CAST(round(sum(bytes_processed)) AS BIGINT) AS total_bytes_processed,
-        CAST(round(sum(bytes_billed)) AS BIGINT) AS total_bytes_billed,
+        CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS total_bytes_processed,
+        CAST(round(sum(bytes_billed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS total_bytes_billed,
         round(sum(dataset_cost_usd), 2) AS total_cost_usd,
         CAST(least(10, count(DISTINCT user)) AS BIGINT) AS top_users_length FROM usage GROUP BY 1, 2, 3""",
         DATASET_REFS, DIRECT, MAIN_DATASETS, USAGE,
@@ -504,7 +504,7 @@ ORACLE: dict[str, str] = {
         """SELECT *, row_number() OVER (PARTITION BY date, project_id, dataset_name
                                         ORDER BY user_cost_usd DESC NULLS LAST, user NULLS FIRST) AS rank
         FROM (SELECT date, project_id, dataset_name, user, round(sum(dataset_cost_usd), 2) AS user_cost_usd,
-                     CAST(round(sum(bytes_processed)) AS BIGINT) AS user_bytes_processed FROM usage GROUP BY 1, 2, 3, 4)
+                     CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS user_bytes_processed FROM usage GROUP BY 1, 2, 3, 4)
         QUALIFY rank <= 10""",
         DATASET_REFS, DIRECT, MAIN_DATASETS, USAGE,
     ),
@@ -522,7 +522,7 @@ ORACLE: dict[str, str] = {
         """SELECT *, row_number() OVER (PARTITION BY date, project_id, service_account
                                         ORDER BY dataset_cost_usd DESC NULLS LAST, dataset_name) AS rank
         FROM (SELECT date, project_id, service_account, dataset_name, round(sum(dataset_cost_usd), 2) AS dataset_cost_usd,
-                     CAST(round(sum(bytes_processed)) AS BIGINT) AS dataset_bytes_processed
+                     CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS dataset_bytes_processed
               FROM usage WHERE service_account IS NOT NULL GROUP BY 1, 2, 3, 4)
         QUALIFY rank <= 10""",
         DATASET_REFS, DIRECT, MAIN_DATASETS, USAGE,
@@ -566,7 +566,7 @@ ORACLE: dict[str, str] = {
         f"""SELECT user, dataset, is_service_account, cost_usd, bytes_processed, split_part(user, '@', 1) AS user_display,
         CASE WHEN is_service_account THEN 'Service Account' ELSE 'User' END AS user_type
         FROM (SELECT {SPENDER} AS user, dataset, bool_or({IS_ACCOUNT}) AS is_service_account,
-                     round(sum(dataset_cost_usd), 2) AS cost_usd, CAST(round(sum(bytes_processed)) AS BIGINT) AS bytes_processed
+                     round(sum(dataset_cost_usd), 2) AS cost_usd, CAST(round(sum(bytes_processed::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS bytes_processed
               FROM mart_datasets GROUP BY 1, 2)
         ORDER BY cost_usd DESC, user, dataset LIMIT 100""",
         FULL_REFS, TABLES, DATASETS, MART_DATASETS,

@@ -71,12 +71,18 @@ def what_if_cost(estimated_tb: Column, price_per_tb: float) -> Column:
 
 
 def split_sum(nbytes: Column, shares: Column, weight: Column | int = 1) -> Column:
-    """Aggregate: the sum of ``nbytes / shares * weight``.
+    """Aggregate: the sum of ``nbytes / shares * weight``, each share to a thousandth of a byte.
 
-    Quotients are summed as integers and only the remainders as floats, so the
-    result does not drift with the order in which partitions arrive.
+    Whole bytes and thousandths are summed as integers, so the result does not
+    depend on the order or the number of partitions.
     """
     weight = F.lit(weight) if isinstance(weight, int) else weight
-    quotient = F.call_function("div", nbytes, shares)
-    remainder = nbytes % shares
-    return F.sum(quotient * weight).cast("double") + F.sum(remainder * weight / shares)
+    div = lambda a, b: F.call_function("div", a, b)
+    thousandths = div((nbytes % shares) * 2000 + shares, shares * 2)
+    return F.sum(div(nbytes, shares) * weight).cast("double") + F.sum(thousandths * weight) / F.lit(1000.0)
+
+
+def byte_sum(nbytes: Column | str) -> Column:
+    """Aggregate: the exact sum of split bytes, which have three decimals."""
+    column = F.col(nbytes) if isinstance(nbytes, str) else nbytes
+    return F.sum(column.cast("decimal(38,3)")).cast("double")

@@ -65,8 +65,8 @@ def dataset_costs_from_tables(tables: DataFrame) -> DataFrame:
     """Per user-day and dataset, added up from ``table_costs``."""
     return tables.groupBy(*KEY, dataset_of_table()).agg(
         F.sum("query_count").alias("query_count"),
-        F.sum("bytes_processed").alias("bytes_processed"),
-        F.sum("bytes_billed").alias("bytes_billed"),
+        cost.byte_sum("bytes_processed").alias("bytes_processed"),
+        cost.byte_sum("bytes_billed").alias("bytes_billed"),
         cost.money_sum(F.col("table_cost_usd")).alias("dataset_cost_usd"),
         F.count_if("is_rebuild_operation").alias("rebuild_operations"),
     )

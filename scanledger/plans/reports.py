@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions import display, identity, text, time
-from scanledger.functions.cost import gigabytes, money_sum, ratio_or_zero, terabytes
+from scanledger.functions.cost import byte_sum, gigabytes, money_sum, ratio_or_zero, terabytes
 from scanledger.operators.allocation import table_costs
 from scanledger.operators.jobs import KEY, present, query_details
 from scanledger.operators.rollups import user_days
@@ -184,7 +184,7 @@ def _history(entries: DataFrame) -> DataFrame:
         entries.groupBy(dataset.alias("dataset"), "user")
         .agg(
             F.sum("e.queries").alias("query_count"),
-            F.sum("e.bytes").alias("total_bytes_processed"),
+            byte_sum("e.bytes").alias("total_bytes_processed"),
             _money("e.cost").alias("total_cost"),
             F.sum("e.hits").alias("cache_hit_count"),
             F.sum("e.errors").alias("error_count"),
@@ -217,7 +217,7 @@ def dataset_ranking(mart: DataFrame, k: int = TOP_DATASETS) -> DataFrame:
         mart.select(F.explode("dataset_costs").alias("d"))
         .groupBy(F.col("d.dataset").alias("dataset"))
         .agg(
-            _total("d.bytes_processed").alias("bytes_processed"),
+            F.coalesce(byte_sum("d.bytes_processed"), F.lit(0.0)).alias("bytes_processed"),
             _money("d.dataset_cost_usd").alias("cost_usd"),
         )
         .orderBy(F.desc("cost_usd"), F.asc("dataset"))
@@ -254,7 +254,7 @@ def _table_totals(tables: DataFrame) -> DataFrame:
             _money("t.table_cost_usd").alias("total_cost"),
             _money("t.rebuild_cost_usd").alias("rebuild_cost"),
             _money("t.incremental_cost_usd").alias("incremental_cost"),
-            _total("t.bytes_processed").alias("bytes_processed"),
+            F.coalesce(byte_sum("t.bytes_processed"), F.lit(0.0)).alias("bytes_processed"),
             _total("t.rebuild_count").alias("rebuild_count"),
         )
         .select(
@@ -294,7 +294,7 @@ def user_dataset_report(mart: DataFrame, k: int = TOP_ROWS) -> DataFrame:
         .agg(
             F.bool_or("account").alias("is_service_account"),
             _money("d.dataset_cost_usd").alias("cost_usd"),
-            _total("d.bytes_processed").alias("bytes_processed"),
+            F.coalesce(byte_sum("d.bytes_processed"), F.lit(0.0)).alias("bytes_processed"),
         )
         .orderBy(F.desc("cost_usd"), F.asc("user"), F.asc("dataset"))
         .limit(k)

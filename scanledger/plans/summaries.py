@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions.arrays import or_empty
-from scanledger.functions.cost import half_up, money_sum, percentage
+from scanledger.functions.cost import byte_sum, half_up, money_sum, percentage
 from scanledger.operators.ranking import ranked_array, top_k
 
 TOP_ENTRIES = 10
@@ -54,7 +54,7 @@ def dataset_top_users(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
         .groupBy(*keys, F.coalesce("service_account", "user_email").alias("user"))
         .agg(
             money_sum(F.col("dataset_cost_usd")).alias("user_cost_usd"),
-            F.sum("bytes_processed").alias("user_bytes_processed"),
+            byte_sum("bytes_processed").alias("user_bytes_processed"),
         )
     )
     order = [F.desc_nulls_last("user_cost_usd"), F.asc_nulls_first("user")]
@@ -71,8 +71,8 @@ def dataset_summary(main: DataFrame, k: int = TOP_ENTRIES, exact: bool = True) -
     users = F.count_distinct(who) if exact else F.approx_count_distinct(who, 0.02)
     totals = dataset_usage(main).groupBy(*keys).agg(
         users.alias("unique_users"),
-        F.sum("bytes_processed").alias("total_bytes_processed"),
-        F.sum("bytes_billed").alias("total_bytes_billed"),
+        byte_sum("bytes_processed").alias("total_bytes_processed"),
+        byte_sum("bytes_billed").alias("total_bytes_billed"),
         money_sum(F.col("dataset_cost_usd")).alias("total_cost_usd"),
     )
     top = dataset_top_users(main, k).groupBy(*keys).agg(
@@ -92,7 +92,7 @@ def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
         .groupBy(*keys, "dataset_name")
         .agg(
             money_sum(F.col("dataset_cost_usd")).alias("dataset_cost_usd"),
-            F.sum("bytes_processed").alias("dataset_bytes_processed"),
+            byte_sum("bytes_processed").alias("dataset_bytes_processed"),
         )
     )
     order = [F.desc_nulls_last("dataset_cost_usd"), F.asc_nulls_first("dataset_name")]
@@ -155,7 +155,7 @@ def user_dataset_attribution(main: DataFrame) -> DataFrame:
         "date", "project_id", "user", "is_service_account", "dataset_name"
     ).agg(
         F.sum("rows").alias("query_count"),
-        F.sum("bytes").alias("bytes_processed"),
+        byte_sum("bytes").alias("bytes_processed"),
         money_sum(F.col("cost")).alias("cost_usd"),
     )
     of_user = attributed.groupBy("date", "user").agg(money_sum(F.col("cost_usd")).alias("user_total"))
