@@ -4,7 +4,6 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
 from catalog import queries
 from scanledger.operators.jobs import job_stats
 from scanledger.plans.mart import latest_queries, user_day_mart
@@ -93,9 +92,9 @@ def test_main_table_reads_the_log_once(nested_log, params):
     assert text.count("FileScan") == 1 and exchanges(text) == 2 and "Join" not in text
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITES_FIRST))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - WRITES_FIRST))
 def test_no_pairwise_joins_and_no_python(name, spark):
-    text = plan(contract.queries()[name](spark, SF_DIR))
+    text = plan(queries.QUERIES[name](spark, SF_DIR))
     for banned in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "BatchEval"):
         assert banned not in text
 
