@@ -58,29 +58,62 @@ def messages(conversations: DataFrame) -> DataFrame:
     )
 
 
+def chains(singles: DataFrame) -> DataFrame:
+    """(conv_id, call_id, head, steps) of calls with one call before them (conv_id, call_id, head): where their chain begins.
+
+    Pointers double each round, so a chain of n calls takes log n rounds. A
+    pointer that still leads into a chain after as many steps as there are
+    calls runs in a circle, and its row is left out.
+    """
+    jumps = stored(singles.select("conv_id", "call_id", "head", F.lit(1).alias("steps")), "chains")
+    most, reach = jumps.count(), 1
+    while True:
+        onward = jumps.select("conv_id", F.col("call_id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        met = jumps.join(onward, ["conv_id", "head"], "left")
+        inside = F.col("next").isNotNull()
+        if reach > most or met.filter(inside).isEmpty():
+            return met.filter(~inside).select("conv_id", "call_id", "head", "steps")
+        longer = met.select("conv_id", "call_id", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        jumps, reach = stored(longer, "chains"), reach * 2
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of distinct calls (conv_id, call_id, after): one more than the deepest call before it.
 
-    Each round levels every call whose known predecessors have one: as many
-    rounds as the longest chain. Predecessors that do not exist are ignored.
-    Calls on or behind a cycle keep a null level.
+    Calls with one predecessor are first gathered into chains, see ``chains``.
+    Calls with several are then levelled from the heads of the chains before
+    them, in as many rounds as such calls follow one another. Predecessors that
+    do not exist are ignored. Calls on or behind a cycle keep a null level.
     """
     keys = ["conv_id", "call_id"]
     ids = calls.select(*keys)
     edges = calls.select(*keys, F.explode(F.array_distinct("after")).alias("before"))
     known = ids.select("conv_id", F.col("call_id").alias("before"))
     edges = stored(edges.join(known, ["conv_id", "before"]), "edges")
-    waiting = edges.select(*keys).distinct().withColumn("waits", F.lit(True))
-    state = ids.join(waiting, keys, "left").select(*keys, F.when(F.col("waits").isNull(), F.lit(0)).alias("level"))
-    state, open_before = stored(state, "levels"), -1
+    counted = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.min("before").alias("head"))
+    nodes = stored(ids.join(counted, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"), "head"), "nodes")
+    chained = stored(chains(nodes.filter("n = 1").select(*keys, "head")), "chained")
+
+    several = edges.join(nodes.filter("n > 1").select(*keys), keys)
+    heads = nodes.select("conv_id", F.col("call_id").alias("before"), "n").join(
+        chained.select("conv_id", F.col("call_id").alias("before"), "head", "steps"), ["conv_id", "before"], "left"
+    )
+    # A call before that begins a chain or has several before it is its own head; one in a circle has none.
+    heads = heads.select("conv_id", "before", F.when(F.col("n") == 1, F.col("head")).otherwise(F.col("before")).alias("head"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    several = stored(several.join(heads, ["conv_id", "before"]).select(*keys, "head", "steps"), "several")
+
+    state, open_before = nodes.filter("n <> 1").select(*keys, F.when(F.col("n") == 0, 0).alias("level")), -1
+    state = stored(state, "levels")
     while True:
         still = state.filter("level IS NULL").count()
+        before = state.select("conv_id", F.col("call_id").alias("head"), "level")
         if still in (0, open_before):
-            return state
+            behind = chained.join(before, ["conv_id", "head"], "left").select(*keys, (F.col("level") + F.col("steps")).alias("level"))
+            circles = nodes.filter("n = 1").join(chained, keys, "left_anti").select(*keys, F.lit(None).cast("int").alias("level"))
+            return state.unionByName(behind).unionByName(circles)
         open_before = still
-        before = state.select("conv_id", F.col("call_id").alias("before"), "level")
-        ready = edges.join(before, ["conv_id", "before"]).groupBy(*keys)
-        ready = ready.agg((F.max("level") + 1).alias("next"), F.every(F.col("level").isNotNull()).alias("all")).filter("all")
+        ready = several.join(before, ["conv_id", "head"], "left").groupBy(*keys)
+        ready = ready.agg((F.max(F.col("level") + F.col("steps")) + 1).alias("next"), F.every(F.col("level").isNotNull()).alias("all")).filter("all")
         state = stored(state.join(ready, keys, "left").select(*keys, F.coalesce("level", "next").alias("level")), "levels")
 
 
@@ -151,9 +184,14 @@ def link(items: DataFrame, schemas: DataFrame) -> DataFrame:
     depth = F.when(result & ~exists, 0).otherwise(F.coalesce(depth, last))
     rows = rows.withColumn("status", status).withColumn("depth", F.when(placed, depth)).withColumn("_block", F.floor(F.col("turn") / BLOCK))
 
-    tally = rows.filter(placed).groupBy("conv_id", "depth", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("conv_id").orderBy("depth", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = tally.select("conv_id", "depth", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    # Totals of stretches of depths first, then places inside a stretch: no window spans a long conversation.
+    tally = rows.filter(placed).groupBy("conv_id", F.floor(F.col("depth") / BLOCK).alias("_stretch"), "depth", "_block").agg(F.count("*").alias("_n"))
+    before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = tally.groupBy("conv_id", "_stretch").agg(F.sum("_n").alias("_all"))
+    earlier = F.coalesce(F.sum("_all").over(before(["conv_id"], "_stretch")), F.lit(0))
+    inside = F.coalesce(F.sum("_n").over(before(["conv_id", "_stretch"], "depth", "_block")), F.lit(0))
+    starts = tally.withColumn("_inside", inside).join(stretches.select("conv_id", "_stretch", earlier.alias("_earlier")), ["conv_id", "_stretch"])
+    starts = starts.select("conv_id", "depth", "_block", (F.col("_earlier") + F.col("_inside")).alias("_start"))
     within = Window.partitionBy("conv_id", "depth", "_block").orderBy("turn", "kind", "call_id", "_content")
     rows = rows.join(starts, ["conv_id", "depth", "_block"], "left").withColumn(
         "position", F.when(placed, F.col("_start") + F.row_number().over(within) - 1)

@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns."""
 
+import random
 import re
 import zlib
 
@@ -267,3 +268,24 @@ def test_tool_calls(spark):
     assert chat.link(chat.messages(table.filter("false")), schemas).count() == 0
 
 
+
+
+def test_call_levels_match_brute_force(spark):
+    """Long chains, calls with several predecessors, unknown ones, and circles with calls behind them."""
+    draw = random.Random(3)
+    rows = [(9, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(300)]
+    rows += [(8, "a", ["b"]), (8, "b", ["a"]), (8, "d", ["a"]), (8, "e", ["d", "f"]), (8, "f", []), (8, "s", ["s"])]
+    for conv in range(3):
+        for i in range(40):
+            after = [f"c{draw.randrange(max(0, i - 4), i)}" for _ in range(draw.choice([0, 1, 1, 1, 2, 3]))] if i else ["unknown"]
+            rows.append((conv, f"c{i}", after + ([f"c{draw.randrange(40)}"] if conv == 2 and draw.random() < 0.1 else [])))
+    ids = {(conv, call) for conv, call, _ in rows}
+    before = {(conv, call): {(conv, b) for b in after} & ids for conv, call, after in rows}
+    expected, grows = {}, True
+    while grows:
+        ready = {c: max((expected[b] + 1 for b in bs), default=0) for c, bs in before.items() if c not in expected and bs <= expected.keys()}
+        expected.update(ready)
+        grows = bool(ready)
+    found = {(r.conv_id, r.call_id): r.level for r in chat.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()}
+    assert found == {c: expected.get(c) for c in ids}
+    assert expected[9, "c299"] == 299 and (8, "e") not in expected
