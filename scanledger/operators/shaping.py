@@ -26,9 +26,13 @@ def incremental(df: DataFrame, column: str, predicate: str) -> DataFrame:
 
 
 def newer_than(df: DataFrame, column: str, built: DataFrame) -> DataFrame:
-    """Rows past the highest ``column`` of what is built already; all when nothing is."""
-    highest = built.agg(F.max(column).alias("highest")).scalar()
-    return df.where(F.coalesce(F.col(column) > highest, F.lit(True)) & F.col(column).isNotNull())
+    """Rows past the highest ``column`` of what is built already; all when nothing is.
+
+    The highest value is read first, so the scan gets a plain comparison: it
+    prunes the folders of a partition column and is pushed to the files of others.
+    """
+    highest = built.agg(F.max(column)).first()[0]
+    return df.where(F.col(column).isNotNull() if highest is None else F.col(column) > F.lit(highest))
 
 
 def exploration_limit(df: DataFrame, rows: int = EXPLORATION_ROWS) -> DataFrame:

@@ -18,9 +18,17 @@ TOP_DATASETS = 10
 TOP_ROWS = 100
 
 
-def in_period(mart: DataFrame, params: Params, days: int = DEFAULT_REPORT_PERIOD) -> DataFrame:
-    """Days of the last ``days`` days; the cutoff keeps its time of day."""
-    return mart.where(F.to_timestamp("date") >= params.days_ago(days))
+def in_period(
+    mart: DataFrame, params: Params, days: int = DEFAULT_REPORT_PERIOD, day_partition: str | None = None
+) -> DataFrame:
+    """Days of the last ``days`` days; the cutoff keeps its time of day.
+
+    The date text is compared as well, which a scan can push down.  Name the
+    day partition column of a stored table, and older folders are not listed.
+    """
+    cutoff = params.days_ago(days)
+    kept = mart.where((F.col("date") >= F.date_format(cutoff, "yyyy-MM-dd")) & (F.to_timestamp("date") >= cutoff))
+    return kept.where(F.col(day_partition) >= F.to_date(cutoff)) if day_partition else kept
 
 
 def _total(name: str) -> Column:

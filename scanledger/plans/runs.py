@@ -70,6 +70,37 @@ def failed_runs(project_rows: DataFrame, params: Params, run_ts: str, message: s
     return _run_rows(named, params, run_ts, error=message)
 
 
+def _snapshot_run(
+    jobs: DataFrame, watched: DataFrame, params: Params, path: str, run_ts: str, fmt: str
+) -> DataFrame:
+    """Store the mart of these jobs and return the run rows of the watched projects, read back from it."""
+    started = time.monotonic()
+    write_snapshot(user_day_mart(jobs, params), path, run_ts, fmt)
+    stored = read_snapshots(jobs.sparkSession, path, fmt).where(F.col("snapshot_ts") == run_ts)
+    return _run_rows(
+        run_totals(stored, watched),
+        params,
+        run_ts,
+        elapsed_seconds=time.monotonic() - started,
+        output_path=f"{path}/snapshot_ts={run_ts}",
+    )
+
+
+def _one_by_one(
+    jobs: DataFrame, watched: DataFrame, params: Params, path: str, run_ts: str, fmt: str
+) -> DataFrame:
+    """A run per configured project, so that only the broken ones end in error rows."""
+    rows = None
+    for row in watched.select("id").distinct().orderBy("id").collect():
+        one = watched.where(F.col("id").eqNullSafe(F.lit(row["id"])))
+        try:
+            done = _snapshot_run(of_project(jobs, row["id"]), one, params, path, run_ts, fmt)
+        except Exception as error:
+            done = failed_runs(one, params, run_ts, str(error))
+        rows = done if rows is None else rows.unionByName(done)
+    return rows
+
+
 def run_monitoring(
     spark: SparkSession,
     jobs: DataFrame,
@@ -77,28 +108,24 @@ def run_monitoring(
     params: Params,
     output: str,
     moment: datetime | None = None,
+    fmt: str = "json",
 ) -> DataFrame:
     """Snapshot the mart of all enabled projects and return one run row per project.
 
     One job serves all projects, keyed by project.  The totals come from the
-    stored snapshot, so the log is read once.  An error ends up in the rows.
+    stored snapshot, so the log is read once.  If that job breaks, the projects
+    are run one by one, and the errors of the broken ones end up in their rows.
+    ``fmt="parquet"`` stores the snapshot in columns, for reports that read a few.
     """
     run_ts = stamp(moment or datetime.now(timezone.utc))
     watched = project_source.enabled(project_rows)
-    path, started = f"{output}/snapshots", time.monotonic()
+    path = f"{output}/snapshots"
     try:
-        mart = user_day_mart(project_source.of_enabled_projects(jobs, project_rows), params)
-        write_snapshot(mart, path, run_ts)
-        stored = read_snapshots(spark, path).where(F.col("snapshot_ts") == run_ts)
-        rows = _run_rows(
-            run_totals(stored, watched),
-            params,
-            run_ts,
-            elapsed_seconds=time.monotonic() - started,
-            output_path=f"{path}/snapshot_ts={run_ts}",
-        )
+        together = project_source.of_enabled_projects(jobs, project_rows)
+        rows = _snapshot_run(together, watched, params, path, run_ts, fmt)
     except Exception as error:
-        rows = failed_runs(watched, params, run_ts, str(error))
+        one_by_one = _one_by_one(jobs, watched, params, path, run_ts, fmt)
+        rows = failed_runs(watched, params, run_ts, str(error)) if one_by_one is None else one_by_one
     summary_path = f"{output}/summaries"
     write_run_summary(rows, summary_path)
     return read_run_summaries(spark, summary_path).where(F.col("run_ts") == run_ts)
@@ -112,17 +139,20 @@ def monitor_project(
     params: Params,
     output: str,
     moment: datetime | None = None,
+    fmt: str = "json",
 ) -> DataFrame:
     """A run for one project; ``project_row`` holds its id and name."""
     one = project_row.where(F.col("id") == project_id)
-    return run_monitoring(spark, of_project(jobs, project_id), one, params, output, moment)
+    return run_monitoring(spark, of_project(jobs, project_id), one, params, output, moment, fmt)
 
 
 @dataclass
 class TableSet:
     """The stored main table, the views on it and the attribution table.
 
-    Every object is created once per set, however often it is asked for.
+    Every table is created once per set, however often it is asked for.  A view
+    has two names: its own, which the set asked last holds, and one that begins
+    with the schema and stays.
     """
 
     spark: SparkSession
@@ -139,30 +169,27 @@ class TableSet:
     )
     created: set[str] = field(default_factory=set)
 
-    def _once(self, key: str) -> bool:
+    def _store(self, key: str, build, cluster_by: tuple[str, ...], tags: tuple[str, ...]) -> None:
+        """Write a table unless it is known; after a failed write the next call tries again."""
         full = f"{self.schema}.{self.names[key]}"
-        fresh = full not in self.created
-        self.created.add(full)
-        return fresh
+        if full not in self.created:
+            tables.write_table(build(), self.schema, self.names[key], cluster_by, tags=tags)
+            self.created.add(full)
 
     def main(self) -> DataFrame:
         return named_table(self.spark, self.schema, self.names["main"]).drop("day")
 
     def create_main(self, jobs: DataFrame) -> DataFrame:
-        if self._once("main"):
-            tables.write_table(
-                main_cost_table(jobs, self.params),
-                self.schema,
-                self.names["main"],
-                tables.MAIN_CLUSTER,
-                tags=("cost", "monitoring", "datasets"),
-            )
+        build = lambda: main_cost_table(jobs, self.params)
+        self._store("main", build, tables.MAIN_CLUSTER, ("cost", "monitoring", "datasets"))
         return self.main()
 
     def _view(self, key: str, build) -> DataFrame:
-        if self._once(key):
-            tables.register_view(build(self.main()), self.names[key])
-        return self.spark.table(self.names[key])
+        name = self.names[key]
+        view = build(self.main())
+        for full in (name, f"{self.schema}_{name}"):
+            tables.register_view(view, full)
+        return self.spark.table(f"{self.schema}_{name}")
 
     def create_daily_summary(self) -> DataFrame:
         return self._view("daily", summaries.daily_summary)
@@ -174,14 +201,8 @@ class TableSet:
         return self._view("accounts", summaries.account_summary)
 
     def create_attribution(self) -> DataFrame:
-        if self._once("attribution"):
-            tables.write_table(
-                summaries.user_dataset_attribution(self.main()),
-                self.schema,
-                self.names["attribution"],
-                tables.ATTRIBUTION_CLUSTER,
-                tags=("cost", "attribution"),
-            )
+        build = lambda: summaries.user_dataset_attribution(self.main())
+        self._store("attribution", build, tables.ATTRIBUTION_CLUSTER, ("cost", "attribution"))
         return named_table(self.spark, self.schema, self.names["attribution"]).drop("day")
 
 

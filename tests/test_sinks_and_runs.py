@@ -85,7 +85,45 @@ def test_a_broken_log_becomes_error_rows(spark, jobs, project_rows, params, tmp_
     rows = runs.run_monitoring(spark, broken, project_rows, params, str(tmp_path), datetime(2024, 1, 31, 5))
     answer = {r.project: r for r in runs.run_response(rows).collect()}
     assert set(answer) == {"p1", "p2", "idle"}
-    assert all(not r.success and r.records == 0 and "log not readable" in r.error for r in answer.values())
+    assert all(not answer[p].success and answer[p].records == 0 and "log not readable" in answer[p].error for p in ("p1", "p2"))
+    assert answer["idle"].success and answer["idle"].records == 0  # it has no row to break on
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_a_broken_project_leaves_the_others(spark, jobs, project_rows, params, tmp_path, fmt):
+    unreadable = F.raise_error(F.lit("log not readable")).cast("long")
+    broken = jobs.withColumn("total_bytes_billed", F.when(F.col("project_id") == "p2", unreadable).otherwise(F.col("total_bytes_billed")))
+    rows = runs.run_monitoring(spark, broken, project_rows, params, str(tmp_path), datetime(2024, 1, 31, 5), fmt)
+    found = {r.project: r for r in rows.collect()}
+    assert (found["p1"].records, found["p1"].total_cost, found["p1"].error) == (1, 5.0, None)
+    assert "log not readable" in found["p2"].error and found["idle"].error is None
+    stored = snapshots.read_snapshots(spark, str(tmp_path / "snapshots"), fmt)
+    assert {r.project_id for r in stored.collect()} == {"p1"}
+
+
+def test_views_of_two_schemas_stay_apart(spark, jobs, params):
+    first = runs.build_all(spark, jobs, params, "sa")["daily"]
+    second = runs.build_all(spark, jobs.where("job_id = 'a'"), params, "sb")["daily"]
+    assert (first.count(), second.count()) == (3, 1)
+    assert (spark.table("sa_daily_cost_summary").count(), spark.table("daily_cost_summary").count()) == (3, 1)
+
+
+def test_a_failed_write_is_tried_again(spark, jobs, params):
+    built = runs.TableSet(spark, "sc", params)
+    with pytest.raises(Exception, match="log not readable"):
+        built.create_main(jobs.withColumn("total_bytes_billed", F.raise_error(F.lit("log not readable")).cast("long")))
+    assert built.create_main(jobs).count() == 3
+
+
+def test_period_and_newer_rows_are_pushed_to_the_scan(spark, jobs, params, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_folder(main_cost_table(jobs, params), path, tables.MAIN_CLUSTER)
+    stored = spark.read.parquet(path)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(reports.in_period(stored, params, 16, day_partition="day"))
+    assert "GreaterThanOrEqual(date," in text and "PartitionFilters: [isnotnull(day" in text
+    fresh = shaping.newer_than(stored, "day", stored.where("day = '2024-01-15'"))
+    assert "PartitionFilters: [isnotnull(day" in plan(fresh) and {r.date for r in fresh.collect()} == {"2024-01-16"}
 
 
 def test_single_project_run_and_latest_summary(spark, jobs, project_rows, params, tmp_path):
