@@ -11,8 +11,12 @@ LEAST_WORDS = 8
 BROADCAST_ROWS = 1_000_000
 
 
+def _split() -> Column:
+    return F.split(F.lower("text"), "\n", -1)
+
+
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
 def _reach(n: Column) -> Column:
@@ -35,12 +39,32 @@ def _anchors(words: Column, n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, doc, line_no, words, n, key) of every line with enough words; ``doc`` tells texts of one id apart."""
-    split = docs.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
+    """(doc_id, doc, line_no, words, n, key) of every line with enough words; ``doc`` tells texts of one id apart.
+
+    Short lines are left out before the array is taken apart: a filter on the
+    rows would move below it and look for the words a second time.
+    """
+    lines = F.transform(_split(), lambda line, i: F.struct(i.alias("line_no"), _words(line).alias("words")))
+    lines = F.filter(lines, lambda x: F.size(x["words"]) >= least)
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("doc"), "text")
+    return texts.select("doc_id", "doc", F.inline(lines)).withColumn("n", F.size("words")).withColumn("key", F.xxhash64("words"))
+
+
+def _texts(docs: DataFrame, candidates: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(key, first, words, n) of the lines (key, first): they are looked up text by text, so only theirs are cut into words."""
+    wanted = candidates.select("key", "first.*").groupBy("doc_id", "doc").agg(F.collect_list(F.struct("line_no", "key")).alias("mine"))
+    wanted = F.broadcast(wanted) if candidates.count() <= broadcast_rows else wanted
+    split = docs.select("doc_id", F.xxhash64("text").alias("doc"), "text").join(wanted, ["doc_id", "doc"])
+    split = split.select("doc_id", "doc", "mine", _split().alias("parts"))
+    rows = F.transform(
+        "mine",
+        lambda m: F.struct(
+            m["key"].alias("key"),
+            F.struct("doc_id", "doc", m["line_no"].alias("line_no")).alias("first"),
+            _words(F.get("parts", m["line_no"])).alias("words"),
+        ),
     )
-    words = split.select("doc_id", "doc", "line_no", _words(F.col("line")).alias("words"))
-    return words.withColumn("n", F.size("words")).filter(F.col("n") >= least).withColumn("key", F.xxhash64("words"))
+    return split.select(F.inline(rows)).withColumn("n", F.size("words")).dropDuplicates(["key"])
 
 
 def _within_one_edit(a: Column, b: Column) -> Column:
@@ -56,11 +80,6 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def _sized(frame: DataFrame, most: int) -> DataFrame:
-    """Broadcast a counted table up to ``most`` rows; a larger one is joined by shuffling."""
-    return F.broadcast(frame) if frame.count() <= most else frame
-
-
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, doc, removed): the line numbers of each text that repeat an earlier line, whole texts over.
 
@@ -77,14 +96,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, broadcast_rows: in
     """
     place = F.struct("doc_id", "doc", "line_no")
     every = stored(_lines(docs, least).select("doc_id", "doc", "line_no", "key", _anchors(F.col("words"), F.col("n")).alias("anchors")), "lines")
-    first = every.groupBy("key").agg(F.min(place).alias("first"))
+    first = stored(every.groupBy("key").agg(F.min(place).alias("first")), "first")
 
     ends = every.select("key", F.explode("anchors").alias("anchor"))
     met = ends.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("anchor")
     candidates = stored(ends.join(met, "anchor").select("key").distinct().join(first, "key"), "candidates")
-    wanted = _sized(candidates, broadcast_rows)
-    texts = _lines(docs, least).join(wanted, "key").filter(place == F.col("first"))
-    texts = stored(texts.select("key", "first", "words", "n").dropDuplicates(["key"]), "texts")
+    texts = stored(_texts(docs, candidates, broadcast_rows), "texts")
 
     cut = F.transform(
         F.sequence(F.lit(0), F.col("n") - 1),
@@ -125,16 +142,17 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """
     gone = repeated_lines(docs, **settings)
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed")]
-    lines = F.split("text", "\n", -1)
-    total = F.coalesce(F.size(lines), F.lit(0))
-    total = F.when(F.col("text").isNull(), 0).otherwise(total)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+    total = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    total = F.coalesce(total, F.lit(0))
+    # A column of its own, or every kept line would split the text again.
+    parts = F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
+    rest = F.array_join(F.transform(keep, lambda i: F.get("_parts", i)), "\n")
     joined = docs.select(*columns, F.xxhash64("text").alias("_doc")).join(
         gone.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_gone_doc"), F.col("removed").alias("_gone")),
         (F.col("doc_id") == F.col("_id")) & (F.col("_doc") == F.col("_gone_doc")),
         "left",
-    )
+    ).withColumn("_parts", parts)
     return joined.select(
         *[F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed")],
         total.cast("long").alias("n_lines"),
