@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, load, stored
 
-LEAST_WORDS = 8
+LEAST_WORDS = 8  # of a line compared within one edit
+SHORTEST = 1  # words of a line compared at all
 BROADCAST_ROWS = 1_000_000
 
 
@@ -38,14 +39,14 @@ def _anchors(words: Column, n: Column) -> Column:
     return F.flatten(F.transform(reaches, ends))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     """(doc_id, doc, line_no, words, n, key) of every line with enough words; ``doc`` tells texts of one id apart.
 
-    Short lines are left out before the array is taken apart: a filter on the
+    Lines without words are left out before the array is taken apart: a filter on the
     rows would move below it and look for the words a second time.
     """
     lines = F.transform(_split(), lambda line, i: F.struct(i.alias("line_no"), _words(line).alias("words")))
-    lines = F.filter(lines, lambda x: F.size(x["words"]) >= least)
+    lines = F.filter(lines, lambda x: F.size(x["words"]) >= shortest)
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("doc"), "text")
     return texts.select("doc_id", "doc", F.inline(lines)).withColumn("n", F.size("words")).withColumn("key", F.xxhash64("words"))
 
@@ -80,13 +81,14 @@ def _within_one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, shortest: int = SHORTEST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, doc, removed): the line numbers of each text that repeat an earlier line, whole texts over.
 
     A line repeats another when their words, lower-cased, are equal or one word
     inserted, deleted or replaced apart; earlier is by doc_id, then text hash,
     then line number. A line is removed when any earlier line of the corpus
-    repeats it, so the earliest always stays.
+    repeats it, so the earliest always stays. Lines of fewer than ``least``
+    words repeat only equal ones; those of fewer than ``shortest`` none.
 
     Edits are counted in words: a line of n words has n + 1 variants. Lines
     that share neither their first nor their last words with a different line
@@ -95,7 +97,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, broadcast_rows: in
     earliest, and each member is verified against it.
     """
     place = F.struct("doc_id", "doc", "line_no")
-    every = stored(_lines(docs, least).select("doc_id", "doc", "line_no", "key", _anchors(F.col("words"), F.col("n")).alias("anchors")), "lines")
+    anchors = F.when(F.col("n") >= least, _anchors(F.col("words"), F.col("n")))
+    every = stored(_lines(docs, max(shortest, 1)).select("doc_id", "doc", "line_no", "key", anchors.alias("anchors")), "lines")
     first = stored(every.groupBy("key").agg(F.min(place).alias("first")), "first")
 
     ends = every.select("key", F.explode("anchors").alias("anchor"))
@@ -135,8 +138,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, broadcast_rows: in
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """All columns of ``docs``, the text without lines that repeat an earlier one, ``n_lines`` and ``removed``.
 
-    Null and empty texts, lines of fewer than ``least`` words and rows without
-    doc_id stay as they are; a null text has no lines. Repeated rows (same id
+    Null and empty texts, lines without words and rows without doc_id stay as
+    they are; a null text has no lines. Repeated rows (same id
     and text) are one document and get the same answer. A text all of whose
     lines go becomes empty.
     """
@@ -161,7 +164,8 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Of lines of LEAST_WORDS words or more, as the SQL twin defines it; ``dedup_lines`` itself takes short lines too."""
+    done = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), shortest=LEAST_WORDS)
     return done.select(
         "doc_id",
         "n_lines",

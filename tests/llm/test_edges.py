@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scanledger.llm import chat, graph, lines, minhash, mixing, multi_index, packing, pii, quality, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -166,6 +167,20 @@ def test_one_word_apart(spark, other, near):
     assert {r.doc_id for r in lines.repeated_lines(frame, broadcast_rows=0).collect()} == ({2} if near else set())
 
 
+def test_short_lines_repeat_equal_ones(spark):
+    rows = [(1, "Read more\n\none line\n}"), (2, "read  MORE\n\nread less\n" + LINE), (3, "one line\nread more\n}"), (4, "\n\n")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()}
+    assert text == {1: rows[0][1], 2: "\nread less\n" + LINE, 3: "", 4: "\n\n"}
+    text = {r.doc_id: r.text for r in lines.dedup_lines(frame, shortest=lines.LEAST_WORDS).collect()}
+    assert text == dict(rows)
+
+
+def test_texts_of_repeated_short_lines_leave_the_pipeline(spark):
+    frame = spark.createDataFrame([(1, "Read more\none line", "en", "s", 18), (2, "one line\nread more", "en", "s", 18)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.line_dedup(spark, frame, "").collect()] == [1]
+
+
 def test_minhash(docs, none):
     rows = {r.doc_id: r for r in minhash.near_duplicates(docs, words=2).collect()}
     assert minhash.near_duplicates(docs, words=2).count() == 12 and minhash.near_duplicates(none).count() == 0
