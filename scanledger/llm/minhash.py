@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, stored
+from .common import components, load, numbered, stored
 
 BANDS, ROWS = 32, 5
 BITS = 512
@@ -274,9 +274,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of which no smaller doc_id is reachable by near-duplicate links, with the columns given."""
-    gone = stored(near_duplicates(docs, **settings).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group that near-duplicate links join, that of the smallest doc_id, with the columns given.
+
+    Where ids are null or repeated, rows are numbered in the order of doc_id
+    (null last) and text hash, and each row is a document of its own: copies
+    go whether or not their ids tell them apart. Texts without words all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unclear = docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
+    if unclear.isEmpty():
+        gone = stored(near_duplicates(docs, **settings).filter(~F.col("kept")).select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    # The last key tells equal rows apart, so that many of them do not meet in one task.
+    marked = docs.select(*columns, F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_at"))
+    rows = stored(numbered(marked, [F.col("doc_id").asc_nulls_last(), F.col("_text"), F.col("_at")], "_row"), "rows")
+    judged = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **settings)
+    gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,20 @@ def test_minhash(docs, none):
     assert all(rows[i].kept and rows[i].n_shingles == 0 for i in (0, 1, 2)) and rows[3].n_shingles == 1
 
 
+def test_copies_go_whatever_their_ids(spark):
+    """Repeated rows, texts of one id, null ids, near copies of them; texts without words stay."""
+    near, other, third = " ".join(f"n{i}" for i in range(12)), "a b c d e f g", "h i j k l m n"
+    rows = [(1, LINE), (1, LINE), (1, LINE), (2, other), (2, third), (3, third), (None, other), (None, LINE), (None, "p q r s"), (None, "P q r s"), (None, near)]
+    rows += [(None, near + " twelve"), (None, ""), (None, None), (4, ""), (4, "")]
+    left = minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")), words=2, percent=80)
+    assert left.columns == ["doc_id", "text", "n_chars"]
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    # Of near copies without ids either may stay: the one whose text hash is smaller.
+    kept = [text for doc, text in found if doc is None and text]
+    assert len(kept) == 2 and {text.lower() for text in kept} <= {"p q r s", near, near + " twelve"} and "p q r s" in {text.lower() for text in kept}
+    assert [row for row in found if row[0] is not None or not row[1]] == sorted([(1, LINE), (2, other), (2, third), (None, ""), (None, None), (4, ""), (4, "")], key=str)
+
+
 def test_links_that_the_smallest_member_misses(spark):
     """A base among copies that are no links of each other: only the base joins them."""
     rng = np.random.default_rng(5)
