@@ -114,7 +114,10 @@ def _sample(ids: DataFrame, most: int) -> DataFrame:
 
 
 def _features_of(docs: DataFrame, ids: list[int]) -> np.ndarray:
-    """Features of the chosen documents; only their numbers, as many as the sample's bound, reach the driver."""
+    """Features of the chosen documents; only their numbers, one row per id and so no more than the sample's bound, reach the driver.
+
+    Of rows that share an id the smallest numbers count.
+    """
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")
 
@@ -125,7 +128,8 @@ def _features_of(docs: DataFrame, ids: list[int]) -> np.ndarray:
                 numbers = features(rows.column(1).to_pylist()).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in numbers], pa.binary())], ["doc_id", "numbers"])
 
-    found = texts.mapInArrow(measure, "doc_id long, numbers binary").toPandas().sort_values(["doc_id", "numbers"])
+    measured = texts.mapInArrow(measure, "doc_id long, numbers binary")
+    found = measured.groupBy("doc_id").agg(F.min("numbers").alias("numbers")).toPandas().sort_values("doc_id")
     return np.array([np.frombuffer(x, np.float32) for x in found["numbers"]], dtype=np.float32).reshape(-1, N_FEATURES)
 
 

@@ -70,6 +70,12 @@ def test_quality(docs, none, spark):
     assert quality.scored(none, model).count() == 0
 
 
+def test_rows_of_one_id_are_one_in_training(spark):
+    frame = spark.createDataFrame([(1, f"text {i} " * i) for i in range(40)] + [(2, "one"), (3, "not chosen")], "doc_id long, text string")
+    found = quality._features_of(frame, [1, 2])
+    assert found.shape == (2, quality.N_FEATURES) and (found == quality._features_of(frame.repartition(7), [2, 1])).all()
+
+
 def test_risk_never_turns_negative():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, (400, 2)), rng.normal(-2, 1, (400, 2))
