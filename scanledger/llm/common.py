@@ -106,3 +106,10 @@ def words(text: Column) -> Column:
     """How many words a text has; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text of ASCII characters, bit by bit."""
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT))"
+    shifted = "list_reduce(list_prepend(xor(crc, code), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))"
+    return f"xor(list_reduce({codes}, lambda crc, code: {shifted}), 4294967295)"

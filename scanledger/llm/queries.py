@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, graph, lines, minhash, mixing, multi_index, packing, pii, quality, secrets
+from . import chat, graph, lines, minhash, mixing, multi_index, packing, pii, quality, runs, secrets
 
 QUERIES = {
     "op1_graph_neighbours": graph.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_tool_call_linking": chat.query,
     "op10_embedding_near_dedup": multi_index.query,
+    "op13_periodic_runs": runs.query,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op4_minhash_near_dedup": minhash.oracle(),
     "op5_source_mixing": mixing.oracle(),
     "op9_tool_call_linking": chat.oracle(),
+    "op13_periodic_runs": runs.oracle(),
 }
