@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, graph, lines, minhash, mixing, multi_index, packing, pii, quality, runs, secrets
+from . import bpe, chat, graph, lines, minhash, mixing, multi_index, packing, pii, quality, runs, secrets, trie
 
 QUERIES = {
     "op1_graph_neighbours": graph.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_tool_call_linking": chat.query,
     "op10_embedding_near_dedup": multi_index.query,
+    "op11_conversation_trie": trie.query,
     "op12_chunked_bpe": bpe.query,
     "op13_periodic_runs": runs.query,
 }
@@ -24,5 +25,6 @@ ORACLE = {
     "op4_minhash_near_dedup": minhash.oracle(),
     "op5_source_mixing": mixing.oracle(),
     "op9_tool_call_linking": chat.oracle(),
+    "op11_conversation_trie": trie.oracle(),
     "op13_periodic_runs": runs.oracle(),
 }
