@@ -6,7 +6,8 @@ import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.functions.cost import money_sum
@@ -17,19 +18,24 @@ from scanledger.plans.mart import user_day_mart
 from scanledger.schema import RUN_SUMMARY, conform
 from scanledger.sinks import tables
 from scanledger.sinks.snapshots import stamp, write_run_summary, write_snapshot
+from scanledger.sources import checked_log
 from scanledger.sources import projects as project_source
 from scanledger.sources.job_log import named_table, of_project
 from scanledger.sources.snapshots import read_run_summaries, read_snapshots
 
 
-def run_totals(mart: DataFrame, project_rows: DataFrame) -> DataFrame:
-    """Records, cost, bytes and queries per project; zeros for one without records."""
-    totals = mart.groupBy(F.col("project_id").alias("id")).agg(
+def _totals() -> list[Column]:
+    return [
         F.count("*").alias("records"),
         money_sum(F.col("estimated_cost_usd")).alias("total_cost"),
         F.sum("total_bytes_processed").alias("total_bytes_processed"),
         F.sum("query_count").alias("total_queries"),
-    )
+    ]
+
+
+def run_totals(mart: DataFrame, project_rows: DataFrame) -> DataFrame:
+    """Records, cost, bytes and queries per project; zeros for one without records."""
+    totals = mart.groupBy(F.col("project_id").alias("id")).agg(*_totals())
     zero = F.lit(0)
     return project_rows.join(totals, "id", "left").select(
         F.col("id").alias("project"),
@@ -64,10 +70,11 @@ def _run_rows(rows: DataFrame, params: Params, run_ts: str, **values) -> DataFra
     return conform(stamped, RUN_SUMMARY)
 
 
-def failed_runs(project_rows: DataFrame, params: Params, run_ts: str, message: str) -> DataFrame:
-    """Run rows of projects whose run broke."""
-    named = project_rows.select(F.col("id").alias("project"), F.col("name").alias("project_name"))
-    return _run_rows(named, params, run_ts, error=message)
+def failed_runs(project_rows: DataFrame, params: Params, run_ts: str, message: str | Column) -> DataFrame:
+    """Run rows of projects whose run broke; the message is a text or a column of ``project_rows``."""
+    told = message if isinstance(message, Column) else F.lit(message)
+    named = project_rows.select(F.col("id").alias("project"), F.col("name").alias("project_name"), told.alias("error"))
+    return _run_rows(named, params, run_ts)
 
 
 def _snapshot_run(
@@ -77,8 +84,12 @@ def _snapshot_run(
     started = time.monotonic()
     write_snapshot(user_day_mart(jobs, params), path, run_ts, fmt)
     stored = read_snapshots(jobs.sparkSession, path, fmt).where(F.col("snapshot_ts") == run_ts)
+    return _stored_run(run_totals(stored, watched), params, path, run_ts, started)
+
+
+def _stored_run(totals: DataFrame, params: Params, path: str, run_ts: str, started: float) -> DataFrame:
     return _run_rows(
-        run_totals(stored, watched),
+        totals,
         params,
         run_ts,
         elapsed_seconds=time.monotonic() - started,
@@ -86,6 +97,35 @@ def _snapshot_run(
     )
 
 
+def _observed_run(
+    jobs: DataFrame, watched: DataFrame, params: Params, path: str, run_ts: str, fmt: str
+) -> DataFrame:
+    """The run of a single project: its totals are counted while the snapshot is written, and nothing is read back."""
+    started = time.monotonic()
+    seen = Observation("run totals")
+    write_snapshot(user_day_mart(jobs, params), path, run_ts, fmt, seen, _totals())
+    found = seen.get
+    named = watched.select(F.col("id").alias("project"), F.col("name").alias("project_name"))
+    totals = {name: F.lit(found.get(name) or 0).cast("double" if name == "total_cost" else "long") for name in found}
+    return _stored_run(named.withColumns(totals), params, path, run_ts, started)
+
+
+def _checked_run(
+    checked: DataFrame, watched: DataFrame, params: Params, path: str, run_ts: str, fmt: str
+) -> DataFrame:
+    """One run over a checked log: projects with broken input get error rows and no snapshot.
+
+    The raw log is scanned once, when its rows are staged; which projects are
+    broken is a grouping of the few broken rows.
+    """
+    staged = checked_log.stage(checked, params)
+    broken = checked_log.broken_projects(staged).where("id IS NOT NULL")
+    whole = watched.join(broken, "id", "left_anti")
+    jobs = project_source.of_enabled_projects(checked_log.good_rows(staged), whole)
+    failed = failed_runs(watched.join(broken, "id"), params, run_ts, F.col("error"))
+    return _snapshot_run(jobs, whole, params, path, run_ts, fmt).unionByName(failed)
+
+
 def _one_by_one(
     jobs: DataFrame, watched: DataFrame, params: Params, path: str, run_ts: str, fmt: str
 ) -> DataFrame:
@@ -95,7 +135,9 @@ def _one_by_one(
         one = watched.where(F.col("id").eqNullSafe(F.lit(row["id"])))
         try:
             done = _snapshot_run(of_project(jobs, row["id"]), one, params, path, run_ts, fmt)
-        except Exception as error:
+        except PySparkException as error:
+            if isinstance(error, AnalysisException):
+                raise
             done = failed_runs(one, params, run_ts, str(error))
         rows = done if rows is None else rows.unionByName(done)
     return rows
@@ -113,19 +155,30 @@ def run_monitoring(
     """Snapshot the mart of all enabled projects and return one run row per project.
 
     One job serves all projects, keyed by project.  The totals come from the
-    stored snapshot, so the log is read once.  If that job breaks, the projects
-    are run one by one, and the errors of the broken ones end up in their rows.
+    stored snapshot, so the log is read once.  Jobs of ``read_checked_log``
+    carry their problems along: projects with broken input end in error rows of
+    the same run.  Of other logs, where a broken row fails the job, the projects
+    are then run one by one.  Faults of a plan itself are raised.
     ``fmt="parquet"`` stores the snapshot in columns, for reports that read a few.
     """
     run_ts = stamp(moment or datetime.now(timezone.utc))
     watched = project_source.enabled(project_rows)
     path = f"{output}/snapshots"
-    try:
-        together = project_source.of_enabled_projects(jobs, project_rows)
-        rows = _snapshot_run(together, watched, params, path, run_ts, fmt)
-    except Exception as error:
-        one_by_one = _one_by_one(jobs, watched, params, path, run_ts, fmt)
-        rows = failed_runs(watched, params, run_ts, str(error)) if one_by_one is None else one_by_one
+    if checked_log.PROBLEM in jobs.columns:
+        rows = _checked_run(jobs, watched, params, path, run_ts, fmt)
+    else:
+        try:
+            together = project_source.of_enabled_projects(jobs, project_rows)
+            rows = _snapshot_run(together, watched, params, path, run_ts, fmt)
+        except PySparkException as error:
+            if isinstance(error, AnalysisException):
+                raise
+            one_by_one = _one_by_one(jobs, watched, params, path, run_ts, fmt)
+            rows = failed_runs(watched, params, run_ts, str(error)) if one_by_one is None else one_by_one
+    return _kept_rows(spark, rows, output, run_ts)
+
+
+def _kept_rows(spark: SparkSession, rows: DataFrame, output: str, run_ts: str) -> DataFrame:
     summary_path = f"{output}/summaries"
     write_run_summary(rows, summary_path)
     return read_run_summaries(spark, summary_path).where(F.col("run_ts") == run_ts)
@@ -141,9 +194,25 @@ def monitor_project(
     moment: datetime | None = None,
     fmt: str = "json",
 ) -> DataFrame:
-    """A run for one project; ``project_row`` holds its id and name."""
+    """A run for one project; ``project_row`` holds its id and name.
+
+    The totals are observed while the snapshot is written.  Jobs of
+    ``read_checked_log`` end in an error row when the project's input is broken.
+    """
     one = project_row.where(F.col("id") == project_id)
-    return run_monitoring(spark, of_project(jobs, project_id), one, params, output, moment, fmt)
+    mine = of_project(jobs, project_id)
+    if checked_log.PROBLEM in jobs.columns:
+        return run_monitoring(spark, mine, one, params, output, moment, fmt)
+    run_ts = stamp(moment or datetime.now(timezone.utc))
+    path = f"{output}/snapshots"
+    watched = project_source.enabled(one)
+    try:
+        rows = _observed_run(project_source.of_enabled_projects(mine, one), watched, params, path, run_ts, fmt)
+    except PySparkException as error:
+        if isinstance(error, AnalysisException):
+            raise
+        rows = failed_runs(watched, params, run_ts, str(error))
+    return _kept_rows(spark, rows, output, run_ts)
 
 
 @dataclass

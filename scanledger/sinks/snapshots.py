@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.params import DEFAULT_RETENTION_DAYS, Params
@@ -21,16 +22,25 @@ def stamp_time(column: str = "snapshot_ts"):
     return F.to_timestamp(column, "yyyy-MM-dd_HH-mm-ss")
 
 
-def write_snapshot(mart: DataFrame, path: str, snapshot_ts: str, fmt: str = "json") -> str:
+def write_snapshot(
+    mart: DataFrame,
+    path: str,
+    snapshot_ts: str,
+    fmt: str = "json",
+    seen: Observation | None = None,
+    totals: Sequence[Column] = (),
+) -> str:
     """Store the mart below ``path/snapshot_ts=.../project_id=...``.
 
     Only the folders of this snapshot are replaced, so a failed run can be
-    repeated.  Any file system Spark can write to will do.
+    repeated.  Any file system Spark can write to will do.  ``seen`` collects
+    ``totals`` in the stage that writes, where a repeated task counts once.
     """
     rows = mart.withColumn("snapshot_ts", F.lit(snapshot_ts)).hint("rebalance", "project_id")
-    writer = rows.sortWithinPartitions(
-        "project_id", F.desc("date"), F.desc("estimated_cost_usd")
-    ).write.mode("overwrite")
+    rows = rows.sortWithinPartitions("project_id", F.desc("date"), F.desc("estimated_cost_usd"))
+    if seen is not None:
+        rows = rows.observe(seen, *totals)
+    writer = rows.write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(
         "snapshot_ts", "project_id"
     ).format(fmt).save(path)
