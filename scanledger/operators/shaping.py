@@ -19,8 +19,8 @@ def partition_filter(df: DataFrame, column: str, predicate: str) -> DataFrame:
 def incremental(df: DataFrame, column: str, predicate: str) -> DataFrame:
     """Input of an incremental build: the rows ``predicate`` calls new.
 
-    Write the result with ``sinks.tables.replace_days`` so that only the days
-    it touches are replaced.
+    Write the result with ``sinks.versions.replace_range`` so that the days of
+    the range are replaced as a whole, those without rows included.
     """
     return partition_filter(df, column, predicate)
 

@@ -219,7 +219,10 @@ def monitor_project(
 class TableSet:
     """The stored main table, the views on it and the attribution table.
 
-    Every table is created once per set, however often it is asked for.  A view
+    Tables are partitioned by ``day`` and bucketed by account, so user-days are
+    joined and rolled up where they lie, and the views, which keep ``day``, read
+    the days they are asked for.  Every table is created once per set, however
+    often it is asked for.  A view
     has two names: its own, which the set asked last holds, and one that begins
     with the schema and stays.
     """
@@ -237,16 +240,18 @@ class TableSet:
         }
     )
     created: set[str] = field(default_factory=set)
+    buckets: int = tables.BUCKETS
 
     def _store(self, key: str, build, cluster_by: tuple[str, ...], tags: tuple[str, ...]) -> None:
         """Write a table unless it is known; after a failed write the next call tries again."""
         full = f"{self.schema}.{self.names[key]}"
         if full not in self.created:
-            tables.write_table(build(), self.schema, self.names[key], cluster_by, tags=tags)
+            tables.write_clustered(build(), self.schema, self.names[key], cluster_by, self.buckets, tags)
             self.created.add(full)
 
     def main(self) -> DataFrame:
-        return named_table(self.spark, self.schema, self.names["main"]).drop("day")
+        """The stored table; filter ``day`` to read the folders of those days only."""
+        return named_table(self.spark, self.schema, self.names["main"])
 
     def create_main(self, jobs: DataFrame) -> DataFrame:
         build = lambda: main_cost_table(jobs, self.params)
@@ -272,7 +277,7 @@ class TableSet:
     def create_attribution(self) -> DataFrame:
         build = lambda: summaries.user_dataset_attribution(self.main())
         self._store("attribution", build, tables.ATTRIBUTION_CLUSTER, ("cost", "attribution"))
-        return named_table(self.spark, self.schema, self.names["attribution"]).drop("day")
+        return named_table(self.spark, self.schema, self.names["attribution"])
 
 
 def build_all(

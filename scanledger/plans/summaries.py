@@ -16,9 +16,14 @@ from scanledger.operators.ranking import ranked_array, top_k
 TOP_ENTRIES = 10
 
 
+def _days(main: DataFrame) -> list[str]:
+    """The day columns to group by: a stored table has one that prunes folders too."""
+    return ["day", "date"] if "day" in main.columns else ["date"]
+
+
 def daily_summary(main: DataFrame) -> DataFrame:
     """Totals per day and project; the cache share is a plain mean over users."""
-    return main.groupBy("date", "project_id").agg(
+    return main.groupBy(*_days(main), "project_id").agg(
         F.sum("query_count").alias("total_queries"),
         F.sum("cache_hit_count").alias("total_cache_hits"),
         F.sum("error_count").alias("total_errors"),
@@ -32,10 +37,11 @@ def daily_summary(main: DataFrame) -> DataFrame:
 
 def dataset_usage(main: DataFrame) -> DataFrame:
     """One row per user-day and dataset."""
+    days = _days(main)
     return main.select(
-        "date", "project_id", "user_email", "service_account", F.explode("dataset_costs").alias("d")
+        *days, "project_id", "user_email", "service_account", F.explode("dataset_costs").alias("d")
     ).select(
-        "date",
+        *days,
         "project_id",
         F.col("d.dataset").alias("dataset_name"),
         "user_email",
@@ -48,7 +54,7 @@ def dataset_usage(main: DataFrame) -> DataFrame:
 
 def dataset_top_users(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
     """The k dearest users per day, project and dataset, as ranked rows."""
-    keys = ["date", "project_id", "dataset_name"]
+    keys = [*_days(main), "project_id", "dataset_name"]
     per_user = (
         dataset_usage(main)
         .groupBy(*keys, F.coalesce("service_account", "user_email").alias("user"))
@@ -66,7 +72,7 @@ def dataset_summary(main: DataFrame, k: int = TOP_ENTRIES, exact: bool = True) -
 
     With ``exact`` off, users are counted by sketch, to about two percent.
     """
-    keys = ["date", "project_id", "dataset_name"]
+    keys = [*_days(main), "project_id", "dataset_name"]
     who = F.concat("user_email", F.coalesce("service_account", F.lit("")))
     users = F.count_distinct(who) if exact else F.approx_count_distinct(who, 0.02)
     totals = dataset_usage(main).groupBy(*keys).agg(
@@ -86,7 +92,7 @@ def dataset_summary(main: DataFrame, k: int = TOP_ENTRIES, exact: bool = True) -
 
 def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
     """The k dearest datasets per day, project and service account, as ranked rows."""
-    keys = ["date", "project_id", "service_account"]
+    keys = [*_days(main), "project_id", "service_account"]
     per_dataset = (
         dataset_usage(main.where(F.col("service_account").isNotNull()))
         .groupBy(*keys, "dataset_name")
@@ -101,7 +107,7 @@ def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
 
 def account_summary(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
     """Totals and top datasets per day, project and service account."""
-    keys = ["date", "project_id", "service_account"]
+    keys = [*_days(main), "project_id", "service_account"]
     totals = (
         main.where(F.col("service_account").isNotNull())
         .groupBy(*keys)

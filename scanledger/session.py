@@ -25,6 +25,8 @@ CLUSTER_SETTINGS = {
 # order instead of hashing again.
 ARRAY_SETTINGS = {
     "spark.sql.execution.replaceHashWithSortAgg": "true",
+    # Tables bucketed by account join on account and day without a shuffle.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -26,15 +26,43 @@ def read_user_days(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_per_project(snapshots: DataFrame) -> DataFrame:
-    """Rows of each project's newest snapshot.
+    """Rows of each project's newest snapshot, of any frame of snapshots.
 
-    The newest time per project is an aggregate over two partition columns, so
-    it is tiny, and joining on them prunes the folders of older snapshots.
+    The newest time per project is an aggregate over the whole frame; of stored
+    snapshots ``read_latest`` reads the newest folders alone.
     """
     newest = snapshots.groupBy("project_id").agg(F.max("snapshot_ts").alias("snapshot_ts"))
     return snapshots.join(newest, ["project_id", "snapshot_ts"], "left_semi")
 
 
+def stored_stamps(spark: SparkSession, path: str) -> dict[str, str]:
+    """Project to the stamp of its newest snapshot, told by folder names alone."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/snapshot_ts=*/project_id=*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest: dict[str, str] = {}
+    for status in fs.globStatus(pattern) or []:
+        folder = status.getPath()
+        project, taken = (name.split("=", 1)[1] for name in (folder.getName(), folder.getParent().getName()))
+        newest[project] = max(newest.get(project, ""), taken)
+    return newest
+
+
+def read_latest(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Rows of each project's newest snapshot below ``path``; only the folders that hold them are read.
+
+    Which ones these are is told by folder names, one entry per project, so the
+    scan gets the folders themselves, however many snapshots lie beside them.
+    """
+    newest = stored_stamps(spark, path)
+    fields = [f for f in MART.fields if f.name != "project_id"]
+    schema = T.StructType(fields + _PARTITIONS + [MART["project_id"]])
+    if not newest:
+        return spark.createDataFrame([], schema)
+    folders = [f"{path}/snapshot_ts={taken}/project_id={project}" for project, taken in sorted(newest.items())]
+    return spark.read.schema(schema).option("basePath", path).format(fmt).load(folders)
+
+
 def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SUMMARY).json(path).select(RUN_SUMMARY.fieldNames())
 

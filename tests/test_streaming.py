@@ -88,3 +88,35 @@ def test_closed_windows_in_append_mode(spark, tmp_path):
     closed = as_set(spark.table("closed"))
     batch = as_set(alerts.failure_alerts(normalise(spark.createDataFrame(rows(), JOBS))))
     assert closed <= batch
+
+
+def test_changes_are_told_once_and_the_store_follows_alerts(spark, tmp_path):
+    source, path, made = str(tmp_path / "log"), str(tmp_path / "alerts"), rows()
+    told = []
+
+    def run(name):
+        stream = alerts.job_stream(spark, source, maxFilesPerTrigger=1)
+        changes = alerts.alert_changes(stream, 0)
+        alerts.keep_alerts(changes, path, str(tmp_path / name), lambda df, n: told.extend(map(tuple, df.collect()))).awaitTermination()
+
+    for part in range(0, 60, 15):
+        spark.createDataFrame(made[part : part + 15], JOBS).coalesce(1).write.mode("append").parquet(source)
+        run("state")  # a restart per file
+    expected = as_set(alerts.failure_alerts(normalise(spark.createDataFrame(made, JOBS))))
+    assert as_set(alerts.current_alerts(spark, path)) == expected
+    assert len(told) == len(set(told)) and expected <= set(told)
+    before = len(told)
+    run("state")  # nothing new
+    run("other")  # a new checkpoint reads all again
+    assert len(told) == before and as_set(alerts.current_alerts(spark, path)) == expected
+    files = [f for f in (tmp_path / "alerts").rglob("*.parquet")]
+    assert len(files) <= len({day for _, start, *_ in expected for day in [start.date()]}) * 4
+
+
+def test_cost_changes_end_where_batch_does(spark, tmp_path):
+    source, path, made = str(tmp_path / "log"), str(tmp_path / "alerts"), rows()
+    for part in range(0, 60, 15):
+        spark.createDataFrame(made[part : part + 15], JOBS).coalesce(1).write.mode("append").parquet(source)
+    stream = alerts.job_stream(spark, source, maxFilesPerTrigger=1)
+    alerts.keep_alerts(alerts.alert_changes(stream, 100, 5.0), path, str(tmp_path / "state")).awaitTermination()
+    assert as_set(alerts.current_alerts(spark, path)) == as_set(alerts.daily_cost_alerts(normalise(spark.createDataFrame(made, JOBS))))
