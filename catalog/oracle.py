@@ -371,6 +371,16 @@ UNION ALL SELECT project_id, count(*), 'queries' FROM jobs WHERE job_type = 'QUE
 UNION ALL SELECT project_id, count(*), 'no_scripts' FROM js GROUP BY 1
 UNION ALL SELECT project_id, count(*), 'no_small' FROM big GROUP BY 1"""
 
+REPORT_PARTS = f"""
+SELECT 'total' AS report, NULL::VARCHAR AS key, NULL::VARCHAR AS other, false AS account, query_count AS queries, cache_hit_count AS hits,
+       total_bytes_processed::DOUBLE AS bytes, estimated_cost_usd AS cost FROM base
+UNION ALL SELECT 'day', date, NULL, false, query_count, cache_hit_count, total_bytes_processed::DOUBLE, estimated_cost_usd FROM base
+UNION ALL SELECT 'spender', {SPENDER}, NULL, {IS_ACCOUNT}, query_count, cache_hit_count, total_bytes_processed::DOUBLE, estimated_cost_usd FROM base
+UNION ALL SELECT 'dataset', dataset, NULL, false, 0, 0, bytes_processed, dataset_cost_usd FROM mart_datasets
+UNION ALL SELECT 'user_dataset', {SPENDER}, dataset, {IS_ACCOUNT}, 0, 0, bytes_processed, dataset_cost_usd FROM mart_datasets
+UNION ALL SELECT 'hour', hour_of_day::VARCHAR, NULL, false, query_count, 0, 0, estimated_cost_usd FROM hours WHERE {MATCHED}
+UNION ALL SELECT 'weekday', day_of_week::VARCHAR, NULL, false, query_count, 0, 0, estimated_cost_usd FROM weekdays WHERE {MATCHED}"""
+
 ORACLE: dict[str, str] = {
     "usage_extract": sql(
         """SELECT project_id, user_email, job_id, strftime(creation_time, '%Y-%m-%d %H:%M:%S.%f') AS creation_time,
@@ -681,4 +691,105 @@ ORACLE: dict[str, str] = {
         "SELECT date, CAST(count(*) AS BIGINT) AS records, round(sum(estimated_cost_usd), 2) AS cost_usd FROM main_days GROUP BY 1",
         MAIN,
     ),
+    "checked_run": sql(
+        """SELECT p.id AS project, coalesce(broken, 0) = 0 AS success,
+        CASE WHEN coalesce(broken, 0) = 0 THEN CAST(count(b.date) AS BIGINT) ELSE 0 END AS records,
+        CASE WHEN coalesce(broken, 0) = 0 THEN coalesce(round(sum(b.estimated_cost_usd), 2), 0.0) ELSE 0.0 END AS total_cost,
+        CAST(broken AS BIGINT) AS broken_rows
+        FROM (SELECT DISTINCT project_id AS id FROM jobs UNION SELECT id FROM watched) p
+        LEFT JOIN base b ON b.project_id = p.id
+        LEFT JOIN (SELECT project_id, count(*) AS broken FROM jobs WHERE project_id = 'proj-1' AND event_id % 701 = 0 GROUP BY 1) x ON x.project_id = p.id
+        GROUP BY p.id, broken""",
+        PROJECTS, BASE,
+    ),
+    "scheduled_run": sql(
+        """SELECT project, true AS success, records, total_cost, NULL::VARCHAR AS error,
+        CASE WHEN records > 0 THEN 'scanledger' END AS source, CASE WHEN records > 0 THEN '2024-01-31_00-00-00' END AS uploaded_at,
+        nullif(records, 0) AS uploaded FROM totals""",
+        PROJECTS, BASE, RUNS,
+    ),
+    "project_run": sql("SELECT *, NULL::VARCHAR AS error FROM totals WHERE project = 'proj-2'", PROJECTS, BASE, RUNS),
+    "newest_folders": sql(
+        f"""SELECT {SCALAR_VIEW}, snapshot_ts FROM snaps
+        JOIN (SELECT project_id AS p, max(snapshot_ts) AS newest FROM snaps GROUP BY 1) ON p = project_id AND newest = snapshot_ts""",
+        BASE, SNAPSHOT_ROWS,
+    ),
+    "replaced_range": sql(
+        "SELECT date, CAST(count(*) AS BIGINT) AS records, round(sum(estimated_cost_usd), 2) AS cost_usd FROM main_days "
+        "WHERE date <> '2024-01-22' AND date >= '2024-01-05' GROUP BY 1",
+        MAIN,
+    ),
+    "small_job_share": sql(
+        """SELECT b.date, b.project_id, b.user_email, b.query_count, b.estimated_cost_usd,
+        coalesce(m.query_count, 0) AS large_queries, coalesce(m.estimated_cost_usd, 0.0) AS large_cost
+        FROM base b LEFT JOIN main_days m USING (date, project_id, user_email) WHERE b.user_email IS NOT NULL AND b.date >= '2024-01-10'""",
+        BASE, MAIN,
+    ),
+    "alert_changes": sql(f"{DAILY_ALERT} UNION ALL {FAILURE_ALERT}"),
+    "newest_first": sql(
+        "SELECT row_number() OVER (ORDER BY creation_time DESC, job_id) AS rank, job_id, "
+        "strftime(creation_time, '%Y-%m-%d %H:%M:%S.%f') AS creation_time, total_bytes_billed FROM js"
+    ),
+    "history_order": sql(
+        f"""SELECT row_number() OVER (ORDER BY queried DESC, bytes DESC, dataset, user) AS rank, dataset, user,
+        strftime(queried, '%Y-%m-%d %H:%M:%S') AS last_queried
+        FROM (SELECT dataset, user, max(queried) AS queried, sum(bytes::DECIMAL(38,3)) AS bytes FROM ({HISTORY_ALL}) GROUP BY dataset, user)""",
+        BASE, MART_QUERIES,
+    ),
+    "config_checks": sql(
+        """SELECT config, i AS index, 'id_required' AS rule, 'project ' || i || ' has no id' AS message FROM listed WHERE id IS NULL
+        UNION ALL SELECT config, i, 'name_required', 'project ' || i || ' has no name' FROM listed WHERE name IS NULL
+        UNION ALL SELECT config, NULL, 'projects_required', 'no list of projects' FROM configs WHERE config % 10 = 7
+        UNION ALL SELECT config, NULL, 'settings_required', 'no settings' FROM configs WHERE config % 10 = 3
+        UNION ALL SELECT config, NULL, 'historyDays_positive', 'historyDays must be above zero' FROM configs WHERE config % 10 <> 3 AND config % 7 <= 1
+        UNION ALL SELECT config, NULL, 'costPerTerabyte_positive', 'costPerTerabyte must be above zero' FROM configs WHERE config % 10 <> 3 AND config % 5 = 0
+        UNION ALL SELECT config, NULL, 'refreshInterval_positive', 'refreshInterval must be above zero' FROM configs WHERE config % 10 <> 3 AND config = 0""",
+        PROJECTS,
+        """
+configs AS (SELECT DISTINCT index // 50 AS config FROM projects),
+listed AS (
+  SELECT index // 50 AS config, id, name, row_number() OVER (PARTITION BY index // 50 ORDER BY index) - 1 AS i FROM projects WHERE index // 50 % 10 <> 7
+)""",
+    ),
+    "table_set": sql(
+        f"""SELECT 'main' AS table, CAST(count(*) AS BIGINT) AS records, round(sum(estimated_cost_usd), 2) AS cost_usd FROM main_days
+        UNION ALL SELECT 'daily', count(*), round(sum(c), 2) FROM (SELECT sum(estimated_cost_usd) AS c FROM main_days GROUP BY date, project_id)
+        UNION ALL SELECT 'datasets', count(*), round(sum(c), 2) FROM (SELECT sum(dataset_cost_usd) AS c FROM usage GROUP BY date, project_id, dataset_name)
+        UNION ALL SELECT 'accounts', count(*), round(sum(c), 2) FROM (
+            SELECT sum(estimated_cost_usd) AS c FROM main_days WHERE service_account IS NOT NULL GROUP BY date, project_id, service_account)
+        UNION ALL SELECT 'attribution', count(*), round(sum(cost_usd), 2) FROM ({ATTRIBUTION})""",
+        DATASET_REFS, MAIN, DIRECT, MAIN_DATASETS, USAGE,
+    ),
+    "catalog_sizes": sql(
+        f"""SELECT 'cost_monitoring' AS table_id, CAST(count(*) AS BIGINT) AS row_count, true AS priced FROM main_days
+        UNION ALL SELECT 'user_dataset_attribution', count(*), true FROM ({ATTRIBUTION})""",
+        DATASET_REFS, MAIN, DIRECT, MAIN_DATASETS, USAGE,
+    ),
+    "sketched_users": sql(
+        "SELECT dataset_name, CAST(count(DISTINCT user_email) AS BIGINT) AS users, true AS within_error "
+        "FROM usage WHERE date BETWEEN '2024-01-05' AND '2024-01-25' GROUP BY 1",
+        DATASET_REFS, DIRECT, MAIN_DATASETS, USAGE,
+    ),
+    "report_rows": sql(
+        f"""SELECT report, key, other, bool_or(account) AS account, CAST(sum(queries) AS BIGINT) AS queries, CAST(sum(hits) AS BIGINT) AS hits,
+        CAST(round(sum(bytes::DECIMAL(38,3))::DOUBLE) AS BIGINT) AS bytes, round(sum(cost), 2) AS cost FROM ({REPORT_PARTS}) GROUP BY 1, 2, 3""",
+        FULL_REFS, BASE, TABLES, DATASETS, MART_DATASETS, HOURS, WEEKDAYS,
+    ),
+    "report_bundle": sql(
+        f"""SELECT 'summary_metrics' AS report, CAST(1 AS BIGINT) AS records, round(sum(estimated_cost_usd), 2) AS cost_usd FROM base
+        UNION ALL SELECT 'cost_trend', count(DISTINCT date), round(sum(estimated_cost_usd), 2) FROM base
+        UNION ALL SELECT 'top_spenders', count(*), round(sum(user_cost + service_account_cost), 2) FROM ({SPENDERS})
+        UNION ALL SELECT 'dataset_ranking', count(*), round(sum(cost_usd), 2) FROM ranking
+        UNION ALL SELECT 'user_dataset_report', count(*), round(sum(cost), 2) FROM (
+            SELECT round(sum(dataset_cost_usd), 2) AS cost FROM mart_datasets GROUP BY {SPENDER}, dataset ORDER BY cost DESC, {SPENDER}, dataset LIMIT 100)
+        UNION ALL SELECT 'hourly_pattern', count(DISTINCT hour_of_day), round(sum(estimated_cost_usd), 2) FROM hours WHERE {MATCHED}
+        UNION ALL SELECT 'weekday_pattern', count(DISTINCT day_of_week), round(sum(estimated_cost_usd), 2) FROM weekdays WHERE {MATCHED}""",
+        FULL_REFS, BASE, TABLES, DATASETS, MART_DATASETS, HOURS, WEEKDAYS, RANKING,
+    ),
+    "stored_user_days": sql(f"SELECT {SCALAR_VIEW}, true AS without_texts FROM base", BASE),
+    "configured_settings": sql(
+        "SELECT CAST(count(*) AS BIGINT) AS enabled, CAST(count(id) AS BIGINT) AS with_id, 6.25::DOUBLE AS \"costPerTerabyte\", "
+        "24.0::DOUBLE AS \"refreshInterval\" FROM projects WHERE NOT coalesce(disabled, false)",
+        PROJECTS,
+    ),
 }

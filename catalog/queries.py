@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.functions import arrays, cost, display, identity, text, time
-from scanledger.operators import allocation, estimates, jobs as job_ops, quality, rollups, shaping, tags
+from scanledger.operators import allocation, estimates, jobs as job_ops, quality, rollups, shaping, sketches, tags
 from scanledger.params import DEFAULT_DAILY_COST_THRESHOLD, Params
 from scanledger.plans import main_table, mart as mart_plan, reports, runs, summaries
-from scanledger.schema import MAIN_TABLE
-from scanledger.session import adopt, work_path
-from scanledger.sinks import snapshots as snapshot_sink, tables as table_sink
-from scanledger.sources import job_log, projects as project_source, snapshots as snapshot_source
+from scanledger.schema import MAIN_TABLE, MART
+from scanledger.session import adopt, kept, work_path
+from scanledger.sinks import snapshots as snapshot_sink, tables as table_sink, versions
+from scanledger.sources import checked_log, job_log, projects as project_source, snapshots as snapshot_source
 from scanledger.sources.star_log import EVENTS, job_rows, read_orders, read_star_log
 from scanledger.streaming import alerts
 
@@ -132,18 +132,7 @@ def project_job_log(spark, sf_dir):
 @query
 def job_filter_counts(spark, sf_dir):
     """How many jobs each filter leaves, per project."""
-    jobs = read_star_log(spark, sf_dir).withColumn("one", F.lit(1))
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("project_id").agg(F.count("*").alias("jobs")).withColumn("filter", F.lit(name))
-
-    recent = job_ops.history_window(jobs, PARAMS)
-    typed = job_ops.queries_only(recent)
-    plain = job_ops.without_scripts(typed)
-    large = job_ops.without_small_jobs(plain, PARAMS)
-    steps = {"history": recent, "queries": typed, "no_scripts": plain, "no_small": large}
-    counted = [kept(df, name) for name, df in steps.items()]
-    return alerts.any_alert(*counted)
+    return job_ops.filter_counts(read_star_log(spark, sf_dir), PARAMS)
 
 
 @query
@@ -361,7 +350,8 @@ def account_top_datasets(spark, sf_dir):
 
 @query
 def user_dataset_attribution(spark, sf_dir):
-    return summaries.user_dataset_attribution(stored_main(spark, sf_dir)).withColumn(
+    keep = lambda rows: kept(rows, "attributed")
+    return summaries.user_dataset_attribution(stored_main(spark, sf_dir), keep).withColumn(
         "bytes_processed", whole("bytes_processed")
     )
 
@@ -760,3 +750,231 @@ def stored_tables(spark, sf_dir):
         F.count("*").alias("records"),
         cost.money_sum(F.col("estimated_cost_usd")).alias("cost_usd"),
     )
+
+
+# --- runs over broken logs, uploads, tables that change as a whole ----------------------
+
+
+def _log_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project per project id of the log, and the customers' projects that have no jobs."""
+    own = read_star_log(spark, sf_dir).select(F.col("project_id").alias("id")).distinct()
+    others = _watched(spark, sf_dir).select("id").join(own, "id", "left_anti")
+    return own.unionByName(others).select(
+        "id", F.concat(F.lit("Project "), "id").alias("name"), F.lit(None).cast("boolean").alias("disabled")
+    )
+
+
+def json_log(spark: SparkSession, sf_dir: str) -> str:
+    """The log as JSON lines, a folder per project; some lines of proj-1 are cut off in the middle."""
+    path, jobs = work_path(spark, "json-log"), read_star_log(spark, sf_dir)
+    fields = F.struct(*[F.col(c) for c in jobs.columns if c != "project_id"])
+    line = F.to_json(fields, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    cut = (F.col("project_id") == "proj-1") & (F.substring("job_id", 5, 20).cast("long") % 701 == 0)
+    lines = jobs.select("project_id", F.when(cut, F.left(line, F.floor(F.length(line) / 2).cast("int"))).otherwise(line).alias("value"))
+    lines.write.partitionBy("project_id").text(path)
+    return path
+
+
+@query
+def checked_run(spark, sf_dir):
+    """One run over a log with broken lines: the project they belong to fails, the others do not."""
+    schema = read_star_log(spark, sf_dir).schema
+    checked = checked_log.read_checked_log(spark, json_log(spark, sf_dir), schema=schema)
+    rows = runs.run_monitoring(spark, checked, _log_projects(spark, sf_dir), PARAMS, work_path(spark, "checked"), RUN_TIME, "parquet")
+    response = runs.run_response(rows)
+    return response.select(
+        "project", "success", "records", "total_cost", F.regexp_extract("error", "^([0-9]+) broken", 1).cast("long").alias("broken_rows")
+    )
+
+
+@query
+def scheduled_run(spark, sf_dir):
+    """The response of a scheduled run beside what it put into the shared store."""
+    store = work_path(spark, "store")
+    response = runs.scheduled_run(
+        spark, read_star_log(spark, sf_dir), _watched(spark, sf_dir), PARAMS, work_path(spark, "scheduled"), store, "scanledger", RUN_TIME
+    )
+    rows = snapshot_sink.read_uploads(spark, store, MART)
+    uploaded = rows.groupBy(F.col("uploaded_project").alias("project"), "source", "uploaded_at").agg(F.count("*").alias("uploaded"))
+    return response.join(uploaded, "project", "left")
+
+
+@query
+def project_run(spark, sf_dir):
+    """A run of one project, its totals observed while the snapshot is written."""
+    rows = runs.monitor_project(
+        spark, read_star_log(spark, sf_dir), _watched(spark, sf_dir), "proj-2", PARAMS, work_path(spark, "one"), RUN_TIME
+    )
+    return rows.select("project", "project_name", "records", "total_cost", "total_bytes_processed", "total_queries", "error")
+
+
+@query
+def newest_folders(spark, sf_dir):
+    """The newest snapshot of every project, found by folder names."""
+    return scalar_view(snapshot_source.read_latest(spark, stored_snapshots(spark, sf_dir)), F.col("snapshot_ts"))
+
+
+@query
+def replaced_range(spark, sf_dir):
+    """Days published anew as a whole, one of them without rows now, the oldest expired."""
+    path, rows = work_path(spark, "versions"), main(spark, sf_dir)
+    versions.replace_range(rows, path, "2024-01-01", "2024-01-31", table_sink.MAIN_CLUSTER)
+    late = rows.where(F.col("date").between("2024-01-20", "2024-01-25") & (F.col("date") != "2024-01-22"))
+    versions.replace_range(late, path, "2024-01-20", "2024-01-25", table_sink.MAIN_CLUSTER)
+    versions.drop_before(spark, path, "2024-01-05")
+    back = versions.read_live(spark, path, MAIN_TABLE)
+    return back.groupBy(time.date_text(F.col("day")).alias("date")).agg(
+        F.count("*").alias("records"), cost.money_sum(F.col("estimated_cost_usd")).alias("cost_usd")
+    )
+
+
+@query
+def small_job_share(spark, sf_dir):
+    """What leaving out small jobs hides per user-day: two stored tables, joined bucket by bucket."""
+    log = read_star_log(spark, sf_dir)
+    every = job_ops.present(rollups.user_days(job_ops.job_stats(log, PARAMS), PARAMS))
+    for name, rows in (("user_days", every), ("main_days", main_table.main_user_days(log, PARAMS))):
+        table_sink.write_clustered(rows.where("user_email IS NOT NULL"), "scanledger_buckets", name, table_sink.MAIN_CLUSTER)
+    since = F.col("day") >= F.to_date(F.lit("2024-01-10"))
+    keys = ["day", "project_id", "user_email"]
+    whole_days = job_log.named_table(spark, "scanledger_buckets", "user_days").where(since)
+    large = job_log.named_table(spark, "scanledger_buckets", "main_days").where(since)
+    large = large.select(*keys, F.col("query_count").alias("large_queries"), F.col("estimated_cost_usd").alias("large_cost"))
+    return whole_days.join(large, keys, "left").select(
+        "date", "project_id", "user_email", "query_count", "estimated_cost_usd",
+        F.coalesce("large_queries", F.lit(0)).alias("large_queries"), F.coalesce("large_cost", F.lit(0.0)).alias("large_cost"),
+    )
+
+
+@query
+def alert_changes(spark, sf_dir):
+    """Both policies as streams that tell changes only, kept by key."""
+    jobs, path = streamed_jobs(spark, sf_dir), work_path(spark, "alert-store")
+    for fired in (alerts.alert_changes(jobs, DEFAULT_DAILY_COST_THRESHOLD, PARAMS.price_per_tb), alerts.alert_changes(jobs, 0)):
+        alerts.keep_alerts(fired, path, work_path(spark, "alert-state")).awaitTermination()
+    return _alert_view(alerts.current_alerts(spark, path))
+
+
+@query
+def newest_first(spark, sf_dir):
+    """The usage extract written newest first; ranks are told by file and row number."""
+    extract = job_ops.usage_extract(read_star_log(spark, sf_dir), PARAMS).select("job_id", "creation_time", "total_bytes_billed")
+    path = table_sink.write_sorted(extract, work_path(spark, "sorted"), F.desc("creation_time"), F.col("job_id"))
+    return table_sink.read_sorted(spark, path, extract.schema).select("rank", "job_id", instant("creation_time"), "total_bytes_billed")
+
+
+@query
+def history_order(spark, sf_dir):
+    """The history in the order that is shown: latest first, then most bytes."""
+    history = reports.query_history_of_jobs(stats(spark, sf_dir), PARAMS, PERIOD)
+    keys = [F.desc("last_queried"), F.desc("total_bytes_processed"), F.asc("dataset"), F.asc("user")]
+    rows = history.select("dataset", "user", second("last_queried").alias("shown"), "last_queried", "total_bytes_processed")
+    path = table_sink.write_sorted(rows, work_path(spark, "history"), *keys)
+    return table_sink.read_sorted(spark, path, rows.schema).select("rank", "dataset", "user", F.col("shown").alias("last_queried"))
+
+
+@query
+def config_checks(spark, sf_dir):
+    """Configurations of fifty customers' projects each, checked as a whole; some lack parts."""
+    rows = project_rows(spark, sf_dir).withColumn("config", F.floor(F.col("index") / 50).cast("long"))
+    fields = [F.col(c) for c in ("index", "id", "name", "description", "disabled")]
+    configs = rows.groupBy("config").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("projects"))
+    number = F.col("config").cast("double")
+    given = F.struct((number % 7 - 1).alias("historyDays"), (number % 5).alias("costPerTerabyte"), number.alias("refreshInterval"))
+    whole_configs = configs.select(
+        "config",
+        F.when(F.col("config") % 10 != 7, F.transform("projects", lambda p: p.dropFields("index"))).alias("projects"),
+        F.when(F.col("config") % 10 != 3, given).alias("settings"),
+    )
+    return quality.config_checks(whole_configs, "config")
+
+
+def _table_set(spark: SparkSession, sf_dir: str, schema: str) -> dict[str, DataFrame]:
+    return runs.build_all(spark, read_star_log(spark, sf_dir), PARAMS, schema)
+
+
+@query
+def table_set(spark, sf_dir):
+    """Rows and cost of the stored main table, the views on it and the attribution table, read back by name."""
+    spent = {
+        "main": "estimated_cost_usd", "daily": "total_estimated_cost_usd", "datasets": "total_cost_usd",
+        "accounts": "total_cost_usd", "attribution": "cost_usd",
+    }
+    built = _table_set(spark, sf_dir, "scanledger_set")
+    counted = [
+        built[key].groupBy(F.lit(key).alias("table")).agg(F.count("*").alias("records"), cost.money_sum(F.col(column)).alias("cost_usd"))
+        for key, column in spent.items()
+    ]
+    return alerts.any_alert(*counted)
+
+
+@query
+def catalog_sizes(spark, sf_dir):
+    """Rows per table of a set as the catalogue knows them, and whether each has a price."""
+    _table_set(spark, sf_dir, "scanledger_sizes")
+    sizes = estimates.catalog_sizes(spark, "scanledger_sizes")
+    priced = estimates.scan_cost(sizes).select("table_id", (F.col("estimated_cost_usd") > 0).alias("priced"))
+    return sizes.select("table_id", "row_count").join(priced, "table_id")
+
+
+@query
+def sketched_users(spark, sf_dir):
+    """Distinct users per dataset over a period, exactly and from daily sketches alone."""
+    usage = summaries.dataset_usage(stored_main(spark, sf_dir))
+    path = work_path(spark, "sketches")
+    sketches.user_sketches(usage, "date", "dataset_name").write.partitionBy("date").parquet(path)
+    kept = spark.read.schema("dataset_name string, users binary, date string").parquet(path)
+    period = F.col("date").between("2024-01-05", "2024-01-25")
+    guessed = sketches.distinct_users(kept.where(period), "dataset_name")
+    exact = usage.where(period).groupBy("dataset_name").agg(F.count_distinct(sketches.who()).alias("users"))
+    error = F.abs(F.col("unique_users") - F.col("users")) / F.col("users")
+    return exact.join(guessed, "dataset_name").select("dataset_name", "users", (error <= 0.05).alias("within_error"))
+
+
+@query
+def report_rows(spark, sf_dir):
+    """What all reports add up, from one scan of the mart."""
+    return reports.report_rows(mart(spark, sf_dir), PARAMS, PERIOD).select(
+        "report", "key", "other", "account", "queries", "hits", whole("bytes"), "cost"
+    )
+
+
+@query
+def report_bundle(spark, sf_dir):
+    """All bundled reports split off the stored rows: their size and cost."""
+    path = work_path(spark, "report-rows")
+    reports.report_rows(mart(spark, sf_dir), PARAMS, PERIOD).write.parquet(path)
+    rows = spark.read.schema("report string, key string, other string, account boolean, queries bigint, hits bigint, bytes double, cost double").parquet(path)
+    spent = {
+        "summary_metrics": F.col("total_cost_usd"), "cost_trend": F.col("cost_usd"),
+        "top_spenders": F.col("user_cost") + F.col("service_account_cost"), "dataset_ranking": F.col("cost_usd"),
+        "user_dataset_report": F.col("cost_usd"), "hourly_pattern": F.col("cost_usd"), "weekday_pattern": F.col("cost_usd"),
+    }
+    found = reports.bundled(rows)
+    return alerts.any_alert(
+        *[found[name].agg(F.count("*").alias("records"), cost.money_sum(amount).alias("cost_usd")).withColumn("report", F.lit(name)) for name, amount in spent.items()]
+    )
+
+
+@query
+def stored_user_days(spark, sf_dir):
+    """User-days stored as plain JSON rows without their arrays, read back."""
+    path = work_path(spark, "rows")
+    job_ops.present(rollups.user_days(stats(spark, sf_dir), PARAMS)).write.json(path)
+    back = snapshot_source.read_user_days(spark, path, multi_line=False)
+    return scalar_view(back, F.col("recent_queries").isNull().alias("without_texts"))
+
+
+@query
+def configured_settings(spark, sf_dir):
+    """Settings and projects of configuration files that hold fifty customers' projects each."""
+    rows = project_rows(spark, sf_dir).withColumn("config", F.floor(F.col("index") / 50).cast("long"))
+    listed = F.collect_list(F.struct("id", "name", "description", "disabled")).alias("projects")
+    configs = rows.groupBy("config").agg(listed)
+    given = F.struct((F.col("config") % 3).cast("double").alias("historyDays"), F.lit(6.25).alias("costPerTerabyte"))
+    path = work_path(spark, "configs")
+    configs.withColumn("settings", given).write.partitionBy("config").json(path)
+    config = project_source.read_config(spark, path)
+    chosen = project_source.settings(config)
+    kept = project_source.enabled(project_source.projects(config)).agg(F.count("*").alias("enabled"), F.count("id").alias("with_id"))
+    return kept.withColumns({name: chosen.select(name).scalar() for name in ("costPerTerabyte", "refreshInterval")})

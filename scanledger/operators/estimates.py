@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,25 @@ def read_table_sizes(spark: SparkSession, name: str = "tables_meta") -> DataFram
     return spark.table(name).select("table_id", "total_bytes_processed")
 
 
+def catalog_sizes(spark: SparkSession, schema: str, analyze: bool = True) -> DataFrame:
+    """``(table_id, total_bytes_processed, row_count)`` of every table of a schema, from the catalogue.
+
+    With ``analyze`` the statistics are brought up to date first, one pass over
+    file ends per table; without, tables never analysed have none and are left
+    out.  One row per table reaches the driver.
+    """
+    found = []
+    for row in spark.sql(f"SHOW TABLES IN `{schema}`").where("NOT isTemporary").collect():
+        full = f"`{schema}`.`{row['tableName']}`"
+        if analyze:
+            spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS")
+        told = spark.sql(f"DESCRIBE TABLE EXTENDED {full}").where("col_name = 'Statistics'").first()
+        numbers = [int(n) for n in re.findall(r"(\d+) (?:bytes|rows)", told["data_type"])] if told else []
+        if numbers:
+            found.append((row["tableName"], numbers[0], numbers[1] if len(numbers) > 1 else None))
+    return spark.createDataFrame(found, "table_id string, total_bytes_processed long, row_count long")
+
+
 def scan_cost(
     sizes: DataFrame, table_id: str | None = None, price_per_tb: float = DEFAULT_PRICE_PER_TB
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanledger.functions import arrays, cost, identity, text, time
@@ -27,17 +27,45 @@ def history_window(
     return kept
 
 
+def _is_query() -> Column:
+    return F.col("job_type") == "QUERY"
+
+
+def _is_no_script() -> Column:
+    return F.col("statement_type") != "SCRIPT"
+
+
+def _is_large(params: Params) -> Column:
+    return F.col("total_bytes_processed") > params.min_bytes
+
+
 def queries_only(jobs: DataFrame) -> DataFrame:
-    return jobs.where(F.col("job_type") == "QUERY")
+    return jobs.where(_is_query())
 
 
 def without_scripts(jobs: DataFrame) -> DataFrame:
     """Drops scripts, and rows whose statement type is unknown."""
-    return jobs.where(F.col("statement_type") != "SCRIPT")
+    return jobs.where(_is_no_script())
 
 
 def without_small_jobs(jobs: DataFrame, params: Params) -> DataFrame:
-    return jobs.where(F.col("total_bytes_processed") > params.min_bytes)
+    return jobs.where(_is_large(params))
+
+
+def filter_counts(jobs: DataFrame, params: Params) -> DataFrame:
+    """(project_id, filter, jobs): how many jobs each filter leaves after those before it, counted in one pass."""
+    steps = {
+        "history": F.col("creation_time") >= params.history_start(),
+        "queries": _is_query(),
+        "no_scripts": _is_no_script(),
+        "no_small": _is_large(params),
+    }
+    kept, counts = F.lit(True), []
+    for name, passes in steps.items():
+        kept = kept & passes
+        counts.append(F.struct(F.lit(name).alias("filter"), F.count_if(kept).alias("jobs")))
+    counted = jobs.groupBy("project_id").agg(F.array(*counts).alias("steps"))
+    return counted.select("project_id", F.inline("steps")).where("jobs > 0")
 
 
 def billable(jobs: DataFrame, params: Params, day_partition: str | None = None) -> DataFrame:

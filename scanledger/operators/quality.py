@@ -22,20 +22,19 @@ def _missing(name: str) -> Column:
     return F.coalesce(F.col(name) == "", F.lit(True))
 
 
-def project_checks(project_rows: DataFrame, index: str = "index") -> DataFrame:
-    """``(index, rule, message)`` for every project lacking an id or a name."""
+def project_checks(project_rows: DataFrame, index: str = "index", *keys: str) -> DataFrame:
+    """``(*keys, index, rule, message)`` for every project lacking an id or a name."""
     place = F.concat(F.lit("project "), F.col(index).cast("string"))
     rules = [
         (_missing(name), f"{name}_required", F.concat(place, F.lit(f" has no {name}")))
         for name in ("id", "name")
     ]
-    return project_rows.select(F.col(index).cast("long").alias("index"), _failures(rules)).select(
-        "index", "failure.*"
-    )
+    found = project_rows.select(*keys, F.col(index).cast("long").alias("index"), _failures(rules))
+    return found.select(*keys, "index", "failure.*")
 
 
-def settings_checks(settings_rows: DataFrame, index: str = "index") -> DataFrame:
-    """``(index, rule, message)`` for every given setting that is not positive."""
+def settings_checks(settings_rows: DataFrame, index: str = "index", *keys: str) -> DataFrame:
+    """``(*keys, index, rule, message)`` for every given setting that is not positive."""
     rules = [
         (
             F.coalesce(F.col(name) <= 0, F.lit(False)),
@@ -44,14 +43,18 @@ def settings_checks(settings_rows: DataFrame, index: str = "index") -> DataFrame
         )
         for name in ("historyDays", "costPerTerabyte", "refreshInterval")
     ]
-    return settings_rows.select(F.col(index).cast("long").alias("index"), _failures(rules)).select(
-        "index", "failure.*"
-    )
+    found = settings_rows.select(*keys, F.col(index).cast("long").alias("index"), _failures(rules))
+    return found.select(*keys, "index", "failure.*")
 
 
-def config_checks(config: DataFrame) -> DataFrame:
-    """All checks of a configuration as read by ``sources.projects.read_config``."""
+def config_checks(config: DataFrame, *keys: str) -> DataFrame:
+    """All checks of configurations as read by ``sources.projects.read_config``.
+
+    ``keys`` name columns that tell several configurations apart.  Each is one
+    row, checked where it is: nothing is shuffled.
+    """
     whole = config.select(
+        *keys,
         F.lit(None).cast("long").alias("index"),
         _failures(
             [
@@ -59,7 +62,9 @@ def config_checks(config: DataFrame) -> DataFrame:
                 (F.col("settings").isNull(), "settings_required", F.lit("no settings")),
             ]
         ),
-    ).select("index", "failure.*")
-    listed = config.select(F.posexplode("projects").alias("index", "p")).select("index", "p.*")
-    given = config.select(F.lit(None).cast("long").alias("index"), "settings.*")
-    return whole.unionByName(project_checks(listed)).unionByName(settings_checks(given))
+    ).select(*keys, "index", "failure.*")
+    listed = config.select(*keys, F.posexplode("projects").alias("index", "p")).select(*keys, "index", "p.*")
+    given = config.select(*keys, F.lit(None).cast("long").alias("index"), "settings.*")
+    return whole.unionByName(project_checks(listed, "index", *keys)).unionByName(
+        settings_checks(given, "index", *keys)
+    )

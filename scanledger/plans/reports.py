@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanledger.functions import display, identity, text, time
@@ -12,6 +12,7 @@ from scanledger.operators.jobs import KEY, present, query_details
 from scanledger.operators.rollups import user_days
 from scanledger.params import DEFAULT_REPORT_PERIOD, Params
 from scanledger.plans.mart import table_fields
+from scanledger.schema import MART
 
 TOP_SPENDERS = 8
 TOP_DATASETS = 10
@@ -218,20 +219,28 @@ def history_order(history: DataFrame) -> DataFrame:
 
 
 def dataset_ranking(mart: DataFrame, k: int = TOP_DATASETS) -> DataFrame:
-    """The k dearest datasets and their share of all cost (at most 100 percent)."""
-    total = mart.agg(_money("estimated_cost_usd").alias("total"))
-    share = F.least(ratio_or_zero(F.col("cost_usd"), total.scalar()), F.lit(100.0))
-    return (
-        mart.select(F.explode("dataset_costs").alias("d"))
-        .groupBy(F.col("d.dataset").alias("dataset"))
-        .agg(
-            F.coalesce(byte_sum("d.bytes_processed"), F.lit(0.0)).alias("bytes_processed"),
-            _money("d.dataset_cost_usd").alias("cost_usd"),
-        )
-        .orderBy(F.desc("cost_usd"), F.asc("dataset"))
-        .limit(k)
-        .withColumn("pct_of_total", share)
+    """The k dearest datasets and their share of all cost (at most 100 percent).
+
+    A row adds its datasets and its own total to one grouping, so the mart is
+    read once; the total is then the first of the k + 1 rows that remain.
+    """
+    none = F.lit(None).cast("string")
+    own = F.struct(F.lit(True).alias("whole"), none.alias("dataset"), F.lit(None).cast("double").alias("bytes"), F.col("estimated_cost_usd").alias("cost"))
+    entries = F.transform(
+        F.coalesce("dataset_costs", F.array().cast(MART["dataset_costs"].dataType)),
+        lambda d: F.struct(F.lit(False).alias("whole"), d["dataset"].alias("dataset"), d["bytes_processed"].alias("bytes"), d["dataset_cost_usd"].alias("cost")),
+    )
+    grouped = (
+        mart.select(F.inline(F.array_append(entries, own)))
+        .groupBy("whole", "dataset")
+        .agg(F.coalesce(byte_sum("bytes"), F.lit(0.0)).alias("bytes_processed"), _money("cost").alias("cost_usd"))
     )
+    top = grouped.orderBy(F.desc("whole"), F.desc("cost_usd"), F.asc("dataset")).limit(k + 1)
+    total = F.max(F.when(F.col("whole"), F.col("cost_usd"))).over(Window.partitionBy(F.lit(1)))
+    share = F.least(ratio_or_zero(F.col("cost_usd"), F.col("total")), F.lit(100.0))
+    return top.withColumn("total", total).where(~F.col("whole")).select(
+        "dataset", "bytes_processed", "cost_usd", share.alias("pct_of_total")
+    ).orderBy(F.desc("cost_usd"), F.asc("dataset"))
 
 
 _TABLE_ROW = ["date", "estimated_cost_usd", "project_id", "user_email"]
@@ -360,6 +369,94 @@ def reports(
     }
 
 
+REPORT_ROW = "struct<report:string,key:string,other:string,account:boolean,queries:bigint,hits:bigint,bytes:decimal(38,3),cost:double>"
+
+
+def report_rows(mart: DataFrame, params: Params, period: int = DEFAULT_REPORT_PERIOD) -> DataFrame:
+    """Everything the reports add up, from one scan and one shuffle: ``(report, key, other, account, queries, hits, bytes, cost)``.
+
+    A user-day adds to the totals, its day, its spender, its datasets, its pairs
+    of spender and dataset, its hours and its weekday; equal report and keys are
+    added within a task first, so what is shuffled follows the number of groups.
+    The overview (total, day, spender, dataset) covers the period, the rest all
+    days.  Keep the rows and give them to ``bundled``.
+    """
+    cutoff = params.days_ago(period)
+    recent = (F.col("date") >= F.date_format(cutoff, "yyyy-MM-dd")) & (F.try_to_timestamp("date") >= cutoff)
+    nothing, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+
+    def entry(report, key, cost, other=nothing, account=F.lit(False), queries=zero, hits=zero, nbytes=F.lit(0)):
+        return F.struct(
+            F.lit(report).alias("report"), key.alias("key"), other.alias("other"), account.alias("account"), queries.alias("queries"),
+            hits.alias("hits"), nbytes.cast("decimal(38,3)").alias("bytes"), cost.alias("cost"),
+        ).cast(REPORT_ROW)
+
+    own = {"queries": F.col("query_count"), "hits": F.col("cache_hit_count"), "nbytes": F.col("total_bytes_processed")}
+    cost, user, account = F.col("estimated_cost_usd"), F.col("spender"), F.col("is_account")
+    overview = F.array(
+        entry("total", nothing, cost, **own), entry("day", F.col("date"), cost, **own), entry("spender", user, cost, account=account, **own)
+    )
+    datasets = F.transform("dataset_costs", lambda d: entry("dataset", d["dataset"], d["dataset_cost_usd"], nbytes=d["bytes_processed"]))
+    none = F.array().cast(f"array<{REPORT_ROW}>")
+    pairs = F.transform(
+        "dataset_costs", lambda d: entry("user_dataset", user, d["dataset_cost_usd"], d["dataset"], account, nbytes=d["bytes_processed"])
+    )
+    hours = F.transform("hourly_breakdown", lambda h: entry("hour", h["hour_of_day"].cast("string"), h["hourly_cost"], queries=h["hourly_queries"]))
+    weekdays = F.transform("daily_breakdown", lambda w: entry("weekday", w["day_of_week"].cast("string"), w["daily_cost"], queries=w["daily_queries"]))
+    of_all = F.concat(*[F.coalesce(part, none) for part in (pairs, hours, weekdays)])
+    rows = mart.withColumns({"spender": _spender(), "is_account": _is_account()})
+    rows = rows.select(F.inline(F.concat(F.when(F.coalesce(recent, F.lit(False)), F.concat(overview, F.coalesce(datasets, none))).otherwise(none), of_all)))
+    return rows.groupBy("report", "key", "other").agg(
+        F.bool_or("account").alias("account"),
+        _total("queries").alias("queries"),
+        _total("hits").alias("hits"),
+        F.coalesce(F.sum("bytes").cast("double"), F.lit(0.0)).alias("bytes"),
+        _money("cost").alias("cost"),
+    )
+
+
+def bundled(rows: DataFrame, k_spenders: int = TOP_SPENDERS, k_datasets: int = TOP_DATASETS, k_pairs: int = TOP_ROWS) -> dict[str, DataFrame]:
+    """The reports that ``report_rows`` (best stored) feeds, each split off by its name."""
+    of = lambda name: rows.where(F.col("report") == name)
+    cost, account = F.col("cost"), F.col("account")
+    total, other = of("total"), F.lit(0.0)
+    hit = ratio_or_zero(F.col("hits"), F.col("queries"))
+    spenders = of("spender").orderBy(F.desc("cost"), F.asc("key")).limit(k_spenders)
+    whole = total.agg(F.coalesce(F.first("cost"), F.lit(0.0)))
+    datasets = of("dataset").orderBy(F.desc("cost"), F.asc("key")).limit(k_datasets)
+    pairs = of("user_dataset").orderBy(F.desc("cost"), F.asc("key"), F.asc("other")).limit(k_pairs)
+    number = F.col("key").cast("int")
+    return {
+        "summary_metrics": total.select(cost.alias("total_cost_usd"), terabytes(F.col("bytes")).alias("total_terabytes"), F.col("queries").alias("total_queries")),
+        "cost_trend": of("day").select(F.col("key").alias("date"), cost.alias("cost_usd")).orderBy("date"),
+        "top_spenders": spenders.select(
+            F.col("key").alias("spender"),
+            identity.short_spender(F.col("key"), account).alias("display_name"),
+            account.alias("is_service_account"),
+            F.when(account, other).otherwise(cost).alias("user_cost"),
+            F.when(account, cost).otherwise(other).alias("service_account_cost"),
+        ),
+        "cache_split": total.select(hit.alias("cache_hit_pct"), (F.lit(100.0) - hit).alias("cache_miss_pct")),
+        "dataset_ranking": datasets.select(
+            F.col("key").alias("dataset"),
+            F.col("bytes").alias("bytes_processed"),
+            cost.alias("cost_usd"),
+            F.least(ratio_or_zero(cost, whole.scalar()), F.lit(100.0)).alias("pct_of_total"),
+        ),
+        "user_dataset_report": pairs.select(
+            F.col("key").alias("user"),
+            F.col("other").alias("dataset"),
+            account.alias("is_service_account"),
+            cost.alias("cost_usd"),
+            F.col("bytes").alias("bytes_processed"),
+            identity.short_name(F.col("key")).alias("user_display"),
+            F.when(account, F.lit("Service Account")).otherwise(F.lit("User")).alias("user_type"),
+        ),
+        "hourly_pattern": of("hour").select(number.alias("hour"), "queries", cost.alias("cost_usd"), time.hour_label(number).alias("label")).orderBy("hour"),
+        "weekday_pattern": of("weekday").select(number.alias("weekday"), "queries", cost.alias("cost_usd"), time.weekday_label(number).alias("label")).orderBy("weekday"),
+    }
+
+
 def displayed_datasets(ranking: DataFrame, mart: DataFrame) -> DataFrame:
     """The dataset ranking as text."""
     total = mart.agg(_money("estimated_cost_usd").alias("total"))

@@ -15,9 +15,10 @@ from scanledger.params import Params
 from scanledger.plans import summaries
 from scanledger.plans.main_table import main_cost_table
 from scanledger.plans.mart import user_day_mart
-from scanledger.schema import RUN_SUMMARY, conform
+from scanledger.schema import MART, RUN_SUMMARY, conform
+from scanledger.session import kept
 from scanledger.sinks import tables
-from scanledger.sinks.snapshots import stamp, write_run_summary, write_snapshot
+from scanledger.sinks.snapshots import stamp, upload, write_run_summary, write_snapshot
 from scanledger.sources import checked_log
 from scanledger.sources import projects as project_source
 from scanledger.sources.job_log import named_table, of_project
@@ -184,6 +185,29 @@ def _kept_rows(spark: SparkSession, rows: DataFrame, output: str, run_ts: str) -
     return read_run_summaries(spark, summary_path).where(F.col("run_ts") == run_ts)
 
 
+def scheduled_run(
+    spark: SparkSession,
+    jobs: DataFrame,
+    project_rows: DataFrame,
+    params: Params,
+    output: str,
+    store: str,
+    source: str,
+    moment: datetime | None = None,
+) -> DataFrame:
+    """A whole scheduled run: snapshot, upload with metadata, run summary; returns the response per project.
+
+    The rows go to the shared ``store`` from the snapshot just stored, with who
+    wrote them and when.  A repeated run of one moment replaces its own rows.
+    """
+    moment = moment or datetime.now(timezone.utc)
+    rows = run_monitoring(spark, jobs, project_rows, params, output, moment, "parquet")
+    taken = F.col("snapshot_ts") == stamp(moment)
+    stored = read_snapshots(spark, f"{output}/snapshots", "parquet").where(taken)
+    upload(stored.select(MART.fieldNames()), store, source, stamp(moment))
+    return run_response(rows)
+
+
 def monitor_project(
     spark: SparkSession,
     jobs: DataFrame,
@@ -275,7 +299,7 @@ class TableSet:
         return self._view("accounts", summaries.account_summary)
 
     def create_attribution(self) -> DataFrame:
-        build = lambda: summaries.user_dataset_attribution(self.main())
+        build = lambda: summaries.user_dataset_attribution(self.main(), lambda rows: kept(rows, "attributed"))
         self._store("attribution", build, tables.ATTRIBUTION_CLUSTER, ("cost", "attribution"))
         return named_table(self.spark, self.schema, self.names["attribution"])
 

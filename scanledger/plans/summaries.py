@@ -6,12 +6,13 @@ columns it needs, so run them on the stored table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanledger.functions.arrays import or_empty
 from scanledger.functions.cost import byte_sum, half_up, money_sum, percentage
-from scanledger.operators.ranking import ranked_array, top_k
+from scanledger.operators.ranking import top_k
 
 TOP_ENTRIES = 10
 
@@ -52,6 +53,34 @@ def dataset_usage(main: DataFrame) -> DataFrame:
     )
 
 
+def _entries(main: DataFrame, *keys: str) -> DataFrame:
+    """One row per user-day and dataset, and one without a dataset for a user-day that has none.
+
+    ``is_first`` marks one row of each user-day, so that what belongs to the
+    user-day is added once.
+    """
+    scalars = ["query_count", "total_bytes_processed", "total_bytes_billed", "estimated_cost_usd"]
+    rows = main.select(*keys, "user_email", "service_account", *scalars, F.posexplode_outer("dataset_costs").alias("at", "d"))
+    return rows.withColumn("is_first", F.coalesce("at", F.lit(0)) == 0)
+
+
+def _with_top(totals_and_entries: DataFrame, keys: list[str], order: list[Column], entry: list[str], k: int, top: str) -> DataFrame:
+    """Rows per group: its totals and an array of its first k entries.
+
+    The input holds both, told apart by ``is_total``, as one grouping made them
+    from one read; ranked after its group's totals, an entry is dropped in the
+    task that ranks it, before the shuffle.
+    """
+    ranked = top_k(totals_and_entries, keys, [F.desc("is_total"), *order], k + 1)
+    totals = [c for c in totals_and_entries.columns if c not in (*keys, *entry, "is_total")]
+    listed = F.when(~F.col("is_total"), F.struct((F.col("rank") - 1).alias("rank"), *entry))
+    found = ranked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("is_total"), F.col(c))).alias(c) for c in totals],
+        F.array_sort(F.collect_list(listed)).alias(top),
+    )
+    return found.withColumn(top, F.transform(top, lambda e: F.struct(*[e[name].alias(name) for name in entry])))
+
+
 def dataset_top_users(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
     """The k dearest users per day, project and dataset, as ranked rows."""
     keys = [*_days(main), "project_id", "dataset_name"]
@@ -68,26 +97,31 @@ def dataset_top_users(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
 
 
 def dataset_summary(main: DataFrame, k: int = TOP_ENTRIES, exact: bool = True) -> DataFrame:
-    """Totals, users and top users per day, project and dataset.
+    """Totals, users and top users per day, project and dataset, from one read of the main table.
 
-    With ``exact`` off, users are counted by sketch, to about two percent.
+    Users are added up once; their sums make the totals and the ranking.  With
+    ``exact`` off, users are counted by sketch, to about two percent.
     """
     keys = [*_days(main), "project_id", "dataset_name"]
     who = F.concat("user_email", F.coalesce("service_account", F.lit("")))
-    users = F.count_distinct(who) if exact else F.approx_count_distinct(who, 0.02)
-    totals = dataset_usage(main).groupBy(*keys).agg(
-        users.alias("unique_users"),
-        byte_sum("bytes_processed").alias("total_bytes_processed"),
-        byte_sum("bytes_billed").alias("total_bytes_billed"),
-        money_sum(F.col("dataset_cost_usd")).alias("total_cost_usd"),
+    per_user = dataset_usage(main).groupBy(*keys, who.alias("who"), F.coalesce("service_account", "user_email").alias("user")).agg(
+        money_sum(F.col("dataset_cost_usd")).alias("cost"),
+        F.sum(F.col("bytes_processed").cast("decimal(38,3)")).alias("processed"),
+        F.sum(F.col("bytes_billed").cast("decimal(38,3)")).alias("billed"),
     )
-    top = dataset_top_users(main, k).groupBy(*keys).agg(
-        ranked_array(["user", "user_cost_usd", "user_bytes_processed"]).alias("top_users")
+    both = per_user.groupingSets([[*map(F.col, keys)], [*map(F.col, keys), F.col("user")]], *keys, "user").agg(
+        (F.grouping("user") == 1).alias("is_total"),
+        (F.count_distinct("who") if exact else F.approx_count_distinct("who", 0.02)).alias("unique_users"),
+        F.sum("processed").cast("double").alias("bytes"),
+        F.sum("billed").cast("double").alias("total_bytes_billed"),
+        money_sum(F.col("cost")).alias("cost"),
     )
-    element = "struct<user:string,user_cost_usd:double,user_bytes_processed:double>"
-    return totals.join(top, keys, "left").withColumn(
-        "top_users", or_empty(F.col("top_users"), element)
+    rows = both.select(
+        *keys, "is_total", "unique_users", F.col("bytes").alias("total_bytes_processed"), "total_bytes_billed", F.col("cost").alias("total_cost_usd"),
+        "user", F.col("cost").alias("user_cost_usd"), F.col("bytes").alias("user_bytes_processed"),
     )
+    order = [F.desc_nulls_last("user_cost_usd"), F.asc_nulls_first("user")]
+    return _with_top(rows, keys, order, ["user", "user_cost_usd", "user_bytes_processed"], k, "top_users")
 
 
 def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
@@ -106,37 +140,45 @@ def account_top_datasets(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
 
 
 def account_summary(main: DataFrame, k: int = TOP_ENTRIES) -> DataFrame:
-    """Totals and top datasets per day, project and service account."""
-    keys = [*_days(main), "project_id", "service_account"]
-    totals = (
-        main.where(F.col("service_account").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.sum("query_count").alias("total_queries"),
-            F.sum("total_bytes_processed").alias("total_bytes_processed"),
-            F.sum("total_bytes_billed").alias("total_bytes_billed"),
-            money_sum(F.col("estimated_cost_usd")).alias("total_cost_usd"),
-        )
-    )
-    top = account_top_datasets(main, k).groupBy(*keys).agg(
-        ranked_array(["dataset_name", "dataset_cost_usd", "dataset_bytes_processed"]).alias(
-            "top_datasets"
-        )
+    """Totals and top datasets per day, project and service account, from one read of the main table."""
+    days = _days(main)
+    keys = [*days, "project_id", "service_account"]
+    rows = _entries(main.where(F.col("service_account").isNotNull()), *days, "project_id")
+    once = lambda name: F.when(F.col("is_first"), F.col(name))
+    none = F.col("d").isNull()
+    per_dataset = rows.groupBy(*keys, none.alias("none"), F.col("d.dataset").alias("dataset_name")).agg(
+        F.sum(once("query_count")).alias("queries"),
+        F.sum(once("total_bytes_processed")).alias("processed"),
+        F.sum(once("total_bytes_billed")).alias("billed"),
+        money_sum(once("estimated_cost_usd")).alias("spent"),
+        money_sum(F.col("d.dataset_cost_usd")).alias("cost"),
+        F.sum(F.col("d.bytes_processed").cast("decimal(38,3)")).alias("bytes"),
     )
-    element = "struct<dataset_name:string,dataset_cost_usd:double,dataset_bytes_processed:double>"
-    return totals.join(top, keys, "left").withColumn(
-        "top_datasets", or_empty(F.col("top_datasets"), element)
+    sets = [[*map(F.col, keys)], [*map(F.col, keys), F.col("none"), F.col("dataset_name")]]
+    both = per_dataset.groupingSets(sets, *keys, "none", "dataset_name").agg(
+        (F.grouping("dataset_name") == 1).alias("is_total"),
+        F.sum("queries").alias("total_queries"),
+        F.sum("processed").alias("total_bytes_processed"),
+        F.sum("billed").alias("total_bytes_billed"),
+        money_sum(F.col("spent")).alias("total_cost_usd"),
+        money_sum(F.col("cost")).alias("dataset_cost_usd"),
+        F.sum("bytes").cast("double").alias("dataset_bytes_processed"),
     )
+    both = both.where(F.col("is_total") | ~F.col("none")).drop("none")
+    order = [F.desc_nulls_last("dataset_cost_usd"), F.asc_nulls_first("dataset_name")]
+    return _with_top(both, keys, order, ["dataset_name", "dataset_cost_usd", "dataset_bytes_processed"], k, "top_datasets")
 
 
-def user_dataset_attribution(main: DataFrame) -> DataFrame:
+def user_dataset_attribution(main: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Who spends how much on which dataset, with both shares.
 
     ``query_count`` counts user-day rows, and rows equal in every grouped value
     fold into one before their bytes and cost are added.  The totals a share is
     taken of leave the project out.  They are grouped sums joined back, not
     windows: partial sums absorb a dataset that everybody uses, and a row
-    without a user finds no total, so its share is NULL.
+    without a user finds no total, so its share is NULL.  The attributed rows
+    serve three branches: ``keep`` stores them and returns them, so that they
+    are computed once.
     """
     rows = (
         main.select(
@@ -164,6 +206,8 @@ def user_dataset_attribution(main: DataFrame) -> DataFrame:
         byte_sum("bytes").alias("bytes_processed"),
         money_sum(F.col("cost")).alias("cost_usd"),
     )
+    if keep is not None:
+        attributed = keep(attributed)
     of_user = attributed.groupBy("date", "user").agg(money_sum(F.col("cost_usd")).alias("user_total"))
     of_dataset = attributed.groupBy("date", "dataset_name").agg(
         money_sum(F.col("cost_usd")).alias("dataset_total")

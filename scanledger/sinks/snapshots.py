@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanledger.params import DEFAULT_RETENTION_DAYS, Params
 
@@ -61,6 +62,20 @@ def with_upload_metadata(rows: DataFrame, source: str, run_ts: str) -> DataFrame
     )
 
 
+def upload(rows: DataFrame, store: str, source: str, run_ts: str) -> str:
+    """Put rows with their metadata into a shared store, by run and project; a repeated run replaces its own."""
+    told = with_upload_metadata(rows, source, run_ts)
+    writer = told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("uploaded_at", "uploaded_project").parquet(store)
+    return store
+
+
+def read_uploads(spark: SparkSession, store: str, schema: T.StructType) -> DataFrame:
+    """Rows of a shared store; ``schema`` is that of the rows without metadata."""
+    metadata = [T.StructField(name, T.StringType()) for name in ("source", "uploaded_at", "uploaded_project")]
+    return spark.read.schema(T.StructType([*schema.fields, *metadata])).parquet(store)
+
+
 def retained(
     snapshots: DataFrame, params: Params, days: int = DEFAULT_RETENTION_DAYS
 ) -> DataFrame:

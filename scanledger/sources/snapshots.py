@@ -20,9 +20,13 @@ def read_snapshots(spark: SparkSession, path: str, fmt: str = "json") -> DataFra
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def read_user_days(spark: SparkSession, path: str) -> DataFrame:
-    """User-day rows from plain JSON files (one array or one object per line)."""
-    return spark.read.schema(MART).option("multiLine", True).json(path)
+def read_user_days(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """User-day rows from plain JSON files.
+
+    A file is one array, or one object per line; an array is read by one task
+    per file, lines (``multi_line=False``) by as many as the file has blocks.
+    """
+    return spark.read.schema(MART).option("multiLine", multi_line).json(path)
 
 
 def latest_per_project(snapshots: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from tests.conftest import SF_DIR, job
 WRITES_FIRST = {
     "stored_tables", "monitoring_run", "alert_stream", "latest_snapshot", "retained_snapshots",
     "latest_run_summary", "dataset_summary", "dataset_top_users", "account_summary",
-    "account_top_datasets", "user_dataset_attribution",
+    "account_top_datasets", "user_dataset_attribution", "checked_run", "scheduled_run", "project_run",
+    "newest_folders", "replaced_range", "small_job_share", "alert_changes", "newest_first", "history_order",
+    "table_set", "catalog_sizes", "sketched_users", "report_bundle", "stored_user_days", "configured_settings",
 }
 
 
