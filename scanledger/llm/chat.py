@@ -157,7 +157,11 @@ def link(items: DataFrame, schemas: DataFrame) -> DataFrame:
     keys = ["conv_id", "call_id"]
     placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     items = items.withColumn("_content", F.xxhash64("kind", "content"))
-    known = items.filter(placed & F.col("call_id").isNotNull())
+    # Rows without a place meet nothing and are not numbered: they are added at the end as they are.
+    columns = items.columns
+    unplaced = items.filter(~placed).select(*columns, F.lit("unplaced").alias("status"), F.lit(None).cast("long").alias("position"))
+    items = items.filter(placed)
+    known = items.filter(F.col("call_id").isNotNull())
     calls = known.filter("kind = 'call'").groupBy(*keys).agg(F.min(F.struct("turn", "_content", "after")).alias("c"))
     calls = calls.select(*keys, F.col("c.turn").alias("call_turn"), F.col("c._content").alias("call_content"), F.col("c.after").alias("after"))
     results = known.filter("kind = 'result'").groupBy(*keys).agg(F.min(F.struct("turn", "_content")).alias("r"))
@@ -171,8 +175,7 @@ def link(items: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     exists = F.col("call_turn").isNotNull()
     status = (
-        F.when(~placed, "unplaced")
-        .when(F.col("kind") == "message", "message")
+        F.when(F.col("kind") == "message", "message")
         .when(result & ~exists, "orphan")
         .when(~F.coalesce(mine, F.lit(False)), "repeated")
         .when(F.col("level").isNull(), "cyclic")
@@ -182,10 +185,10 @@ def link(items: DataFrame, schemas: DataFrame) -> DataFrame:
     last = F.lit(2**31 - 1)
     depth = F.when(F.col("kind") == "message", 0).when(exists & F.col("level").isNotNull(), F.col("level") * 2 + result.cast("int"))
     depth = F.when(result & ~exists, 0).otherwise(F.coalesce(depth, last))
-    rows = rows.withColumn("status", status).withColumn("depth", F.when(placed, depth)).withColumn("_block", F.floor(F.col("turn") / BLOCK))
+    rows = rows.withColumn("status", status).withColumn("depth", depth).withColumn("_block", F.floor(F.col("turn") / BLOCK))
 
     # Totals of stretches of depths first, then places inside a stretch: no window spans a long conversation.
-    tally = rows.filter(placed).groupBy("conv_id", F.floor(F.col("depth") / BLOCK).alias("_stretch"), "depth", "_block").agg(F.count("*").alias("_n"))
+    tally = rows.groupBy("conv_id", F.floor(F.col("depth") / BLOCK).alias("_stretch"), "depth", "_block").agg(F.count("*").alias("_n"))
     before = lambda keys, *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     stretches = tally.groupBy("conv_id", "_stretch").agg(F.sum("_n").alias("_all"))
     earlier = F.coalesce(F.sum("_all").over(before(["conv_id"], "_stretch")), F.lit(0))
@@ -193,11 +196,8 @@ def link(items: DataFrame, schemas: DataFrame) -> DataFrame:
     starts = tally.withColumn("_inside", inside).join(stretches.select("conv_id", "_stretch", earlier.alias("_earlier")), ["conv_id", "_stretch"])
     starts = starts.select("conv_id", "depth", "_block", (F.col("_earlier") + F.col("_inside")).alias("_start"))
     within = Window.partitionBy("conv_id", "depth", "_block").orderBy("turn", "kind", "call_id", "_content")
-    rows = rows.join(starts, ["conv_id", "depth", "_block"], "left").withColumn(
-        "position", F.when(placed, F.col("_start") + F.row_number().over(within) - 1)
-    )
-
-    rows = checked(rows, schemas)
+    rows = rows.join(starts, ["conv_id", "depth", "_block"]).withColumn("position", F.col("_start") + F.row_number().over(within) - 1)
+    rows = checked(rows.select(*columns, "status", "position").unionByName(unplaced), schemas)
     arguments = F.coalesce(canonical(F.col("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     field = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))

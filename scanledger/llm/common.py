@@ -44,6 +44,22 @@ def only(frame: DataFrame, **types: str) -> DataFrame:
     return frame.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in types.items()])
 
 
+def packed(frame: DataFrame, *apart: str, **working: Column) -> DataFrame:
+    """The caller's columns but ``apart`` in one struct ``row``, and working columns beside it: no two names clash.
+
+    ``unpacked`` gives the caller's columns back.
+    """
+    held = [F.col(f"`{c}`") for c in frame.columns if c not in apart]
+    if not held:  # a struct needs a field
+        held = [F.lit(True).alias("none")]
+    return frame.select(F.struct(*held).alias("row"), *[column.alias(name) for name, column in working.items()])
+
+
+def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
+    """The caller's ``columns`` of a packed frame, some of them given anew."""
+    return [replaced[c].alias(c) if c in replaced else F.col("row")[c].alias(c) for c in columns]
+
+
 def numbered(frame: DataFrame, keys: list[Column], name: str) -> DataFrame:
     """Add ``name``: the place of every row, from 0, in the order of ``keys``.
 

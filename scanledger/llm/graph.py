@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, stored
-from .vectors import matrix, taking_part
+from .vectors import lengths, matrix, taking_part
 
 NEIGHBOURS = 10
 SHARD = 2048
@@ -52,7 +52,10 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, query: np.ndarray,
         fresh = ~seen[rows, near]  # place -1 is the one past the end, marked seen
         near = np.where(fresh, near, -1)
         seen[rows, near] = True
-        d = np.where(fresh, _from(x, query, np.maximum(near, 0)), np.inf).astype(np.float32)
+        d = np.full(near.shape, np.inf, dtype=np.float32)
+        asker, place = np.nonzero(fresh)
+        apart = x[near[asker, place]] - query[asker]
+        d[asker, place] = np.einsum("kd,kd->k", apart, apart)
         ids, dist, open_ = np.hstack([ids, near]), np.hstack([dist, d]), np.hstack([open_, fresh])
         best = np.argsort(dist, axis=1, kind="stable")[:, :beam]
         ids, dist, open_ = ids[rows, best], dist[rows, best], open_[rows, best]
@@ -152,13 +155,13 @@ def _blocked(part: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([part["block"][0].as_py()], pa.int64()), "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([x.tobytes()], pa.binary())})
 
 
-def _searched(batches: Iterator[pa.RecordBatch], wanted: int, beam: int) -> Iterator[pa.RecordBatch]:
+def _searched(batches: Iterator[pa.RecordBatch], wanted: int, beam: int, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             value = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
             ids, query_ids = np.frombuffer(value["ids"], np.int64), np.frombuffer(value["query_ids"], np.int64)
-            x = np.frombuffer(value["vectors"], np.float32).reshape(len(ids), -1)
-            q = np.frombuffer(value["queries"], np.float32).reshape(len(query_ids), -1)
+            x = np.frombuffer(value["vectors"], kind).reshape(len(ids), -1)
+            q = np.frombuffer(value["queries"], kind).reshape(len(query_ids), -1)
             graph = np.frombuffer(value["graph"], np.int32).reshape(len(ids), -1)
             for at in range(0, len(q), 256):
                 some = q[at : at + 256]
@@ -186,11 +189,26 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard: in
     A class of equal vectors answers with its k + 1 smallest ids, which is all
     that can be among the k nearest.
 
-    Vectors that are null, zero, hold null or non-finite components, or are of
-    another length than most, take no part; rows of one vec_id count once.
-    Queries with fewer than k candidates get all. Extra columns are ignored.
+    Vectors are searched among those of their own length, one length after the
+    other. Vectors that are null, zero or hold null or non-finite components
+    take no part; rows of one vec_id count once. Queries with fewer than k
+    candidates get all. Extra columns are ignored.
     """
     rows = stored(taking_part(table), "vectors")
+    wanted = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    found = None
+    for length in lengths(rows):
+        part = _nearest(rows.filter(F.col("n") == length), wanted, k, shard, beam)
+        found = part if found is None else found.unionByName(part)
+    return table.sparkSession.createDataFrame([], RANKED) if found is None else found
+
+
+RANKED = "query_id long, rank int, vec_id long, score double"
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, shard: int, beam: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    kind = "<f8" if rows.schema["embedding"].dataType.elementType.typeName() == "double" else "<f4"
     keys = ["k1", "k2"]
     # In two steps, so a frequent vector is cut down in many tasks first.
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(32))
@@ -206,13 +224,13 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard: in
     built = parted.repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(_built, "shard long, ids binary, vectors binary, graph binary, entry long")
     built = stored(built, "graphs")
 
-    asked = stored(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding"), "queries")
+    asked = stored(rows.join(queries, "vec_id", "left_semi").select("vec_id", "embedding"), "queries")
     blocks = max(-(-asked.count() // BLOCK), 1)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("long"))
     asked = asked.groupBy("block").applyInArrow(_blocked, "block long, query_ids binary, queries binary")
     everywhere = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     pairs = built.join(everywhere, "shard").drop("shard", "block")
-    found = pairs.mapInArrow(lambda batches: _searched(batches, k + 1, beam), "query_id long, rep long, score double")
+    found = pairs.mapInArrow(lambda batches: _searched(batches, k + 1, beam, kind), "query_id long, rep long, score double")
     answers = found.join(members, "rep").filter("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = answers.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

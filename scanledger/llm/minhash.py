@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, load, numbered, stored
+from .common import components, load, numbered, packed, stored, unpacked
 
 BANDS, ROWS = 32, 5
 BITS = 512
@@ -286,11 +286,12 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
         gone = stored(near_duplicates(docs, **settings).filter(~F.col("kept")).select("doc_id"), "gone")
         return docs.join(gone, "doc_id", "left_anti").select(*columns)
     # The last key tells equal rows apart, so that many of them do not meet in one task.
-    marked = docs.select(*columns, F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_at"))
-    rows = stored(numbered(marked, [F.col("doc_id").asc_nulls_last(), F.col("_text"), F.col("_at")], "_row"), "rows")
-    judged = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **settings)
-    gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*columns)
+    keyed = {"doc_id": F.col("doc_id"), "text": F.col("text"), "hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()}
+    marked = packed(docs, "text", **keyed)
+    rows = stored(numbered(marked, [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("at")], "place"), "rows")
+    judged = near_duplicates(rows.select(F.col("place").alias("doc_id"), "text"), **settings)
+    gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("place")), "gone")
+    return rows.join(gone, "place", "left_anti").select(*unpacked(docs.columns, text=F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, numbered, stored, words
+from .common import load, numbered, packed, stored, unpacked, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -91,19 +91,30 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, whole and repeated as often as taken, with the columns given.
 
-    Rows alike in doc_id, source and size are told apart by number, so each gets its own copies.
+    Copies are looked up by doc_id, so texts are shuffled once, and not at all
+    where the mix is small enough to be broadcast at run time. Rows that lack a
+    doc_id or share one are looked up by their number in the order of doc_id,
+    source and size, in which they and their copies are the same. Other columns
+    may have any names.
     """
-    key = F.xxhash64("doc_id", "source", "_size")
-    turn = Window.partitionBy("_key").orderBy("_size")
-    columns = docs.columns
-    texts = docs.withColumn("_size", words(F.col("text"))).withColumn("_key", key).withColumn("_turn", F.row_number().over(turn))
-    copies = mix(docs, **settings).withColumnRenamed("size", "_size").withColumn("_key", key)
-    copies = copies.withColumn("_turn", F.row_number().over(turn)).filter("copies > 0").select("_key", "_turn", "copies")
-    return (
-        texts.join(copies, ["_key", "_turn"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*columns)
-    )
+    mixed = stored(mix(docs, **settings).select("doc_id", "source", "size", "copies"), "mix")
+    unclear = mixed.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").select(F.col("doc_id").alias("id"))
+    whole = packed(docs, doc_id=F.col("doc_id"), source=F.col("source"), size=words(F.col("text")))
+
+    def are(frame: DataFrame, how: str) -> DataFrame:
+        return frame.join(unclear, F.col("doc_id").eqNullSafe(F.col("id")), how)
+
+    taken = are(mixed, "left_anti").filter("copies > 0").select("doc_id", "copies")
+    found = whole.select("row", "doc_id").join(taken, "doc_id").select("row", "copies")
+    if not unclear.isEmpty():
+        keys = lambda: [F.col(c).asc_nulls_last() for c in ("doc_id", "source", "size")] + [F.col("tie")]
+        # The tie tells equal rows apart, so that many of them do not meet in one task.
+        rows = numbered(are(whole, "left_semi").withColumn("tie", F.monotonically_increasing_id()), keys(), "place")
+        counts = numbered(are(mixed, "left_semi").withColumn("tie", F.monotonically_increasing_id()), keys(), "place")
+        alike = rows.select("row", "place").join(counts.filter("copies > 0").select("place", "copies"), "place")
+        found = found.unionByName(alike.select("row", "copies"))
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return found.select("row", each).select(*unpacked(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, load, stored
-from .vectors import matrix, taking_part
+from .vectors import lengths, matrix, taking_part
 
 COSINE = 0.9
 RECALL = 0.95
@@ -19,6 +20,7 @@ SAMPLE = 16_384
 CELL = 64  # vectors a cell holds on average, by which codebooks grow
 MOST_CODES = 1024
 MEMBERS, VISITORS = 2048, 8192
+BATCH = 1024  # vectors whose cells are looked up together, while they visit up to 64
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class Grid:
     first: np.ndarray
     second: np.ndarray
     visits: int
+    recall: float = 1.0  # as measured on the sample
 
     def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         half = self.first.shape[1]
@@ -79,6 +82,8 @@ def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, recall: float = R
     The visits are measured: for every sampled vector a partner exactly at the
     cosine asked for, in a random direction, must lie in a visited cell. Links
     are looked for from both ends, so fewer than the square of the rest is lost.
+    Visits double until that is met; the last step visits the whole grid. Where
+    codebooks are at their bound, cells grow instead and are split into blocks.
     """
     codes = 2 ** round(np.log2(max(np.sqrt(rows / CELL), 2)))
     codes = int(min(codes, MOST_CODES, max(len(sample), 1)))
@@ -89,15 +94,20 @@ def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, recall: float = R
     noise -= (noise * probe).sum(1, keepdims=True) * probe
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
     partner = cosine * probe + np.sqrt(1 - cosine**2) * noise
-    grid = Grid(first, second, len(first) * len(second))
-    most = min(grid.visits, 1024)
+    whole = len(first) * len(second)
+    grid = Grid(first, second, whole)
     wanted = grid.cells(partner, 1)
-    for visits in sorted({*(2**i for i in range(2, 11)), most}):
-        if visits > most:
-            break
-        if (grid.cells(probe, visits) == wanted).any(axis=1).mean() >= recall:
-            return Grid(first, second, visits)
-    return Grid(first, second, most)
+    visits = min(4, whole)
+    while visits < whole:
+        at_once = max(BATCH * 64 // visits, 1)
+        hits = [
+            (grid.cells(probe[at : at + at_once], visits) == wanted[at : at + at_once]).any(axis=1) for at in range(0, len(probe), at_once)
+        ]
+        reached = float(np.concatenate(hits).mean())
+        if reached >= recall:
+            return Grid(first, second, visits, reached)
+        visits = min(2 * visits, whole)
+    return grid  # every cell is visited, so nothing is missed
 
 
 def _joined(table: pa.Table, grid: Grid, cosine: float) -> pa.Table:
@@ -108,7 +118,8 @@ def _joined(table: pa.Table, grid: Grid, cosine: float) -> pa.Table:
     members, visitors = np.flatnonzero(is_member), np.flatnonzero(~is_member)
     out_id, out_weight, edge_a, edge_b = [], [], [], []
     if len(members) and len(visitors):
-        visited = grid.cells(unit[members])
+        at_once = max(BATCH * 64 // max(grid.visits, 64), 1)
+        visited = np.concatenate([grid.cells(unit[members[at : at + at_once]]) for at in range(0, len(members), at_once)])
         found_v, found_m = [], []
         for at in range(0, len(visitors), 1024):
             block = visitors[at : at + 1024]
@@ -161,30 +172,43 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, recall: float = RECAL
     block gives sums per vector and edges to the least linked id, never its
     pairs.
 
-    Vectors that are null, zero or hold null or non-finite components, or are
-    of another length than most, link with nothing; rows of one vec_id count
-    once; rows without vec_id have no component and are kept. Extra columns are
-    ignored.
+    Vectors are compared with those of their own length, one length after the
+    other. Vectors that are null, zero or hold null or non-finite components
+    link with nothing; rows of one vec_id count once; rows without vec_id have
+    no component and are kept. Extra columns are ignored.
     """
     ids = table.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     rows = stored(taking_part(table), "vectors")
+    placed = None
+    for length in lengths(rows):
+        found = _linked(rows.filter(F.col("n") == length), cosine, recall, most_sample)
+        placed = found if placed is None else placed.unionByName(found)
+    if placed is None:
+        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    known = ids.join(placed, "vec_id", "left")
+    return known.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "vec_id").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _linked(rows: DataFrame, cosine: float, recall: float, most_sample: int) -> DataFrame:
+    """(vec_id, n_links, part) of vectors of one length."""
     classes = stored(rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = rows.join(classes, ["k1", "k2"]).filter("vec_id = rep").select("rep", "copies", "embedding")
     reps = stored(reps, "reps")
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("rep", F.lit(10)), "rep").limit(most_sample).select("embedding").toArrow()
-    if not n:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     grid = fit(unit_rows(matrix(sample["embedding"])), n, cosine, recall)
+    at_once = max(BATCH * 64 // max(grid.visits, 64), 1)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 cells = grid.cells(unit_rows(matrix(part["embedding"])))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(cells), pa.list_(pa.int64()))], [*part.schema.names, "cells"])
 
-    schema = "rep long, copies long, embedding array<float>, cells array<long>"
+    schema = T.StructType([*reps.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))])
     seen = stored(reps.mapInArrow(visit, schema).withColumn("own", F.col("cells")[0]), "visits")
     visits = seen.select("rep", F.explode("cells").alias("cell"))
     counts = visits.groupBy("cell").agg(F.count("*").alias("visitors"))
@@ -209,11 +233,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, recall: float = RECAL
     parts = components(found.filter("a IS NOT NULL").select("a", "b").distinct(), "a", "b")
     judged = classes.join(weights, "rep", "left").join(parts, F.col("rep") == F.col("id"), "left")
     judged = judged.select("k1", "k2", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part"))
-    placed = rows.select("vec_id", "k1", "k2").join(judged, ["k1", "k2"]).select("vec_id", "n_links", "part")
-    known = ids.join(placed, "vec_id", "left")
-    return known.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "vec_id").alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return rows.select("vec_id", "k1", "k2").join(judged, ["k1", "k2"]).select("vec_id", "n_links", "part")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,8 @@ def train(
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of ``docs`` and ``score`` of every whole text: 0 to 1, higher for likelier good.
 
-    A null text scores as an empty one. Without a model every score is 0.5.
+    A null text scores as an empty one. Without a model every score is 0.5. A
+    column ``score`` of the input is replaced.
     """
     if model is None:
         return docs.withColumn("score", F.lit(0.5))

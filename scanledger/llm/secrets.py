@@ -20,39 +20,44 @@ KINDS = ("assign", "access", "hex", "owned")
 EXAMPLE_OWNERS = 3
 
 
-def _placed(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, guard: str | None = None) -> Column:
-    """The leftmost non-overlapping matches: array of (start, kind, end, value), in code points.
+STEP = 256  # numbers whose running sum is built at once
 
-    What lies between matches and the matches themselves alternate, so their
-    lengths add up to the places. Matches whose group is too short count for
-    the places and are then left out.
-    """
-    gaps = F.split(text, pattern, -1)
+SPANS = "array<struct<start:long,kind:int,end:long,value:string>>"
+
+
+def _matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """The leftmost non-overlapping matches: struct of ``steps`` (length of what lies before a match, and its own), ``sizes`` and ``values``."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    spans = F.aggregate(
-        F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("array<struct<start:long,kind:int,end:long,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                F.coalesce(acc["out"], F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>")),
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["g"])).alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                        x["v"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
+    sizes = F.transform(found, lambda m: F.length(m))
+    return F.when(text.rlike(pattern), F.struct(steps.alias("steps"), sizes.alias("sizes"), values.alias("values")))
+
+
+def _summed(values: Column, start: Column) -> Column:
+    """Running sums of a few numbers; the start comes first."""
+    return F.aggregate(values, F.array(start), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+
+def _running(values: Column) -> Column:
+    """The running sums of an array of longs: by stretches, so that no long array is copied number by number."""
+    blocks = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))).otherwise(F.array().cast("array<int>"))
+    stretch = lambda b: F.slice(values, b * STEP + 1, F.lit(STEP))
+    zero = F.lit(0).cast("long")
+    starts = _summed(F.transform(blocks, lambda b: F.aggregate(stretch(b), zero, lambda x, y: x + y)), zero)
+    paired = F.arrays_zip(blocks.alias("b"), F.slice(starts, F.lit(1), F.size(blocks)).alias("s"))
+    return F.flatten(F.transform(paired, lambda p: F.slice(_summed(stretch(p["b"]), p["s"]), F.lit(2), F.lit(STEP))))
+
+
+def _spans(matches: str, ends: str, kind: int, least: int = 0) -> Column:
+    """Spans (start, kind, end, value) in code points; those whose value is too short are left out."""
+    zipped = F.arrays_zip(F.col(ends).alias("e"), F.col(f"{matches}.sizes").alias("l"), F.col(f"{matches}.values").alias("v"))
+    spans = F.transform(
+        zipped, lambda x: F.struct((x["e"] - x["l"]).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("value"))
     )
     if least:
         spans = F.filter(spans, lambda s: F.length(s["value"]) >= least)
-    none = F.array().cast("array<struct<start:long,kind:int,end:long,value:string>>")
-    return F.when(text.rlike(guard or pattern), F.coalesce(spans, none)).otherwise(none)
+    return F.coalesce(spans.cast(SPANS), F.array().cast(SPANS))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -62,25 +67,26 @@ def candidates(docs: DataFrame) -> DataFrame:
     ``repository`` default to the source and to source and language.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(
+        "doc_id",
+        F.coalesce("source", F.lit("")).alias("owner"),
+        F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("repository"),
+        *[_matches(text, pattern, group).alias(f"m{kind}") for kind, (pattern, group) in enumerate(((ASSIGN, 2), (ACCESS, 0), (HEX, 0), (TOKEN, 0)))],
+    )
+    # Lengths and sums are columns of their own: within a lambda they would be computed again for every stretch.
+    found = found.withColumns({f"t{kind}": F.col(f"m{kind}.steps") for kind in range(4)})
+    found = found.withColumns({f"e{kind}": _running(F.col(f"t{kind}")) for kind in range(4)})
     every = F.concat(
-        _placed(text, ASSIGN, 0, group=2, least=ASSIGN_LEAST),
-        _placed(text, ACCESS, 1),
-        _placed(text, HEX, 2),
-        F.filter(
-            _placed(text, TOKEN, 3),
-            lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"),
-        ),
+        _spans("m0", "e0", 0, ASSIGN_LEAST),
+        _spans("m1", "e1", 1),
+        _spans("m2", "e2", 2),
+        F.filter(_spans("m3", "e3", 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")),
     )
     hashed = F.transform(
         F.array_sort(every),
         lambda s: F.struct(s["start"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")),
     )
-    return docs.select(
-        "doc_id",
-        F.coalesce("source", F.lit("")).alias("owner"),
-        F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("repository"),
-        hashed.alias("spans"),
-    )
+    return found.select("doc_id", "owner", "repository", hashed.alias("spans"))
 
 
 def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:

@@ -16,21 +16,26 @@ def usable(embedding: Column) -> Column:
 
 
 def taking_part(table: DataFrame) -> DataFrame:
-    """(vec_id, embedding as array<float>, k1, k2): one row per id, of the length that most have.
+    """(vec_id, embedding, n, k1, k2): one row per id; ``n`` is the vector's length.
 
-    Of rows with one id the smallest vector counts. Equal vectors have equal keys.
+    Components stay double where the table holds doubles and are float
+    otherwise. Of rows with one id the smallest vector counts. Equal vectors
+    have equal keys.
     """
+    kind = "double" if table.schema["embedding"].dataType.elementType.typeName() in ("double", "decimal", "long") else "float"
     rows = table.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast("array<float>")).alias("embedding"))
-    lengths = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows"))
-    most = lengths.orderBy(F.desc("rows"), F.desc("n")).limit(1).select("n")
-    rows = rows.join(F.broadcast(most), F.size("embedding") == F.col("n")).drop("n")  # one row
-    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 is 0.0
-    return rows.withColumn("embedding", same).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
+    rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.col("embedding").cast(f"array<{kind}>")).alias("embedding"))
+    same = F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))  # -0.0 is 0.0
+    rows = rows.withColumn("embedding", same).withColumn("n", F.size("embedding"))
+    return rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
+
+
+def lengths(rows: DataFrame) -> list[int]:
+    """The lengths that vectors have, most frequent first: vectors are only compared with others of their length."""
+    return [row["n"] for row in rows.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").collect()]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A list column of equal lengths as float32 rows."""
+    """A list column of equal lengths as rows of its own precision."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = np.asarray(column.flatten(), dtype=np.float32)
-    return flat.reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)

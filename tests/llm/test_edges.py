@@ -132,6 +132,44 @@ def test_many_secrets_in_one_text(spark):
     assert [(s.start, s.kind, s.end) for s in row.found if s.kind < 3] == expected
 
 
+def test_time_follows_the_number_of_secrets(spark):
+    import time
+
+    text = " ".join(f"{i:020x}" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    began = time.monotonic()
+    found = secrets.candidates(frame).first().spans
+    assert time.monotonic() - began < 20  # ten seconds on a machine of its own
+    assert [(s.start, s.end) for s in found if s.kind == 2] == [(21 * i, 21 * i + 20) for i in range(40_000)]
+
+
+def test_owned_spans_and_counts_by_brute_force(spark):
+    """Tokens of mixed case and digits: one owner's, shared ones, and one that lies in a base span."""
+    draw = random.Random(9)
+    token = lambda: "aA1" + "".join(draw.choice("abcdefABCDEF0123456789_") for _ in range(draw.randint(21, 30)))
+    tokens = [token() for _ in range(12)]
+    rows = []
+    for doc in range(60):
+        mine = [tokens[0] if doc % 20 == 0 else draw.choice(tokens[1:6] if doc % 3 else tokens[6:])] + (["password=" + tokens[11]] if doc % 7 == 0 else [])
+        rows.append((doc, " and ".join(mine), draw.choice(["en", "de"]), f"s{doc % 5}" if doc % 20 else "s0"))
+    places = {}
+    for _, text, lang, source in rows:
+        for m in re.finditer(r"[A-Za-z0-9_-]{24,}", text):
+            value = m.group()
+            if re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value):
+                places.setdefault(value, []).append((source, f"{source}/{lang}"))
+    want = {}
+    for doc, text, _, _ in rows:
+        base = [(m.start(), m.end()) for m in re.finditer(r"password=[A-Za-z0-9+/_.=-]+|[0-9a-f]{16,}", text)]
+        for m in re.finditer(r"[A-Za-z0-9_-]{24,}", text):
+            seen = places.get(m.group(), [])
+            if len({o for o, _ in seen}) == 1 and not any(a < m.end() and m.start() < b for a, b in base):
+                want.setdefault(doc, []).append((m.start(), m.end(), len(seen), len({r for _, r in seen}), 1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: [(s.start, s.end, s.n_places, s.n_repositories, s.n_owners) for s in r.found if s.kind == 3] for r in secrets.scan(frame).collect()}
+    assert {doc: spans for doc, spans in found.items() if spans} == want and want
+
+
 def test_ownership_tells_examples_from_owned(spark):
     shared, own = "token=EXAMPLEkey1234567", "token=ownedSecret987654"
     rows = [(i, shared, "en", f"s{i}") for i in range(4)] + [(9, own, "en", "s9"), (10, own, "de", "s9")]
@@ -159,6 +197,56 @@ def test_pii(docs, none, spark):
     assert not {k for _, k in made} & set(made.values())
 
 
+def test_surrogates_of_hard_forms(spark):
+    """Names in part and in full, inner marks and capitals, titles, 15-digit cards, IPv6, long phone numbers."""
+    texts = [
+        "Mr John Smith met Mr Smith and Dr Jane Doe, then Prof. Dr. Doe.",
+        "Mr O'Brien, Mr McDonald and Mr Anna-Lena Weiss; MR JOHN SMITH; Frau J. Weiss; Miss Mary K. Poe",
+        "card 3782 822463 10005 or 378282246310005, host 2001:db8:0:1::7f and FE80::1A2B, at 12:30:45 a::b",
+        "+49 301 2345 6789 012 and +1 555 123 4567 or (555) 123-4567, (0301) 234-5678",
+    ]
+    rows = {r.doc_id: r for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    made = {e.match: e.surrogate for r in rows.values() for e in r.entities}
+    assert set(made) == {
+        "Mr John Smith", "Mr Smith", "Dr Jane Doe", "Prof. Dr. Doe", "Mr O'Brien", "Mr McDonald", "Mr Anna-Lena Weiss", "MR JOHN SMITH", "Frau J. Weiss",
+        "Miss Mary K. Poe", "3782 822463 10005", "378282246310005", "2001:db8:0:1::7f", "FE80::1A2B",
+        "+49 301 2345 6789 012", "+1 555 123 4567", "(555) 123-4567", "(0301) 234-5678",
+    }
+    last = lambda match: made[match].split(" ")[-1]
+    assert last("Mr John Smith") == last("Mr Smith") == last("MR JOHN SMITH").capitalize() and made["MR JOHN SMITH"] == made["Mr John Smith"].upper()
+    assert last("Dr Jane Doe") == last("Prof. Dr. Doe") and made["Prof. Dr. Doe"].startswith("Prof. Dr. ")
+    assert last("Mr Anna-Lena Weiss") == last("Frau J. Weiss") and re.fullmatch(r"Frau [A-Z]\. [A-Z][a-z]+", made["Frau J. Weiss"])
+    assert re.fullmatch(r"Miss [A-Z][a-z]+ [A-Z]\. [A-Z][a-z]+", made["Miss Mary K. Poe"])
+    assert len({last(m) for m in ("Mr Smith", "Dr Jane Doe", "Mr O'Brien", "Mr McDonald", "Frau J. Weiss")}) == 5
+    for match, surrogate in made.items():
+        if not match[0].isalpha() or ":" in match:
+            assert re.sub("[0-9a-f]", "9", surrogate.lower()) == re.sub("[0-9a-f]", "9", match.lower()) and surrogate != match
+        else:
+            assert not set(re.findall(r"[\w'-]{3,}", surrogate)) & {"John", "Smith", "Jane", "Doe", "O'Brien", "McDonald", "Anna-Lena", "Lena", "Weiss", "JOHN", "SMITH", "Mary", "Poe"}
+    digits = lambda text: re.sub(r"\D", "", text)
+    assert digits(made["3782 822463 10005"]) == made["378282246310005"] and made["378282246310005"].startswith("37")
+    assert digits(made["+1 555 123 4567"])[-10:] == digits(made["(555) 123-4567"])
+    assert made["+49 301 2345 6789 012"].startswith("+49 ") and sum(a != b for a, b in zip(digits(made["+49 301 2345 6789 012"])[2:], "30123456789012", strict=True)) > 8
+    total = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(made["378282246310005"]))))
+    assert total % 10 == 0
+    assert "12:30:45 a::b" in rows[2].text
+
+
+def test_many_names_get_distinct_ones(spark):
+    names = [("".join(chr(97 + (i // 26**k) % 26) for k in range(4))).capitalize() for i in range(400)]
+    texts = [(i, f"Mr {names[i]} {names[-1 - i]} and Mr {names[-1 - i]} and Hugo") for i in range(400)] + [(400, "Mr Hugo Fabio")]
+    found = pii.replace(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    family, given = {}, {}
+    for row in found:
+        for e in row.entities:
+            old, new = e.match.split(" ")[1:], e.surrogate.split(" ")[1:]
+            assert family.setdefault(old[-1], new[-1]) == new[-1]
+            if len(old) > 1:
+                assert given.setdefault(old[0], new[0]) == new[0]
+    for made in (family, given):
+        assert len(set(made.values())) == len(made) and not set(made) & set(made.values())
+
+
 def test_lines(docs, none):
     done = lines.dedup_lines(docs)
     rows = {r.doc_id: r for r in done.collect()}
@@ -277,6 +365,43 @@ def test_multi_index(spark):
     assert multi_index.near_vectors(table.filter("false")).count() == 0
 
 
+def test_vectors_of_another_length_are_compared_among_themselves(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(20)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"n": F.lit("x"), "k1": F.lit(1), "rep": F.lit(2)})
+    links = {r.vec_id: (r.n_links, r.component_id) for r in multi_index.near_vectors(table).collect()}
+    assert all(links[100 + i] == (4, 100) for i in range(5))
+    found = graph.nearest(table, table.filter("vec_id in (0, 100)").select("vec_id")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == 100] == [(100 + i, 0.0) for i in range(1, 5)]
+    assert len([r for r in found if r.query_id == 0]) == 10
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-9, 2.0, 3.0]) for i in range(6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r.score for r in graph.nearest(table, table.filter("vec_id = 0").select("vec_id")).collect()}
+    assert found == pytest.approx({i: i * 1e-9 for i in range(1, 6)}, rel=1e-6)
+
+
+def test_visits_double_until_the_recall_is_met():
+    rng = np.random.default_rng(6)
+    sample = multi_index.unit_rows(rng.normal(size=(3000, 6)))
+    few, all_ = multi_index.fit(sample, 200_000, 0.9, 0.9), multi_index.fit(sample, 200_000, 0.9, 1.1)
+    assert few.recall >= 0.9 and few.visits < all_.visits == len(all_.first) * len(all_.second) and all_.recall == 1.0
+
+
+def test_search_computes_far_fewer_distances_than_the_shard_has():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    made, entry = graph.build(x)
+    queries = rng.normal(size=(100, 32)).astype(np.float32)
+    found, _, path = graph.beam_search(x, made, entry, queries, 96)
+    looked = [len(np.unique(made[p[p >= 0]])) for p in path]
+    assert np.mean(looked) < 0.4 * len(x)
+    want = np.argsort(((queries[:, None] - x[None]) ** 2).sum(2), axis=1)[:, :10]
+    assert np.mean([len(set(f[:10]) & set(w)) for f, w in zip(found, want, strict=True)]) >= 9.0
+
+
 def test_tool_calls(spark):
     call = '{{"tool_call": {{"id": "{}", "name": "{}", "arguments": "{}", "after": [{}]}}}}'.format
     rows = [
