@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 on shingles of five words."""
-    return minhash.without_near_duplicates(docs, words=5, percent=80)
+    """One document of each group linked by a similarity of 0.8 on shingles of two words, as operator 4 has it."""
+    return minhash.without_near_duplicates(docs, words=2, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
