@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from scanledger.sources.job_log import named_table, of_project
 from scanledger.sources.snapshots import read_run_summaries, read_snapshots
 
 
+# What a job that breaks on its input raises; anything else is a fault of ours.
+_JOB_FAILED = (PySparkException, Py4JJavaError)
+
+
 def _totals() -> list[Column]:
     return [
         F.count("*").alias("records"),
@@ -136,7 +141,7 @@ def _one_by_one(
         one = watched.where(F.col("id").eqNullSafe(F.lit(row["id"])))
         try:
             done = _snapshot_run(of_project(jobs, row["id"]), one, params, path, run_ts, fmt)
-        except PySparkException as error:
+        except _JOB_FAILED as error:
             if isinstance(error, AnalysisException):
                 raise
             done = failed_runs(one, params, run_ts, str(error))
@@ -171,7 +176,7 @@ def run_monitoring(
         try:
             together = project_source.of_enabled_projects(jobs, project_rows)
             rows = _snapshot_run(together, watched, params, path, run_ts, fmt)
-        except PySparkException as error:
+        except _JOB_FAILED as error:
             if isinstance(error, AnalysisException):
                 raise
             one_by_one = _one_by_one(jobs, watched, params, path, run_ts, fmt)
@@ -232,7 +237,7 @@ def monitor_project(
     watched = project_source.enabled(one)
     try:
         rows = _observed_run(project_source.of_enabled_projects(mine, one), watched, params, path, run_ts, fmt)
-    except PySparkException as error:
+    except _JOB_FAILED as error:
         if isinstance(error, AnalysisException):
             raise
         rows = failed_runs(watched, params, run_ts, str(error))

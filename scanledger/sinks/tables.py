@@ -26,19 +26,6 @@ def laid_out(df: DataFrame, cluster_by: Sequence[str]) -> DataFrame:
     return dated.hint("rebalance", "day").sortWithinPartitions("day", *cluster_by)
 
 
-def write_table(
-    df: DataFrame, schema: str, name: str, cluster_by: Sequence[str], tags: Sequence[str] = ()
-) -> str:
-    """Create or replace the table ``schema.name``; returns its full name."""
-    spark, full = df.sparkSession, f"`{schema}`.`{name}`"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
-    writer = laid_out(df, cluster_by).write.format("parquet").mode("overwrite").partitionBy("day")
-    writer.option("partitionOverwriteMode", "static").saveAsTable(full)
-    if tags:
-        spark.sql(f"ALTER TABLE {full} SET TBLPROPERTIES ('tags' = '{','.join(tags)}')")
-    return full
-
-
 def write_clustered(
     df: DataFrame,
     schema: str,
