@@ -104,6 +104,33 @@ def fit(
     return Model(centre, scale, theta[:-1], float(theta[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 3, steps: int = 200, slip: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from positives and unlabelled alone.
+
+    A model fitted on one half of both ranks the other half. Above any score
+    the unlabelled hold at least the positives' share of that score times the
+    prior, so the least ratio of the two shares bounds it; it is taken where the
+    ratio with the samples' uncertainty (probability ``slip``) is least, which
+    is where few negatives are left. The estimate is the prior of the next fit.
+    """
+    rng = np.random.default_rng(6)
+    p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    half_p, half_u = len(p) // 2, len(u) // 2
+    if not half_p or not half_u:
+        return 0.5
+    slack = sum(np.sqrt(np.log(4 / slip) / 2 / n) for n in (len(p) - half_p, len(u) - half_u))
+    prior = 0.5
+    for _ in range(rounds):
+        model = fit(p[:half_p], u[:half_u], prior, steps)
+        of_p, of_u = (np.sort(model.score(rows).astype(np.float64)) for rows in (p[half_p:], u[half_u:]))
+        above = lambda scores, at: 1 - np.searchsorted(scores, at) / len(scores)
+        at = np.unique(of_p)
+        share_p, share_u = above(of_p, at), above(of_u, at)
+        best = np.argmin((share_u + slack) / share_p)
+        prior = float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+    return prior
+
+
 def _mean_gradient(rows: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return np.append(errors @ rows, errors.sum()) / len(rows)
 
@@ -144,21 +171,19 @@ def train(
 
     At most ``most_positive`` documents labelled 1 and ``most_unlabelled``
     documents of any kind are read for it, those of smallest hash. The class
-    prior is the share of 1 among the labels seen, unless given. A document
-    labelled both ways counts as 0; null labels are none. Without a positive
-    or without documents there is no model.
+    prior is estimated from these two samples (``estimated_prior``), unless
+    given: documents labelled 0 teach nothing. A document labelled both ways
+    counts as 0; null labels are none. Without a positive or without documents
+    there is no model.
     """
     seen = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    verdicts = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good, every = verdicts.agg(F.count(F.when(F.col("quality") == 1, True)), F.count("*")).first()
-    if not good:
-        return None
-    prior = prior if prior is not None else min(max(good / every, 0.01), 0.99)
+    trusted = seen.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
     known = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = _sample(verdicts.filter("quality = 1"), most_positive)
-    positive = _features_of(docs, [row[0] for row in chosen.collect()])
+    positive = _features_of(docs, [row[0] for row in _sample(trusted, most_positive).collect()])
+    if not len(positive):
+        return None
     unlabelled = _features_of(docs, [row[0] for row in _sample(known, most_unlabelled).collect()])
-    return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else None
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled) if prior is None else prior)
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

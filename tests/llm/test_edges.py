@@ -76,6 +76,17 @@ def test_rows_of_one_id_are_one_in_training(spark):
     assert found.shape == (2, quality.N_FEATURES) and (found == quality._features_of(frame.repartition(7), [2, 1])).all()
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.9])
+def test_the_prior_is_estimated_without_negatives(prior):
+    rng = np.random.default_rng(1)
+    n = 6000
+    good, bad = rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4))
+    unlabelled = np.vstack([good[: int(n * prior)], bad[: n - int(n * prior)]])
+    trusted = rng.normal(1.5, 1, (2000, 4))
+    assert quality.estimated_prior(trusted, unlabelled) == pytest.approx(prior, abs=0.04)
+    assert quality.estimated_prior(trusted[:1], unlabelled) == 0.5
+
+
 def test_risk_never_turns_negative():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, (400, 2)), rng.normal(-2, 1, (400, 2))
