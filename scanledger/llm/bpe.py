@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+import sys
+import types
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +41,34 @@ def _gear() -> np.ndarray:
 _GEAR = _gear()
 
 
-def cuts(data: bytes) -> list[int]:
-    """Where chunks of a UTF-8 text end: after places whose rolling hash over 32 bytes has leading zeros.
+def cuts(texts: list[bytes]) -> list[list[int]]:
+    """Where the chunks of each UTF-8 text end: after places whose rolling hash over 32 bytes has leading zeros.
 
     A place is passed over if the chunk would be under LEAST bytes, and one of
     MOST bytes ends anyhow; never inside a character. An edit moves the cuts of
-    its neighbourhood only.
+    its neighbourhood only. The texts are hashed in one go: a chunk is longer
+    than the window, so no text looks into the one before it.
     """
+    data = b"".join(texts)
     rolling = _GEAR[np.frombuffer(data, dtype=np.uint8)]
     for shift in (1, 2, 4, 8, 16):
         rolling[shift:] = rolling[shift:] + (rolling[:-shift] << np.uint32(shift))
-    ends, last, n = [], 0, len(data)
-    for place in [*(np.flatnonzero(rolling >> np.uint32(32 - USUAL_BITS) == 0) + 1).tolist(), n]:
-        while place - last > MOST:
-            last = _boundary(data, last + MOST)
-            ends.append(last)
-        place = _boundary(data, place)
-        if place - last >= LEAST or (place == n and place > last):
-            ends.append(place)
-            last = place
-    return ends
+    places = np.flatnonzero(rolling >> np.uint32(32 - USUAL_BITS) == 0) + 1
+    bounds = np.cumsum([0, *map(len, texts)])
+    first = np.searchsorted(places, bounds, side="right").tolist()
+    found = []
+    for text, start, low, high in zip(texts, bounds[:-1].tolist(), first[:-1], first[1:], strict=True):
+        ends, last, n = [], 0, len(text)
+        for place in [*(places[low:high] - start).tolist(), n]:
+            while place - last > MOST:
+                last = _boundary(text, last + MOST)
+                ends.append(last)
+            place = _boundary(text, place)
+            if place - last >= LEAST or (place == n and place > last):
+                ends.append(place)
+                last = place
+        found.append(ends)
+    return found
 
 
 def _boundary(data: bytes, place: int) -> int:
@@ -67,17 +77,13 @@ def _boundary(data: bytes, place: int) -> int:
     return place
 
 
-def _chunks(data: bytes) -> list[tuple[bytes, tuple[int, int]]]:
-    """The chunks of a text with 128-bit hashes as two signed longs."""
+def _chunks(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray]:
+    """The chunks of each text, and the 128-bit hashes of all of them as rows of two signed longs."""
     import xxhash
 
-    found, last = [], 0
-    for end in cuts(data):
-        chunk, last = data[last:end], end
-        digest = xxhash.xxh3_128_intdigest(chunk)
-        low, high = digest & (2**64 - 1), digest >> 64
-        found.append((chunk, (low - (low >> 63 << 64), high - (high >> 63 << 64))))
-    return found
+    chunks = [[text[a:b] for a, b in zip([0, *ends], ends, strict=False)] for text, ends in zip(texts, cuts(texts), strict=True)]
+    digests = b"".join([xxhash.xxh3_128_digest(chunk) for one in chunks for chunk in one])
+    return chunks, np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
 
 
 def _places(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
@@ -102,21 +108,58 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.memo: dict[bytes, bytes] = {}
+        self.names: list[str] | None = None
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Packed ids of each text."""
         cut = [text.split() for text in texts]
-        missing = list({word for one in cut for word in one if word not in self.memo})
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = list({word for one in cut for word in one})
-        found = self.tokenizer.encode_batch_fast([word.decode("utf-8") for word in missing], add_special_tokens=False)
-        self.memo.update((word, np.array(code.ids, dtype=self.kind).tobytes()) for word, code in zip(missing, found, strict=True))
+        self._learn({word for one in cut for word in one})
         return [b"".join(map(self.memo.__getitem__, one)) for one in cut]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of these words; of others those seen lately, up to a bound."""
+        missing = [word for word in words if word not in self.memo]
+        if len(self.memo) + len(missing) > MEMO_WORDS:
+            self.memo = {word: self.memo[word] for word in words if word in self.memo}
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            # One text of many words costs far less than as many texts; tokens are dealt back by where they begin.
+            texts = [word.decode("utf-8") for word in some]
+            code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(code.ids, dtype=self.kind)
+            begins = np.cumsum([0, *[len(text) + 1 for text in texts]])
+            starts = np.fromiter((start for start, _ in code.offsets), dtype=np.int64, count=len(ids))
+            bounds = np.searchsorted(starts, begins)
+            self.memo.update((word, ids[low:high].tobytes()) for word, low, high in zip(some, bounds[:-1], bounds[1:], strict=True))
+
     def ids(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, dtype=self.kind).astype(np.int32)
 
+    def rows(self, doc_ids: pa.Array, packed: list[bytes], with_decoded: bool) -> pa.RecordBatch:
+        """doc_id, ids and, if asked for, what the ids decode to."""
+        ids = [self.ids(one) for one in packed]
+        arrays = [doc_ids, pa.array(ids, pa.list_(pa.int32()))]
+        if with_decoded:
+            arrays.append(pa.array([self.decode(one.tolist()) for one in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "decoded"][: len(arrays)])
+
+    def decode(self, ids: list[int]) -> str:
+        """The text that the library makes of ids, special tokens kept."""
+        if self.tokenizer.decoder is not None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        # Without a decoder tokens are joined by spaces, which a table does faster.
+        if self.names is None:
+            self.names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        return " ".join(map(self.names.__getitem__, ids))
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process: later tasks go on with its vocabulary and the words it remembers."""
+    state = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
+    if getattr(state, "vocabulary", None) != vocabulary:
+        state.encoder, state.vocabulary = Encoder(vocabulary), vocabulary
+    return state.encoder
+
 
 def split_ends(text: bytes) -> tuple[bytes, bytes | None, bytes]:
     """(head, middle, tail): what lies before the first and after the last ASCII white space.
@@ -162,8 +205,7 @@ def _repeated(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            hashes = [h for data in _bytes(batch.column(1)) for _, h in _chunks(data)]
-            found, n = np.unique(np.array(hashes, dtype=np.int64).reshape(-1, 2), axis=0, return_counts=True)
+            found, n = np.unique(_chunks(_bytes(batch.column(1)))[1], axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n)], ["h1", "h2", "n"])
 
     counted = texts.mapInArrow(count, "h1 long, h2 long, n long")
@@ -186,20 +228,29 @@ def _marks(repeated: DataFrame, bits: int) -> np.ndarray:
     return field
 
 
-def _marked(field: np.ndarray, bits: int) -> Callable[[list[tuple[bytes, tuple[int, int]]]], list[bool]]:
-    def test(chunks):
-        if not chunks:
-            return []
-        h1, h2 = np.array([h for _, h in chunks], dtype=np.int64).T
-        places = _places(h1, h2, bits)
-        return ((field[places >> 6] >> (places & 63)) & 1).all(axis=0).tolist()
-
-    return test
+def _marked(texts: list[bytes], field: np.ndarray, bits: int) -> list[tuple[list[bytes], list[list[int]], list[bool]]]:
+    """Per text its chunks, their hashes, and which of them are marked."""
+    chunks, hashes = _chunks(texts)
+    places = _places(hashes[:, 0], hashes[:, 1], bits)
+    marks = (((field[places >> 6] >> (places & 63)) & 1) == 1).all(axis=0).tolist()
+    hashes, at, found = hashes.tolist(), 0, []
+    for one in chunks:
+        found.append((one, hashes[at : at + len(one)], marks[at : at + len(one)]))
+        at += len(one)
+    return found
 
 
-def encoded(docs: DataFrame, vocabulary: str | None = None, mark_bits: int = MARK_BITS, hot_share: int = HOT_SHARE) -> DataFrame:
+def encoded(
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    with_decoded: bool = False,
+    mark_bits: int = MARK_BITS,
+    hot_share: int = HOT_SHARE,
+) -> DataFrame:
     """(doc_id, ids): the ids of every whole text, as the tokenizers library gives them without special tokens.
 
+    ``with_decoded`` adds what they decode to, by the same task.
+
     Chunks with content-defined ends that occur twice or more in the corpus are
     encoded once; documents refer to them. What lies between them is encoded
     where it is read, and so are documents without such chunks. Joins are
@@ -215,31 +266,30 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, mark_bits: int = MAR
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = stored(_repeated(texts), "chunk-counts")
     field = texts.sparkSession.sparkContext.broadcast(_marks(repeated, mark_bits))
-    ids_schema = "doc_id long, ids array<int>"
+    ids_schema = "doc_id long, ids array<int>" + (", decoded string" if with_decoded else "")
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, marked = Encoder(vocabulary), _marked(field.value, mark_bits)
+        encoder = _encoder(vocabulary)
         for batch in _batches(batches):
-            kept = [(i, data) for i, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True) if not any(marked(_chunks(data)))]
-            ids = encoder.encode([data for _, data in kept])
-            arrays = [pa.array([i for i, _ in kept], pa.int64()), pa.array([encoder.ids(packed) for packed in ids], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids"])
+            texts = _bytes(batch.column(1))
+            marked = _marked(texts, field.value, mark_bits)
+            kept = [(i, text) for i, text, (_, _, marks) in zip(batch.column(0).to_pylist(), texts, marked, strict=True) if not any(marks)]
+            yield encoder.rows(pa.array([i for i, _ in kept], pa.int64()), encoder.encode([data for _, data in kept]), with_decoded)
 
     part_type = pa.struct([("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("head", pa.string()), ("ids", pa.binary()), ("tail", pa.string())])
     text_type = pa.struct([("h1", pa.int64()), ("h2", pa.int64()), ("text", pa.string())])
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, marked = Encoder(vocabulary), _marked(field.value, mark_bits)
+        encoder = _encoder(vocabulary)
         seen: set[tuple[int, int]] = set()
         for batch in _batches(batches):
             doc_ids, parts, new, own = [], [], [], []
-            for doc_id, data in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
-                chunks = _chunks(data)
-                known = marked(chunks)
-                if not any(known):
+            marked = _marked(_bytes(batch.column(1)), field.value, mark_bits)
+            for doc_id, (chunks, hashes_of, marks) in zip(batch.column(0).to_pylist(), marked, strict=True):
+                if not any(marks):
                     continue
                 mine, added, stretch = [], [], []
-                for (chunk, hashes), is_known in zip([*chunks, (b"", (0, 0))], [*known, True], strict=True):
+                for chunk, hashes, is_known in zip([*chunks, b""], [*map(tuple, hashes_of), (0, 0)], [*marks, True], strict=True):
                     if not is_known:
                         stretch.append(chunk)
                         continue
@@ -264,7 +314,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, mark_bits: int = MAR
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "parts", "texts"])
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in _batches(batches):
             ends = [split_ends(text) for text in _bytes(batch.column(2))]
             middles = iter(encoder.encode([middle for _, middle, _ in ends if middle is not None]))
@@ -273,15 +323,15 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, mark_bits: int = MAR
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["h1", "h2", "head", "ids", "tail"])
 
     def assemble(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = _encoder(vocabulary)
         for batch in _batches(batches):
             runs = []
             for parts in batch.column(1).to_pylist():
                 ends = [((p["head"] or "").encode(), p["ids"], (p["tail"] or "").encode()) for p in sorted(parts, key=lambda p: p["pos"])]
                 runs.append(list(joined(ends)))
             again = iter(encoder.encode([piece for run in runs for is_text, piece in run if is_text]))
-            ids = [encoder.ids(b"".join(next(again) if is_text else piece for is_text, piece in run)) for run in runs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [b"".join(next(again) if is_text else piece for is_text, piece in run) for run in runs]
+            yield encoder.rows(batch.column(0), ids, with_decoded)
 
     marked_docs = texts.mapInArrow(shared, f"doc_id long, parts {PART}, texts {TEXT}").withColumn("key", F.monotonically_increasing_id())
     marked_docs = stored(marked_docs, "chunk-parts")
@@ -309,22 +359,16 @@ def decoded(frame: DataFrame, vocabulary: str | None = None) -> DataFrame:
     vocabulary = vocabulary or default_vocabulary()
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = Encoder(vocabulary).tokenizer
-        # Without a decoder tokens are joined by spaces, which a table does faster.
-        names = None if tokenizer.decoder else [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
+        encoder = _encoder(vocabulary)
         for batch in _batches(batches):
-            lists = [ids or [] for ids in batch.column(1).to_pylist()]
-            if names:
-                texts = [" ".join(map(names.__getitem__, ids)) for ids in lists]
-            else:
-                texts = [tokenizer.decode(ids, skip_special_tokens=False) for ids in lists]
+            texts = [encoder.decode(ids or []) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return frame.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decoded(encoded(load(spark, sf_dir, "documents")))
+    found = encoded(load(spark, sf_dir, "documents"), with_decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
