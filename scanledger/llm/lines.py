@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, load, stored
+from .common import WORD, load, packed, stored, unpacked
 
 LEAST_WORDS = 8  # of a line compared within one edit
 SHORTEST = 1  # words of a line compared at all
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000  # of some hundred bytes: a broadcast of 25 MB at most
+HOT_SHARE = 1000  # lines that make up more than 1 / HOT_SHARE of all are looked up by broadcast
 
 
 def _split() -> Column:
@@ -95,26 +96,31 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, shortest: int = SH
     have no neighbour and emit none (exact, see ``_anchors``). Groups of equal
     variants are never expanded into pairs: one minimum per group is the
     earliest, and each member is verified against it.
+
+    All but the last step works on different lines, each once. There, lines that
+    repeat very often (at most HOT_SHARE of them) are joined by broadcast, so
+    none gathers its occurrences in one task.
     """
     place = F.struct("doc_id", "doc", "line_no")
     anchors = F.when(F.col("n") >= least, _anchors(F.col("words"), F.col("n")))
     every = stored(_lines(docs, max(shortest, 1)).select("doc_id", "doc", "line_no", "key", anchors.alias("anchors")), "lines")
-    first = stored(every.groupBy("key").agg(F.min(place).alias("first")), "first")
+    first = every.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("places"), F.any_value("anchors").alias("anchors"))
+    first = stored(first, "first")
 
-    ends = every.select("key", F.explode("anchors").alias("anchor"))
+    ends = first.select("key", F.explode("anchors").alias("anchor"))
     met = ends.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("anchor")
-    candidates = stored(ends.join(met, "anchor").select("key").distinct().join(first, "key"), "candidates")
+    candidates = stored(ends.join(met, "anchor").select("key").distinct().join(first.select("key", "first"), "key"), "candidates")
     texts = stored(_texts(docs, candidates, broadcast_rows), "texts")
 
-    cut = F.transform(
-        F.sequence(F.lit(0), F.col("n") - 1),
-        lambda i: F.struct(
-            i.alias("at"),
-            F.xxhash64(F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.col("n")))).alias("variant"),
-        ),
+    # Words as numbers, and one row per variant before it is hashed: both keep the work in compiled code.
+    codes = F.transform("words", lambda w: F.xxhash64(w)).alias("codes")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = texts.select("key", F.struct("first", "key").alias("me"), "n", codes).repartition(tasks, "key")
+    cut = coded.select("key", "me", "n", "codes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(
+        "key", "me", "at", F.xxhash64(F.concat(F.slice("codes", F.lit(1), F.col("at")), F.slice("codes", F.col("at") + 2, F.col("n")))).alias("variant")
     )
-    whole = F.array(F.struct(F.lit(-1).alias("at"), F.col("key").alias("variant")))
-    variants = texts.select("key", F.struct("first", "key").alias("me"), F.inline(F.concat(whole, cut)))
+    whole = coded.select("key", "me", F.lit(-1).alias("at"), F.xxhash64("codes").alias("variant"))
+    variants = stored(cut.unionByName(whole), "all-variants")
     shared = variants.groupBy("variant").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("variant")
     variants = stored(variants.join(shared, "variant"), "variants")
     by_place = variants.groupBy("variant", "at").agg(F.min("me").alias("earliest"))
@@ -130,7 +136,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS, shortest: int = SH
     )
     near = pairs.filter(_within_one_edit(F.col("a"), F.col("b"))).select("key", F.lit(True).alias("near")).distinct()
 
-    judged = every.join(first, "key").join(near, "key", "left")
+    repeated = first.join(near, "key", "left").filter((F.col("places") > 1) | F.col("near")).select("key", "first", "near", "places")
+    repeated = stored(repeated, "repeated")
+    hot = F.broadcast(repeated.filter(F.col("places") * HOT_SHARE > every.count()))
+    places = every.select("doc_id", "doc", "line_no", "key")
+    others = places.join(hot.select("key"), "key", "left_anti").join(repeated, "key")
+    judged = places.join(hot, "key").unionByName(others)
     gone = judged.filter(F.coalesce("near", F.lit(False)) | (place != F.col("first")))
     return gone.groupBy("doc_id", "doc").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
@@ -141,31 +152,26 @@ def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     Null and empty texts, lines without words and rows without doc_id stay as
     they are; a null text has no lines. Repeated rows (same id
     and text) are one document and get the same answer. A text all of whose
-    lines go becomes empty.
+    lines go becomes empty. Columns ``n_lines`` and ``removed`` of the input are
+    replaced; others may have any names.
     """
     gone = repeated_lines(docs, **settings)
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed")]
+    columns = [c for c in docs.columns if c not in ("n_lines", "removed")]
     total = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    total = F.coalesce(total, F.lit(0))
+    whole = packed(docs, "text", doc_id=F.col("doc_id"), doc=F.xxhash64("text"), text=F.col("text")).join(gone, ["doc_id", "doc"], "left")
     # A column of its own, or every kept line would split the text again.
-    parts = F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    rest = F.array_join(F.transform(keep, lambda i: F.get("_parts", i)), "\n")
-    joined = docs.select(*columns, F.xxhash64("text").alias("_doc")).join(
-        gone.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_gone_doc"), F.col("removed").alias("_gone")),
-        (F.col("doc_id") == F.col("_id")) & (F.col("_doc") == F.col("_gone_doc")),
-        "left",
-    ).withColumn("_parts", parts)
-    return joined.select(
-        *[F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "removed")],
-        total.cast("long").alias("n_lines"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"),
+    whole = whole.withColumn("parts", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1)))
+    keep = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
+    rest = F.array_join(F.transform(keep, lambda i: F.get("parts", i)), "\n")
+    return whole.select(
+        *unpacked(columns, text=F.when(F.col("removed").isNotNull(), rest).otherwise(F.col("text"))),
+        F.coalesce(total, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of lines of LEAST_WORDS words or more, as the SQL twin defines it; ``dedup_lines`` itself takes short lines too."""
-    done = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), shortest=LEAST_WORDS)
+    done = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
         "doc_id",
         "n_lines",
@@ -184,15 +190,16 @@ def oracle() -> str:
         SELECT doc_id, i - 1 AS line_no, regexp_extract_all(lower(all_lines[i]), '[^\x20\x09-\x0D]+') AS words
         FROM (SELECT doc_id, all_lines, unnest(range(1, len(all_lines) + 1)) AS i FROM split)
     ), n AS (
-        SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM l WHERE len(words) >= {LEAST_WORDS}
+        SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place, len(words) >= {LEAST_WORDS} AS long FROM l WHERE len(words) >= {SHORTEST}
     ), v AS (
-        SELECT place, -1 AS spot, array_to_string(words, ' ') AS variant FROM n
+        SELECT place, long, -1 AS spot, array_to_string(words, ' ') AS variant FROM n
         UNION ALL
-        SELECT place, i, array_to_string(list_concat(words[1:i], words[i + 2:]), ' ') FROM (SELECT place, words, unnest(range(0, len(words))) AS i FROM n)
+        SELECT place, long, i, array_to_string(list_concat(words[1:i], words[i + 2:]), ' ')
+        FROM (SELECT place, long, words, unnest(range(0, len(words))) AS i FROM n WHERE long)
     ), m AS (
         SELECT place, min(place) OVER (PARTITION BY variant, spot) AS same,
-               CASE WHEN spot < 0 THEN min(CASE WHEN spot >= 0 THEN place END) OVER (PARTITION BY variant)
-                    ELSE min(CASE WHEN spot < 0 THEN place END) OVER (PARTITION BY variant) END AS crossed
+               CASE WHEN spot < 0 AND long THEN min(CASE WHEN spot >= 0 THEN place END) OVER (PARTITION BY variant)
+                    WHEN long THEN min(CASE WHEN spot < 0 AND long THEN place END) OVER (PARTITION BY variant) END AS crossed
         FROM v
     ), gone AS (
         SELECT doc_id, line_no FROM n WHERE place IN (SELECT place FROM m WHERE least(same, coalesce(crossed, same)) < place)
