@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,34 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def work_tables() -> Iterator[list[str]]:
+    """Collects the paths of the tables that ``stored`` writes inside, in the order they are finished."""
+    token = _made.set(made := [])
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete work tables that no frame reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -215,7 +215,11 @@ def test_packing_stage(stages):
 
 
 def test_run_goes_through_all_stages(spark, corpus, stages):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     found = corpus_pipeline.run(spark, corpus).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "stage-mixing" in left and not left & {"stage-quality", "stage-lines", "stage-near_dedup", "lines", "sketches", "mix"}
     assert Counter((r.doc_id, r.start, r.length) for r in found) == Counter((r.doc_id, r.start, r.length) for r in stages["packing"][1])
 
 
