@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanledger.llm import lines, minhash, mixing, packing, quality
-from scanledger.llm.common import load, stored
+from scanledger.llm.common import drop_tables, load, stored, work_tables
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """All stages; the work tables of a stage and its input go once its output is stored."""
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with work_tables() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        *between, output = made
+        drop_tables(spark, [*before, *between])
+        before = [output]
     return STAGES[-1][1](spark, docs, sf_dir)
