@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_sql, load, stored
 
-CONTAINER_TURNS = 1 << 14  # turns in a container of several conversations that is swept as it is
+CONTAINER_TURNS = 1 << 11  # turns in a container of several conversations that is swept as it is
 LIST_BYTES = 1 << 16  # of a list of members hashed piece by piece
 
 NO_ENDS = hashlib.sha256(b"").hexdigest()
