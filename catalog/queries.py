@@ -720,9 +720,8 @@ def alert_any(spark, sf_dir):
 
 def streamed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log with its events arriving as a stream."""
-    events = (
-        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    # A pattern, as streams take a single file by pattern only; a table stored as a folder matches as well.
+    events = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
     return job_rows(events, read_orders(spark, sf_dir))
 
 

@@ -110,7 +110,10 @@ def _added_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per window of a task, so a window of very many jobs is a few rows in the shuffle."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            # Sums may be null where amounts may not: the columns agree but for that.
+            rows = pa.concat_tables([held, rows], promote_options="default")
         summed = rows.group_by(["policy", "window_start", "window_end"]).aggregate([("amount", "sum"), ("seen", "max")])
         held = summed.select(["policy", "window_start", "window_end", "amount_sum", "seen_max"]).rename_columns(rows.column_names)
     if held is not None:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from catalog import queries
 from scanledger.schema import JOBS
 from scanledger.sources.job_log import normalise
 from scanledger.streaming import alerts
@@ -120,3 +121,38 @@ def test_cost_changes_end_where_batch_does(spark, tmp_path):
     stream = alerts.job_stream(spark, source, maxFilesPerTrigger=1)
     alerts.keep_alerts(alerts.alert_changes(stream, 100, 5.0), path, str(tmp_path / "state")).awaitTermination()
     assert as_set(alerts.current_alerts(spark, path)) == as_set(alerts.daily_cost_alerts(normalise(spark.createDataFrame(made, JOBS))))
+
+
+def test_changes_of_tasks_that_take_several_batches_of_rows(spark, tmp_path):
+    source, path, made = str(tmp_path / "log"), str(tmp_path / "alerts"), rows()
+    spark.createDataFrame(made, JOBS).coalesce(1).write.parquet(source)
+    jobs, stream = normalise(spark.createDataFrame(made, JOBS)), alerts.job_stream(spark, source)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "4")
+    try:
+        for name, fired in (("cost", alerts.alert_changes(stream, 100, 5.0)), ("fail", alerts.alert_changes(stream, 0))):
+            alerts.keep_alerts(fired, path, str(tmp_path / name)).awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    expected = as_set(alerts.any_alert(alerts.daily_cost_alerts(jobs, 100, 5.0), alerts.failure_alerts(jobs)))
+    assert {p for p, *_ in expected} == {"daily-cost-above-100", "failed-jobs"}
+    assert as_set(alerts.current_alerts(spark, path)) == expected
+
+
+def test_streamed_events_may_be_a_file_or_a_folder(spark, tmp_path):
+    moments = [(n, datetime(2024, 1, 10, n), n, "error", 1.5) for n in range(6)]
+    events = spark.createDataFrame(moments, queries.EVENTS)
+    orders = spark.createDataFrame([(n, n, 100.0) for n in range(6)], "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE")
+    for name in ("folder", "file"):
+        at = tmp_path / name
+        orders.write.parquet(str(at / "orders.parquet"))
+        if name == "folder":
+            events.repartition(3).write.parquet(str(at / "events.parquet"))
+        else:
+            events.coalesce(1).write.parquet(str(tmp_path / "made"))
+            (part,) = (tmp_path / "made").glob("part-*.parquet")
+            part.rename(at / "events.parquet")
+        fired = alerts.failure_alerts(queries.streamed_jobs(spark, str(at)))
+        alerts.keep_alerts(fired, str(tmp_path / f"alerts-{name}"), str(tmp_path / f"state-{name}")).awaitTermination()
+        assert alerts.current_alerts(spark, str(tmp_path / f"alerts-{name}")).count() == 6
