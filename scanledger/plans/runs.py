@@ -187,7 +187,7 @@ def run_monitoring(
 def _kept_rows(spark: SparkSession, rows: DataFrame, output: str, run_ts: str) -> DataFrame:
     summary_path = f"{output}/summaries"
     write_run_summary(rows, summary_path)
-    return read_run_summaries(spark, summary_path).where(F.col("run_ts") == run_ts)
+    return read_run_summaries(spark, summary_path, run_ts[:10]).where(F.col("run_ts") == run_ts)
 
 
 def scheduled_run(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanledger.params import DEFAULT_RETENTION_DAYS, Params
+from scanledger.sources.snapshots import live_run_rows
 
 STAMP = "%Y-%m-%d_%H-%M-%S"
 
@@ -49,12 +52,34 @@ def write_snapshot(
 
 
 def write_run_summary(summary: DataFrame, path: str) -> str:
-    """Store run rows by day and project; a later run of a day replaces the rows of its own projects only."""
-    writer = summary.withColumn("run_date", F.substring("run_ts", 1, 10)).write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_date", "project").json(path)
+    """Store run rows below ``path/run_date=.../written=...``; a later run of a day replaces the rows of its own projects only.
+
+    A write is a folder per day with as many files as it has tasks, however many
+    projects it tells of.  Which rows are replaced is found when they are read,
+    by the time of the write; folders without any other rows are deleted.
+    """
+    written = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    told = summary.withColumns({"run_date": F.substring("run_ts", 1, 10), "written": F.lit(written)})
+    writer = told.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "written").json(path)
+    _drop_replaced(summary.sparkSession, path, written)
     return path
 
 
+def _drop_replaced(spark: SparkSession, path: str, written: str) -> None:
+    """Delete earlier writes of the days of this one that have no row left that is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(hadoop(f"{path}/run_date=*/written={written}")) or []:
+        day = status.getPath().getParent()
+        earlier = {name: f.getPath() for f in fs.listStatus(day) if "written=" < (name := f.getPath().getName()) < f"written={written}"}
+        if earlier:
+            rows = live_run_rows(spark, path, day.getName().split("=", 1)[1])
+            live = {f"written={row['written']}" for row in rows.select("written").distinct().collect()}
+            for name in earlier.keys() - live:
+                fs.delete(earlier[name], True)
+
+
 def with_upload_metadata(rows: DataFrame, source: str, run_ts: str) -> DataFrame:
     """Rows with who wrote them and when, for stores shared with others."""
     return rows.withColumns(

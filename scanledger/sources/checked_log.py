@@ -27,19 +27,19 @@ def _problem(broken: Column, message: Column) -> Column:
     return F.when(broken, F.struct(F.col("_file").alias("file"), message.alias("message")).cast(PROBLEM_TYPE))
 
 
-def _decoded(text: Column) -> Column:
+def decoded(text: Column) -> Column:
     """Percent signs decoded; a plus sign is a plus sign."""
     return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
-def _file_path() -> Column:
+def file_path() -> Column:
     """The path of a row's file as the file system names it."""
-    return _decoded(F.col("_metadata.file_path"))
+    return decoded(F.col("_metadata.file_path"))
 
 
 def _project_of_file(file: Column) -> Column:
     """The project of a folder ``project_id=...`` above the file, else NULL."""
-    return F.nullif(_decoded(F.regexp_extract(file, "/project_id=([^/]+)/", 1)), F.lit(""))
+    return F.nullif(decoded(F.regexp_extract(file, "/project_id=([^/]+)/", 1)), F.lit(""))
 
 
 def typed(df: DataFrame, schema: T.StructType = JOBS) -> DataFrame:
@@ -84,13 +84,13 @@ def read_checked_log(spark: SparkSession, path: str, fmt: str = "json", schema:
     if fmt == "json":
         raw = T.StructType([*schema.fields, T.StructField(_RAW, T.StringType())])
         rows = spark.read.schema(raw).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _RAW).json(path)
-        rows = rows.withColumn("_file", _file_path())
+        rows = rows.withColumn("_file", file_path())
         shown = F.concat(F.lit("row cannot be read: "), F.left(F.col(_RAW), F.lit(_RAW_SHOWN)))
         rows = rows.withColumn(PROBLEM, _problem(F.col(_RAW).isNotNull(), shown))
         # The reader gives what it could parse of a broken row; only its project is of use.
         return normalise(typed(rows, schema))
     rows = spark.read.format(fmt).schema(schema).option("ignoreCorruptFiles", True).load(path)
-    rows = rows.withColumn("_file", _file_path())
+    rows = rows.withColumn("_file", file_path())
     lost = unreadable_files(spark, path, fmt).withColumn(PROBLEM, F.struct("file", "message").cast(PROBLEM_TYPE))
     lost = lost.withColumn("_file", F.col("file"))
     return normalise(typed(rows, schema)).unionByName(normalise(typed(lost.select("project_id", PROBLEM, "_file"), schema)))
@@ -108,7 +108,7 @@ def unreadable_files(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     # Both sides name files, but write the scheme of local ones differently.
     bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
     rows = spark.read.format(fmt).schema(T.StructType()).option("ignoreCorruptFiles", True).load(path)
-    seen = rows.select(_file_path().alias("file")).distinct()
+    seen = rows.select(file_path().alias("file")).distinct()
     missing = listed.join(seen, bare(F.col("listed")) == bare(F.col("file")), "left_anti")
     return missing.select(
         _project_of_file(F.col("listed")).alias("project_id"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanledger.schema import MART, RUN_SUMMARY
+from scanledger.sources.checked_log import decoded, file_path
 
 SNAPSHOT_FORMAT = "yyyy-MM-dd_HH-mm-ss"
 
@@ -67,8 +68,36 @@ def read_latest(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).format(fmt).load(folders)
 
 
-def read_run_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SUMMARY).json(path).select(RUN_SUMMARY.fieldNames())
+def read_run_summaries(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """Stored run rows, of a project and day those written last; ``day`` reads the files of that day only."""
+    return live_run_rows(spark, path, day).select(RUN_SUMMARY.fieldNames())
+
+
+def _run_folder(name: str) -> Column:
+    """The value of a folder ``name=...`` below the day's, empty without one."""
+    return decoded(F.regexp_extract(file_path(), f"/run_date=[^/]*/{name}=([^/]*)/[^/]*$", 1))
+
+
+def live_run_rows(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """Run rows that no later write of their project and day replaced, with ``run_date`` and ``written``.
+
+    Rows of earlier stores, which had a folder per project and no time of
+    writing, are read too and count as written before all others.
+    """
+    stored = spark.read.schema(RUN_SUMMARY).option("recursiveFileLookup", True).json(path)
+    if day is not None:
+        stored = stored.where(F.contains("_metadata.file_path", F.lit(f"/run_date={day}/")))
+    folder = F.nullif(_run_folder("project"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = stored.withColumns(
+        {
+            # An empty name counts as none, as it does for the folders of snapshots.
+            "project": F.nullif(F.coalesce("project", folder), F.lit("")),
+            "run_date": F.substring("run_ts", 1, 10),
+            "written": _run_folder("written"),
+        }
+    )
+    newest = F.max("written").over(Window.partitionBy("run_date", "project"))
+    return rows.withColumn("_newest", newest).where("written = _newest").drop("_newest")
 
 
 def latest_run(summaries: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from scanledger.params import Params
 from scanledger.plans import reports, runs
 from scanledger.plans.main_table import main_cost_table
 from scanledger.plans.mart import user_day_mart
-from scanledger.schema import PROJECTS
+from scanledger.schema import PROJECTS, RUN_SUMMARY, conform
 from scanledger.session import shared_folder
 from scanledger.sinks import snapshots as snapshot_sink, tables
 from scanledger.sources import job_log, projects, snapshots
@@ -198,3 +198,54 @@ def test_missing_or_broken_config_gives_defaults(spark, tmp_path, content):
 def test_params():
     params = Params().with_settings(history_days=None, price_per_tb=6.0)
     assert (params.history_days, params.price_per_tb) == (30, 6.0)
+
+
+def run_rows(spark, *rows):
+    """Run rows of (project, run_ts, records)."""
+    made = spark.createDataFrame(list(rows), "project STRING, run_ts STRING, records BIGINT")
+    return conform(made, RUN_SUMMARY)
+
+
+def summary_rows(spark, path, day=None):
+    rows = snapshots.read_run_summaries(spark, path, day).collect()
+    return sorted(((r.project, r.run_ts, r.records) for r in rows), key=str)
+
+
+def test_a_summary_of_many_projects_is_a_few_files(spark, tmp_path):
+    path = str(tmp_path / "summaries")
+    projects = spark.range(3000).select(F.concat(F.lit("p/"), "id").alias("project"), F.lit("2024-01-31_05-00-00").alias("run_ts"), F.col("id").alias("records"))
+    snapshot_sink.write_run_summary(conform(projects.coalesce(3), RUN_SUMMARY), path)
+    assert len(list((tmp_path / "summaries").rglob("*.json"))) == 3
+    assert summary_rows(spark, path) == sorted(((f"p/{n}", "2024-01-31_05-00-00", n) for n in range(3000)), key=str)
+
+
+def test_a_later_summary_replaces_the_rows_of_its_projects_on_its_day(spark, tmp_path):
+    path, day, next_day = str(tmp_path / "summaries"), "2024-01-30_05-00-00", "2024-01-31_05-00-00"
+    snapshot_sink.write_run_summary(run_rows(spark, ("a", day, 1), ("b", day, 2), ("b", day, 3), (None, day, 4), ("a", next_day, 5)), path)
+    first = len(list((tmp_path / "summaries").glob("run_date=*/written=*")))
+    assert first == 2
+    snapshot_sink.write_run_summary(run_rows(spark, ("a", day, 6), (None, day, 7)), path)  # a repeated run of the same time
+    now = [("b", day, 2), ("b", day, 3), ("a", day, 6), (None, day, 7)]
+    assert summary_rows(spark, path, "2024-01-30") == sorted(now, key=str)
+    assert summary_rows(spark, path) == sorted([*now, ("a", next_day, 5)], key=str)
+    later = "2024-01-30_06-00-00"
+    snapshot_sink.write_run_summary(run_rows(spark, ("a", later, 8), ("b", later, 9)), path)
+    assert summary_rows(spark, path, "2024-01-30") == sorted([("a", later, 8), ("b", later, 9), (None, day, 7)], key=str)
+    # The first write of the day holds no row any more that is read.
+    assert len(list((tmp_path / "summaries").glob("run_date=2024-01-30/written=*"))) == 2
+    assert len(list((tmp_path / "summaries").glob("run_date=2024-01-31/written=*"))) == 1
+
+
+def test_summaries_stored_by_project_are_still_read(spark, tmp_path):
+    path, day = str(tmp_path / "summaries"), "2024-01-30_05-00-00"
+    old = run_rows(spark, ("a", day, 1), ("b 1/2", day, 2), (None, day, 3)).withColumn("run_date", F.substring("run_ts", 1, 10))
+    old.write.partitionBy("run_date", "project").json(path)
+    assert summary_rows(spark, path) == sorted([("a", day, 1), ("b 1/2", day, 2), (None, day, 3)], key=str)
+    snapshot_sink.write_run_summary(run_rows(spark, ("a", day, 4)), path)
+    assert summary_rows(spark, path) == sorted([("a", day, 4), ("b 1/2", day, 2), (None, day, 3)], key=str)
+
+
+def test_a_run_of_no_projects_has_no_rows(spark, tmp_path):
+    path = str(tmp_path / "summaries")
+    snapshot_sink.write_run_summary(run_rows(spark), path)
+    assert summary_rows(spark, path) == [] and summary_rows(spark, path, "2024-01-30") == []
