@@ -249,3 +249,22 @@ def test_a_run_of_no_projects_has_no_rows(spark, tmp_path):
     path = str(tmp_path / "summaries")
     snapshot_sink.write_run_summary(run_rows(spark), path)
     assert summary_rows(spark, path) == [] and summary_rows(spark, path, "2024-01-30") == []
+
+
+@pytest.fixture
+def many_projects(spark):
+    """Two projects with jobs among 1,200."""
+    idle = spark.range(1198).select(F.concat(F.lit("idle-"), "id").alias("id"), F.lit("Idle").alias("name"))
+    own = spark.createDataFrame([("p1", "One"), ("p2", "Two")], "id STRING, name STRING")
+    return conform(own.unionByName(idle).coalesce(2), PROJECTS)
+
+
+def summary_files(tmp_path):
+    return len(list((tmp_path / "summaries").rglob("*.json")))
+
+
+def test_a_run_over_many_projects_stores_few_files(spark, jobs, many_projects, params, tmp_path):
+    rows = runs.run_monitoring(spark, jobs, many_projects, params, str(tmp_path), datetime(2024, 1, 31, 5))
+    found = {r.project: r.records for r in rows.collect()}
+    assert len(found) == 1200 and (found["p1"], found["p2"], found["idle-7"]) == (1, 1, 0)
+    assert summary_files(tmp_path) <= 20
