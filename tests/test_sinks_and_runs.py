@@ -12,7 +12,7 @@ from scanledger.params import Params
 from scanledger.plans import reports, runs
 from scanledger.plans.main_table import main_cost_table
 from scanledger.plans.mart import user_day_mart
-from scanledger.schema import PROJECTS, RUN_SUMMARY, conform
+from scanledger.schema import MART, PROJECTS, RUN_SUMMARY, conform
 from scanledger.session import shared_folder
 from scanledger.sinks import snapshots as snapshot_sink, tables
 from scanledger.sources import job_log, projects, snapshots
@@ -268,3 +268,12 @@ def test_a_run_over_many_projects_stores_few_files(spark, jobs, many_projects, p
     found = {r.project: r.records for r in rows.collect()}
     assert len(found) == 1200 and (found["p1"], found["p2"], found["idle-7"]) == (1, 1, 0)
     assert summary_files(tmp_path) <= 20
+
+
+def test_a_scheduled_run_over_many_projects_stores_few_files(spark, jobs, many_projects, params, tmp_path):
+    store = str(tmp_path / "store")
+    response = runs.scheduled_run(spark, jobs, many_projects, params, str(tmp_path), store, "scanledger", datetime(2024, 1, 31, 5))
+    found = {r.project: (r.success, r.records) for r in response.collect()}
+    assert len(found) == 1200 and (found["p1"], found["idle-7"]) == ((True, 1), (True, 0))
+    assert {r.uploaded_project for r in snapshot_sink.read_uploads(spark, store, MART).collect()} == {"p1", "p2"}
+    assert summary_files(tmp_path) <= 20
