@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scanledger.plans import runs
-from scanledger.schema import JOBS, PROJECTS
+from scanledger.schema import JOBS, PROJECTS, conform
 from scanledger.sources import checked_log, snapshots
 from tests.conftest import job
 
@@ -117,3 +117,19 @@ def test_totals_of_one_project_are_observed_while_writing(spark, log, params, tm
     idle = spark.createDataFrame([("idle", "1", "", None)], PROJECTS)
     row = runs.monitor_project(spark, jobs, idle, "idle", params, str(tmp_path / "i"), RUN).first()
     assert (row.records, row.total_cost, row.total_queries) == (0, 0.0, 0)
+
+
+def test_a_checked_run_over_many_projects_stores_few_files(spark, params, tmp_path):
+    (tmp_path / "log").mkdir()
+    line = json.dumps(dict(zip(JOBS.fieldNames(), job("a", creation_time="2024-01-15T10:00:00Z", end_time="2024-01-15T10:00:05Z"), strict=True)))
+    for project, text in (("p1", line), ("p2", line[:40])):
+        (tmp_path / "log" / f"project_id={project}").mkdir()
+        (tmp_path / "log" / f"project_id={project}" / "part.json").write_text(text + "\n")
+    idle = spark.range(1198).select(F.concat(F.lit("idle-"), "id").alias("id"), F.lit("Idle").alias("name"))
+    own = spark.createDataFrame([("p1", "One"), ("p2", "Two")], "id STRING, name STRING")
+    watched = conform(own.unionByName(idle).coalesce(2), PROJECTS)
+    checked = checked_log.read_checked_log(spark, str(tmp_path / "log"))
+    rows = {r.project: r for r in runs.run_monitoring(spark, checked, watched, params, str(tmp_path / "out"), RUN).collect()}
+    assert len(rows) == 1200 and (rows["p1"].records, rows["p1"].error, rows["idle-7"].records) == (1, None, 0)
+    assert rows["p2"].error.startswith("1 broken, first in ")
+    assert len(list((tmp_path / "out" / "summaries").rglob("*.json"))) <= 20
