@@ -127,7 +127,7 @@ def _checked_run(
     staged = checked_log.stage(checked, params)
     broken = checked_log.broken_projects(staged).where("id IS NOT NULL")
     whole = watched.join(broken, "id", "left_anti")
-    jobs = project_source.of_enabled_projects(checked_log.good_rows(staged), whole)
+    jobs = project_source.spread_over_projects(checked_log.good_rows(staged), whole)
     failed = failed_runs(watched.join(broken, "id"), params, run_ts, F.col("error"))
     return _snapshot_run(jobs, whole, params, path, run_ts, fmt).unionByName(failed)
 
@@ -174,7 +174,7 @@ def run_monitoring(
         rows = _checked_run(jobs, watched, params, path, run_ts, fmt)
     else:
         try:
-            together = project_source.of_enabled_projects(jobs, project_rows)
+            together = project_source.spread_over_projects(jobs, project_rows)
             rows = _snapshot_run(together, watched, params, path, run_ts, fmt)
         except _JOB_FAILED as error:
             if isinstance(error, AnalysisException):

@@ -13,6 +13,7 @@ from scanledger.params import (
     Params,
 )
 from scanledger.schema import CONFIG
+from scanledger.session import kept
 
 
 _DEFAULTS = {
@@ -72,3 +73,16 @@ def of_enabled_projects(jobs: DataFrame, project_rows: DataFrame) -> DataFrame:
     """
     ids = enabled(project_rows).select(F.col("id").alias("project_id"))
     return jobs.join(ids, "project_id", "left_semi")
+
+
+def spread_over_projects(jobs: DataFrame, project_rows: DataFrame) -> DataFrame:
+    """Jobs of enabled projects, not gathered by project, for plans that group them by more than that.
+
+    A long list of projects is merged with the jobs: all jobs of a project meet in
+    one task, and groupings by the project and more stay there.  So the projects
+    that have jobs are found first, from one column of the log, and stored: their
+    size is known then, and the optimiser sends them to every task if it allows.
+    """
+    named = jobs.where(F.col("project_id").isNotNull())
+    found = kept(of_enabled_projects(named.select("project_id").distinct(), project_rows), "projects")
+    return named.join(found, "project_id", "left_semi")

@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from scanledger.params import Params  # noqa: E402
+from scanledger.plans import runs  # noqa: E402
 from scanledger.schema import JOBS  # noqa: E402
 from scanledger.session import build_session  # noqa: E402
 from scanledger.sources.job_log import normalise  # noqa: E402
@@ -72,3 +73,17 @@ def log(spark):
         return normalise(spark.createDataFrame(list(rows), JOBS))
 
     return build
+
+
+@pytest.fixture
+def stored_plans(monkeypatch):
+    """The final plans of the marts that runs store."""
+    plans, write = [], runs.write_snapshot
+
+    def noted(mart, *args):
+        mart.collect()
+        plans.append(mart._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return write(mart, *args)
+
+    monkeypatch.setattr(runs, "write_snapshot", noted)
+    return plans

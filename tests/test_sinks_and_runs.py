@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -277,3 +278,23 @@ def test_a_scheduled_run_over_many_projects_stores_few_files(spark, jobs, many_p
     assert len(found) == 1200 and (found["p1"], found["idle-7"]) == ((True, 1), (True, 0))
     assert {r.uploaded_project for r in snapshot_sink.read_uploads(spark, store, MART).collect()} == {"p1", "p2"}
     assert summary_files(tmp_path) <= 20
+
+
+BY_PROJECT = r"hashpartitioning\(project_id#\d+, \d+\)"
+
+
+def test_jobs_of_a_run_are_not_gathered_by_project(spark, jobs, many_projects, params, tmp_path, stored_plans):
+    """The list of projects is of no known size; a project's jobs must not meet in one task for it."""
+    rows = runs.run_monitoring(spark, jobs, many_projects, params, str(tmp_path), datetime(2024, 1, 31, 5))
+    assert {r.project: r.records for r in rows.where("records > 0").collect()} == {"p1": 1, "p2": 1}
+    assert len(stored_plans) == 1 and not re.search(BY_PROJECT, stored_plans[0])
+
+
+def test_a_run_keeps_to_enabled_projects_with_a_name(spark, log, params, tmp_path):
+    """Projects listed twice count once a row; those disabled, without id or not listed have no jobs in the snapshot."""
+    listed = spark.createDataFrame([("p1", "1", "", None), ("p1", "1", "", False), ("off", "2", "", True), (None, "3", "", None)], PROJECTS)
+    mixed = log(job("a"), job("b", project_id="off"), job("c", project_id=None), job("d", project_id="unlisted"))
+    rows = runs.run_monitoring(spark, mixed, listed, params, str(tmp_path), datetime(2024, 1, 31, 5))
+    assert {(r.project, r.records) for r in rows.collect()} == {("p1", 1), (None, 0)}
+    stored = snapshots.read_snapshots(spark, str(tmp_path / "snapshots"))
+    assert [(r.project_id, r.query_count) for r in stored.collect()] == [("p1", 1)]
