@@ -298,3 +298,10 @@ def test_a_run_keeps_to_enabled_projects_with_a_name(spark, log, params, tmp_pat
     assert {(r.project, r.records) for r in rows.collect()} == {("p1", 1), (None, 0)}
     stored = snapshots.read_snapshots(spark, str(tmp_path / "snapshots"))
     assert [(r.project_id, r.query_count) for r in stored.collect()] == [("p1", 1)]
+
+
+def test_jobs_of_a_scheduled_run_are_not_gathered_by_project(spark, jobs, many_projects, params, tmp_path, stored_plans):
+    store = str(tmp_path / "store")
+    response = runs.scheduled_run(spark, jobs, many_projects, params, str(tmp_path), store, "scanledger", datetime(2024, 1, 31, 5))
+    assert {r.project: r.records for r in response.where("records > 0").collect()} == {"p1": 1, "p2": 1}
+    assert len(stored_plans) == 1 and not re.search(BY_PROJECT, stored_plans[0])
