@@ -133,3 +133,21 @@ def test_a_checked_run_over_many_projects_stores_few_files(spark, params, tmp_pa
     assert len(rows) == 1200 and (rows["p1"].records, rows["p1"].error, rows["idle-7"].records) == (1, None, 0)
     assert rows["p2"].error.startswith("1 broken, first in ")
     assert len(list((tmp_path / "out" / "summaries").rglob("*.json"))) <= 20
+
+
+def test_jobs_of_a_checked_run_are_not_gathered_by_project_and_costs_are_split_once(spark, params, tmp_path, stored_plans):
+    line = dict(zip(JOBS.fieldNames(), job("a", creation_time="2024-01-15T10:00:00Z", end_time="2024-01-15T10:00:05Z"), strict=True))
+    line["referenced_tables"] = [{"project_id": "data", "dataset_id": "sales", "table_id": "orders"}]
+    line["destination_table"] = line["referenced_tables"][0]
+    (tmp_path / "log.json").write_text("".join(json.dumps({**line, "project_id": f"p{n % 3}", "job_id": f"j{n}"}) + "\n" for n in range(30)))
+    idle = spark.range(1198).select(F.concat(F.lit("idle-"), "id").alias("id"), F.lit("Idle").alias("name"))
+    own = spark.createDataFrame([("p0", "Zero"), ("p1", "One")], "id STRING, name STRING")
+    watched = conform(own.unionByName(idle).coalesce(2), PROJECTS)
+    checked = checked_log.read_checked_log(spark, str(tmp_path / "log.json"))
+    rows = runs.run_monitoring(spark, checked, watched, params, str(tmp_path / "out"), RUN, "parquet")
+    assert {(r.project, r.records, r.total_queries) for r in rows.where("records > 0").collect()} == {("p0", 1, 10), ("p1", 1, 10)}
+    stored = snapshots.read_snapshots(spark, str(tmp_path / "out" / "snapshots"), "parquet")
+    assert {(r.project_id, r.table_costs[0].is_rebuild_operation) for r in stored.collect()} == {("p0", True), ("p1", True)}
+    assert len(stored_plans) == 1 and not re.search(r"hashpartitioning\(project_id#\d+, \d+\)", stored_plans[0])
+    # Datasets and tables come from one split of the jobs' costs.
+    assert stored_plans[0].count("Generate explode(referenced_tables_detail") == 1
