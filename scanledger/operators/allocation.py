@@ -16,12 +16,14 @@ from scanledger.params import Params
 
 def table_costs(stats: DataFrame, params: Params) -> DataFrame:
     """Per user-day and table; every reference of a job gets an equal share."""
-    shares = stats.select(
+    # Counted ahead of the explode, where a job is one row; beside it every share would count them anew.
+    counted = stats.withColumn("references", arrays.reference_total("referenced_tables_detail"))
+    shares = counted.select(
         *KEY,
         "total_bytes_processed",
         "total_bytes_billed",
         "destination_table",
-        arrays.reference_total("referenced_tables_detail").alias("references"),
+        "references",
         F.explode("referenced_tables_detail").alias("ref"),
     )
     target, ref = F.col("destination_table"), F.col("ref")

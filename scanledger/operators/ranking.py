@@ -19,10 +19,25 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
     return df.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
-def ranked_array(fields: Sequence[Column | str]) -> Column:
-    """Aggregate: structs of ``fields`` in the order of ``rank``, rank dropped."""
-    ordered = F.sort_array(F.collect_list(F.struct("rank", F.struct(*fields).alias("entry"))))
-    return F.transform(ordered, lambda item: item.entry)
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows brought together and sorted by their group, for groupings that only collect them.
+
+    Lists do not get smaller when tasks collect what they hold ahead of the
+    shuffle: rows are shuffled as they are, and every list is built once, in order
+    of its group, instead of being built, stored, sorted and merged.
+    """
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def ranked_arrays(df: DataFrame, keys: Sequence[str], fields: Sequence[Column | str], name: str) -> DataFrame:
+    """Per group the array ``name`` of structs of ``fields``, in the order of ``rank``, rank dropped.
+
+    The structs are made ahead of the grouping, by compiled code; the grouping
+    itself would put them together expression by expression.
+    """
+    items = df.select(*keys, F.struct("rank", F.struct(*fields).alias("entry")).alias("item"))
+    ordered = F.sort_array(F.collect_list("item"))
+    return items.groupBy(*keys).agg(F.transform(ordered, lambda item: item.entry).alias(name))
 
 
 def dearest_first(entries: str, cost_field: str, name_field: str) -> Column:

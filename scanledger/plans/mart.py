@@ -25,8 +25,8 @@ from scanledger.operators.allocation import (
     table_costs,
 )
 from scanledger.operators.jobs import KEY, job_stats, present, query_details
-from scanledger.operators.ranking import dearest_first, ranked_array, top_k
-from scanledger.operators.rollups import added_up, hourly, scalar_columns
+from scanledger.operators.ranking import dearest_first, gathered, ranked_arrays, top_k
+from scanledger.operators.rollups import MEASURES, added_up, hourly, scalar_columns
 from scanledger.params import Params
 from scanledger.schema import MART
 
@@ -34,16 +34,13 @@ from scanledger.schema import MART
 def day_profile(stats: DataFrame, params: Params) -> DataFrame:
     """Scalars with hourly and weekday detail."""
     hours = hourly(stats, params)
-    by_hour = F.sort_array(
-        F.collect_list(
-            F.struct(
-                "hour_of_day",
-                F.col("query_count").alias("hourly_queries"),
-                F.col("estimated_cost_usd").alias("hourly_cost"),
-            )
-        )
+    hour = F.struct(
+        "hour_of_day",
+        F.col("query_count").alias("hourly_queries"),
+        F.col("estimated_cost_usd").alias("hourly_cost"),
     )
-    grouped = hours.groupBy(*KEY).agg(*added_up(), by_hour.alias("hours"))
+    rows = gathered(hours.select(*KEY, *MEASURES, hour.alias("hour")), *KEY)
+    grouped = rows.groupBy(*KEY).agg(*added_up(), F.sort_array(F.collect_list("hour")).alias("hours"))
     by_weekday = F.array(
         F.struct(
             F.dayofweek("day").alias("day_of_week"),
@@ -70,9 +67,8 @@ def dataset_array(tables: DataFrame) -> DataFrame:
     entry = F.struct(
         "dataset", "bytes_processed", "bytes_billed", "dataset_cost_usd", "rebuild_operations"
     )
-    collected = dataset_costs_from_tables(tables).groupBy(*KEY).agg(
-        F.collect_list(entry).alias("datasets")
-    )
+    rows = gathered(dataset_costs_from_tables(tables).select(*KEY, entry.alias("entry")), *KEY)
+    collected = rows.groupBy(*KEY).agg(F.collect_list("entry").alias("datasets"))
     return collected.select(
         *KEY, dearest_first("datasets", "dataset_cost_usd", "dataset").alias("dataset_costs")
     )
@@ -98,9 +94,7 @@ def table_fields() -> list[Column | str]:
 def table_array(tables: DataFrame, params: Params) -> DataFrame:
     """``table_costs`` per user-day: its dearest tables."""
     order = [F.desc_nulls_last("table_cost_usd"), F.asc_nulls_first("table_name")]
-    return top_k(tables, KEY, order, params.table_limit).groupBy(*KEY).agg(
-        ranked_array(table_fields()).alias("table_costs")
-    )
+    return ranked_arrays(top_k(tables, KEY, order, params.table_limit), KEY, table_fields(), "table_costs")
 
 
 def latest_queries(stats: DataFrame, params: Params) -> DataFrame:
@@ -126,9 +120,7 @@ def recent_queries(stats: DataFrame, params: Params) -> DataFrame:
         "has_error",
         "query_text",
     ]
-    return latest_queries(stats, params).groupBy(*KEY).agg(
-        ranked_array(fields).alias("recent_queries")
-    )
+    return ranked_arrays(latest_queries(stats, params), KEY, fields, "recent_queries")
 
 
 def mart_of(stats: DataFrame, params: Params) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanledger.operators.ranking import gathered
+
 # Columns used of each table; given, so that no job has to look for them.
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
 ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE"
@@ -80,7 +82,7 @@ def references(lineitem: DataFrame) -> DataFrame:
 
     Counting first lets the shuffle carry one row per distinct table, and
     bounds the array by the number of tables however long an order is.  The
-    names follow from small numbers, so they are spelled out after grouping.
+    names follow from small numbers, so they are spelled out after both shuffles.
     """
     counted = lineitem.selectExpr(
         "l_orderkey AS event_id",
@@ -88,7 +90,7 @@ def references(lineitem: DataFrame) -> DataFrame:
         "CAST(l_partkey % 20 AS INT) AS item",
         "if(l_linenumber IN (6, 7), l_linenumber, 0) AS gap",
     ).groupBy("event_id", "source", "item", "gap").count()
-    named = counted.selectExpr(
+    named = gathered(counted, "event_id").selectExpr(
         "event_id",
         """named_struct(
              'project_id', concat('data-', source),

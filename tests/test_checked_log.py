@@ -151,3 +151,19 @@ def test_jobs_of_a_checked_run_are_not_gathered_by_project_and_costs_are_split_o
     assert len(stored_plans) == 1 and not re.search(r"hashpartitioning\(project_id#\d+, \d+\)", stored_plans[0])
     # Datasets and tables come from one split of the jobs' costs.
     assert stored_plans[0].count("Generate explode(referenced_tables_detail") == 1
+
+
+def test_a_checked_run_collects_after_the_shuffle_and_counts_references_once_a_job(spark, params, tmp_path, stored_plans):
+    """Lists are built after the shuffle alone, and the references of a job are counted ahead of the explode."""
+    line = dict(zip(JOBS.fieldNames(), job("a", creation_time="2024-01-15T10:00:00Z", end_time="2024-01-15T10:00:05Z"), strict=True))
+    line["referenced_tables"] = [{"project_id": "data", "dataset_id": f"d{n}", "table_id": "t"} for n in range(3)]
+    (tmp_path / "log.json").write_text("".join(json.dumps({**line, "job_id": f"j{n}"})[: 40 if n == 7 else None] + "\n" for n in range(9)))
+    checked = checked_log.read_checked_log(spark, str(tmp_path / "log.json"))
+    watched = spark.createDataFrame([("p1", "One", "", None)], PROJECTS)
+    rows = runs.run_monitoring(spark, checked, watched, params, str(tmp_path / "out"), RUN, "parquet").collect()
+    assert [(r.project, r.records, r.total_queries, r.error) for r in rows] == [("p1", 1, 8, None)]
+    stored = snapshots.read_snapshots(spark, str(tmp_path / "out" / "snapshots"), "parquet").first()
+    assert [(d.dataset, d.bytes_billed) for d in stored.dataset_costs] == [(f"data.d{n}", 2932031007402.664) for n in range(3)]
+    assert "partial_collect_list" not in stored_plans[0]
+    above = stored_plans[0].split("Generate explode(referenced_tables_detail")[0].splitlines()
+    assert not any("aggregate(" in text and "Project" in text for text in above)

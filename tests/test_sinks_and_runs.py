@@ -305,3 +305,19 @@ def test_jobs_of_a_scheduled_run_are_not_gathered_by_project(spark, jobs, many_p
     response = runs.scheduled_run(spark, jobs, many_projects, params, str(tmp_path), store, "scanledger", datetime(2024, 1, 31, 5))
     assert {r.project: r.records for r in response.where("records > 0").collect()} == {"p1": 1, "p2": 1}
     assert len(stored_plans) == 1 and not re.search(BY_PROJECT, stored_plans[0])
+
+
+def test_a_scheduled_run_collects_after_the_shuffle(spark, log, params, tmp_path, stored_plans):
+    """No task builds lists that are shuffled and merged; hours, datasets and ranked entries stay in their order."""
+    tables = [("data", f"d{n}", "t") for n in range(3)]
+    jobs = log(*[job(f"j{n:02}", creation_time=datetime(2024, 1, 15, 23 - n), referenced_tables=tables[: n % 3 + 1]) for n in range(9)])
+    watched = spark.createDataFrame([("p1", "One", "", None)], PROJECTS)
+    store = str(tmp_path / "store")
+    response = runs.scheduled_run(spark, jobs.repartition(4), watched, params, str(tmp_path), store, "scanledger", datetime(2024, 1, 31, 5))
+    assert [(r.project, r.success, r.records) for r in response.collect()] == [("p1", True, 1)]
+    row = snapshot_sink.read_uploads(spark, store, MART).first()
+    assert [h.hour_of_day for h in row.hourly_breakdown] == list(range(15, 24))
+    assert [d.dataset for d in row.dataset_costs] == ["data.d0", "data.d1", "data.d2"]
+    assert [t.table_name for t in row.table_costs] == ["data.d0.t", "data.d1.t", "data.d2.t"]
+    assert [q.job_id for q in row.recent_queries] == [f"j{n:02}" for n in range(9)]
+    assert "partial_collect_list" not in stored_plans[0]
