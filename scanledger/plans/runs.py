@@ -16,7 +16,7 @@ from scanledger.params import Params
 from scanledger.plans import summaries
 from scanledger.plans.main_table import main_cost_table
 from scanledger.plans.mart import user_day_mart
-from scanledger.schema import MART, RUN_SUMMARY, conform
+from scanledger.schema import MART, PROJECTS, RUN_SUMMARY, conform
 from scanledger.session import kept
 from scanledger.sinks import tables
 from scanledger.sinks.snapshots import stamp, upload, write_run_summary, write_snapshot
@@ -122,13 +122,15 @@ def _checked_run(
     """One run over a checked log: projects with broken input get error rows and no snapshot.
 
     The raw log is scanned once, when its rows are staged; which projects are
-    broken is a grouping of the few broken rows.
+    broken is a grouping of the few broken rows.  The projects with what is broken
+    of them are stored, as the jobs, the totals and the error rows ask for them.
     """
     staged = checked_log.stage(checked, params)
     broken = checked_log.broken_projects(staged).where("id IS NOT NULL")
-    whole = watched.join(broken, "id", "left_anti")
+    told = kept(conform(watched, PROJECTS).join(broken, "id", "left"), "watched")
+    whole = told.where("broken_rows IS NULL").select(PROJECTS.fieldNames())
     jobs = project_source.spread_over_projects(checked_log.good_rows(staged), whole)
-    failed = failed_runs(watched.join(broken, "id"), params, run_ts, F.col("error"))
+    failed = failed_runs(told.where("broken_rows IS NOT NULL"), params, run_ts, F.col("error"))
     return _snapshot_run(jobs, whole, params, path, run_ts, fmt).unionByName(failed)
 
 

@@ -122,7 +122,8 @@ def stage(checked: DataFrame, params: Params, day_partition: str | None = None)
 
     The raw log is scanned here and nowhere else: whatever reads the result
     several times reads the columns it needs of the stored copy, and the few
-    broken rows lie in a folder of their own.
+    broken rows lie in a folder of their own.  The copy lives for a run, and values
+    are written as they are: dictionaries would cost more than they save.
     """
     spark = checked.sparkSession
     wanted = F.col(PROBLEM).isNotNull() | (F.col("creation_time") >= params.history_start())
@@ -130,7 +131,7 @@ def stage(checked: DataFrame, params: Params, day_partition: str | None = None)
         wanted = wanted & (F.col(day_partition) >= F.to_date(params.history_start()))
     rows = checked.where(wanted).withColumn("is_broken", F.col(PROBLEM).isNotNull())
     path = work_path(spark, "checked-log")
-    rows.write.partitionBy("is_broken").parquet(path)
+    rows.write.option("parquet.enable.dictionary", "false").partitionBy("is_broken").parquet(path)
     schema = T.StructType([*checked.schema.fields, T.StructField("is_broken", T.BooleanType())])
     return spark.read.schema(schema).parquet(path)
 

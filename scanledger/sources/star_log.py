@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanledger.operators.ranking import gathered
-
 # Columns used of each table; given, so that no job has to look for them.
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
 ORDERS = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE"
@@ -80,17 +78,19 @@ def job_rows(events: DataFrame, orders: DataFrame) -> DataFrame:
 def references(lineitem: DataFrame) -> DataFrame:
     """Tables read per order, repeats folded into a count.
 
-    Counting first lets the shuffle carry one row per distinct table, and
-    bounds the array by the number of tables however long an order is.  The
-    names follow from small numbers, so they are spelled out after both shuffles.
+    Lines are dealt by their order once, as small numbers, and both groupings stay
+    there: few lines of an order name one table, so counts made ahead of a shuffle
+    are hardly fewer.  Counting bounds the array by the number of tables however
+    long an order is.  The names are spelled out last.
     """
-    counted = lineitem.selectExpr(
+    lines = lineitem.selectExpr(
         "l_orderkey AS event_id",
         "CAST(l_suppkey % 2 AS INT) AS source",
         "CAST(l_partkey % 20 AS INT) AS item",
         "if(l_linenumber IN (6, 7), l_linenumber, 0) AS gap",
-    ).groupBy("event_id", "source", "item", "gap").count()
-    named = gathered(counted, "event_id").selectExpr(
+    ).repartition("event_id")
+    counted = lines.groupBy("event_id", "source", "item", "gap").count()
+    named = counted.sortWithinPartitions("event_id").selectExpr(
         "event_id",
         """named_struct(
              'project_id', concat('data-', source),

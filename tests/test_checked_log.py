@@ -5,13 +5,14 @@ import os
 import re
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scanledger.plans import runs
 from scanledger.schema import JOBS, PROJECTS, conform
-from scanledger.sources import checked_log, snapshots
+from scanledger.sources import checked_log, snapshots, star_log
 from tests.conftest import job
 
 PROJECTS_N = 1500
@@ -167,3 +168,42 @@ def test_a_checked_run_collects_after_the_shuffle_and_counts_references_once_a_j
     assert not re.search(r"Exchange [^\n]*\n[^\n]*partial_collect_list", stored_plans[0])
     above = stored_plans[0].split("Generate explode(referenced_tables_detail")[0].splitlines()
     assert not any("aggregate(" in text and "Project" in text for text in above)
+
+
+def test_a_checked_run_asks_for_its_projects_once(spark, params, tmp_path, monkeypatch):
+    """The totals and the error rows come from the stored list of projects, which is not put together again."""
+    line = json.dumps(dict(zip(JOBS.fieldNames(), job("a", creation_time="2024-01-15T10:00:00Z", end_time="2024-01-15T10:00:05Z"), strict=True)))
+    for project, text in (("p1", line), ("p2", line[:40])):
+        (tmp_path / "log" / f"project_id={project}").mkdir(parents=True)
+        (tmp_path / "log" / f"project_id={project}" / "part.json").write_text(text + "\n")
+    idle = spark.range(3).select(F.concat(F.lit("idle-"), "id").alias("id"), F.lit("Idle").alias("name"))
+    # Ids may be missing or come twice.
+    own = spark.createDataFrame([("p1", "One"), ("p2", "Two"), ("p2", "Two again"), (None, "None")], "id STRING, name STRING")
+    watched = conform(own.unionByName(idle), PROJECTS)
+    plans, write = [], runs.write_run_summary
+    monkeypatch.setattr(runs, "write_run_summary", lambda rows, path: (plans.append(plan(rows)), write(rows, path))[1])
+    checked = checked_log.read_checked_log(spark, str(tmp_path / "log"))
+    rows = runs.run_monitoring(spark, checked, watched, params, str(tmp_path / "out"), RUN, "parquet").collect()
+    told = sorted((r.project or "", r.project_name, r.records, r.error is None) for r in rows)
+    assert told == [
+        ("", "None", 0, True), ("idle-0", "Idle", 0, True), ("idle-1", "Idle", 0, True), ("idle-2", "Idle", 0, True),
+        ("p1", "One", 1, True), ("p2", "Two", None, False), ("p2", "Two again", None, False),
+    ]
+    assert len(plans) == 1 and "watched-" in plans[0] and "Range" not in plans[0]
+
+
+def test_staged_rows_are_written_without_dictionaries(spark, log_folder, params):
+    staged = checked_log.stage(checked_log.read_checked_log(spark, log_folder), params)
+    files = [name.removeprefix("file://") for name in checked_log.good_rows(staged).inputFiles()]
+    group = pq.ParquetFile(files[0]).metadata.row_group(0)
+    assert not any(group.column(n).has_dictionary_page for n in range(group.num_columns))
+
+
+def test_lines_of_an_order_are_shuffled_once(spark):
+    """References of the derived log: lines are dealt by order, counted and collected there."""
+    lines = [(1, 3, 2, 1), (1, 23, 4, 2), (1, 3, 2, 6), (1, 4, 1, 7), (2, 5, 1, 1), (2, 5, 1, 1), (None, 1, 1, 1)]
+    refs = star_log.references(spark.createDataFrame(lines, star_log.LINEITEM))
+    found = {r.event_id: sorted((str(x.project_id), str(x.dataset_id), str(x.table_id), x.ref_count) for x in r.referenced_tables) for r in refs.collect()}
+    assert found[1] == [("data-0", "ds_3", "None", 1), ("data-0", "ds_3", "t_3", 2), ("data-1", "None", "t_4", 1)]
+    assert found[2] == [("data-1", "ds_1", "t_5", 2)]
+    assert plan(refs).split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
